@@ -22,8 +22,12 @@ TILE = ["pair_id", "class_name"]
 
 
 def tile_partition(df: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    """Place a tile's rows together once; every later sweep then needs no exchange."""
-    return df.repartition(*keys)
+    """Place a tile's rows together once; every later sweep then needs no exchange.
+
+    The partition count is given so that AQE does not fold the per-tile Python and
+    window work, which is heavy for its bytes, into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def to_runs(pixels: DataFrame, keys: list[str] = TILE) -> DataFrame:

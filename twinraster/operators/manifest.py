@@ -129,9 +129,9 @@ def review_violations(decisions: DataFrame) -> DataFrame:
         (~F.coalesce(F.col("confidence").isin("HIGH", "MEDIUM", "LOW"), F.lit(False)), "confidence"),
         (~present(F.col("notes")), "notes"),
         (accept != (F.col("confidence") == "HIGH"), "accept requires HIGH and HIGH requires accept"),
-        (accept & ~F.col("full_tile_reviewed"), "full tile review"),
+        (accept & ~(F.col("full_tile_reviewed") & present(F.col("board"))), "full tile review and board"),
         (accept & ~present(F.col("alignment_review")), "alignment note"),
-        (accept & ~present(F.col("label_license")), "licence evidence"),
+        (accept & ~no_change & ~present(F.col("label_license")), "label licence"),
         (accept & no_change & (F.col("n_masks") > 0), "no_change carries masks"),
         (accept & ~no_change & (F.col("n_masks") < 2), "positive lacks masks"),
     )

@@ -27,9 +27,13 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every column a string; multi-line quoted cells allowed."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV with every column a string.
+
+    ``multi_line`` admits line breaks inside quoted cells; such files cannot be split,
+    so it is off unless asked for.
+    """
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def id_violations(rows: DataFrame, trim: bool = True, id_col: str = "id") -> DataFrame:

@@ -214,7 +214,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(
         (F.max("l_quantity") / 50.0).alias("score"),
         (F.max("l_quantity") >= 20).alias("kept"),
-        F.round(F.max("l_extendedprice") / 1000.0, 3).alias("area"),
+        (F.max("l_extendedprice") / 1000.0).alias("area"),
         F.round(F.max(F.col("l_discount") + 0.0) * 10.0, 6).alias("stability"),
         F.round(F.max(F.col("l_tax") + 0.0) * 12.5, 6).alias("reverse"),
         (F.min("l_quantity") / 50.0).alias("confidence"),
@@ -225,7 +225,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 CANDIDATES_SQL = """
 cand AS (SELECT l_orderkey AS pair_id, CASE WHEN l_linestatus='O' THEN 'new_building' ELSE 'tree_removal' END AS class_name,
   l_linenumber AS component_id, max(l_quantity)/50 AS score, max(l_quantity)>=20 AS kept,
-  round(max(l_extendedprice)/1000,3) AS area, round(max(l_discount+0.0::DOUBLE)*10,6) AS stability,
+  max(l_extendedprice)/1000 AS area, round(max(l_discount+0.0::DOUBLE)*10,6) AS stability,
   round(max(l_tax+0.0::DOUBLE)*12.5::DOUBLE,6) AS reverse, min(l_quantity)/50 AS confidence, max(l_returnflag)='R' AS is_true
  FROM lineitem GROUP BY ALL)"""
 

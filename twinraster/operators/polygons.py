@@ -3,8 +3,7 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +38,14 @@ def _trace(cells: set) -> list[list[int]]:
             return ring
 
 
-def _export(pdf: pd.DataFrame) -> pd.DataFrame:
-    rings = []
-    for _, part in pdf.sort_values("component_id").groupby("component_id", sort=True):
-        cells = {(int(y), x) for y, a, b in zip(part["y"], part["x0"], part["x1"]) for x in range(int(a), int(b))}
-        rings.append(_trace(cells))
-    return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]], "class_name": [pdf["class_name"].iloc[0]],
-                         "cell": [json.dumps(rings, separators=(",", ":"))]})
+def _export(table: pa.Table) -> pa.Table:
+    table = table.sort_by("component_id")
+    owner, y, x0, x1 = (table.column(c).to_pylist() for c in ("component_id", "y", "x0", "x1"))
+    cells: dict = {}
+    for o, row, a, b in zip(owner, y, x0, x1):
+        cells.setdefault(o, set()).update((row, x) for x in range(a, b))
+    text = json.dumps([_trace(c) for c in cells.values()], separators=(",", ":"))
+    return table.select(R.TILE).slice(0, 1).append_column("cell", pa.array([text]))
 
 
 def polygon_cells(labelled: DataFrame, width: int, height: int) -> DataFrame:
@@ -54,7 +54,7 @@ def polygon_cells(labelled: DataFrame, width: int, height: int) -> DataFrame:
     filled = labelled.select(*R.TILE, "component_id", "y", "x0", "x1").unionByName(
         holes.select(*R.TILE, "component_id", "y", "x0", "x1"))
     pid = dict(labelled.dtypes)["pair_id"]
-    return filled.groupBy(*R.TILE).applyInPandas(_export, f"pair_id {pid}, class_name string, cell string")
+    return filled.groupBy(*R.TILE).applyInArrow(_export, f"pair_id {pid}, class_name string, cell string")
 
 
 def prediction_rows(cells: DataFrame, population: DataFrame) -> DataFrame:

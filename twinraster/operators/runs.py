@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,24 +213,28 @@ def _settle(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return label
 
 
-def _label_band(keys: list[str], reach: int, stride: int, lane: str | None):
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["y", "x0"] if lane is None else [lane, "y", "x0"]
-        pdf = pdf.sort_values(order, ignore_index=True)
-        row = pdf["y"].to_numpy(np.int64)
+def _label_band(reach: int, stride: int, lane: str | None):
+    """Arrow kernel: adds component_id to the runs of one band of one tile."""
+
+    def label(table: pa.Table) -> pa.Table:
+        order = [("y", "ascending"), ("x0", "ascending")]
+        table = table.sort_by(order if lane is None else [(lane, "ascending"), *order])
+        y = table.column("y").to_numpy().astype(np.int64)
+        start, stop = (table.column(c).to_numpy().astype(np.int64) for c in ("x0", "x1"))
+        row = y
         if lane is not None:
-            codes = pd.factorize(pdf[lane])[0].astype(np.int64)
-            row = row - row.min() + codes * (row.max() - row.min() + 2)
-        start, stop = pdf["x0"].to_numpy(np.int64), pdf["x1"].to_numpy(np.int64)
+            # Layers are stacked far enough apart that no two of them touch.
+            owner = table.column(lane).to_numpy()
+            layer = np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1])))
+            row = y - y.min() + layer * (y.max() - y.min() + 2)
         span = max(int(stop.max()), 1) + 4
         first = np.searchsorted(row * span + stop, (row + 1) * span + start - reach, side="right")
         last = np.searchsorted(row * span + start, (row + 1) * span + stop + reach, side="left")
         count = np.maximum(last - first, 0)
-        src = np.repeat(np.arange(len(pdf)), count)
+        src = np.repeat(np.arange(len(y)), count)
         dst = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        root = _settle(len(pdf), src, dst)
-        pdf["component_id"] = pdf["y"].to_numpy(np.int64)[root] * stride + start[root]
-        return pdf
+        root = _settle(len(y), src, dst)
+        return table.append_column("component_id", pa.array(y[root] * stride + start[root]))
 
     return label
 
@@ -249,12 +253,12 @@ def label_components(
     reach = 1 if connectivity == 8 else 0
     layout = [f for f in runs.schema.fields]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout)
-    kernel = _label_band(keys, reach, width, lane)
+    kernel = _label_band(reach, width, lane)
     if height is not None and height <= band_rows:
-        return runs.groupBy(*keys).applyInPandas(kernel, f"{shape}, component_id long")
+        return runs.groupBy(*keys).applyInArrow(kernel, f"{shape}, component_id long")
     banded = runs.withColumn("_band", F.floor(F.col("y") / band_rows))
     local = cut(
-        banded.groupBy(*keys, "_band").applyInPandas(kernel, f"{shape}, _band long, component_id long")
+        banded.groupBy(*keys, "_band").applyInArrow(kernel, f"{shape}, _band long, component_id long")
     )
     node = F.struct(*keys, *([lane] if lane else []), "component_id")
     low = local.filter((F.col("y") + 1) % band_rows == 0).select(

@@ -338,7 +338,7 @@ pe AS (SELECT sa.pair_id, sa.class_name, sb.vw, sa.component_id AS i, sb.j, ai,
 ed AS (SELECT *, o/(ai+aj-o) AS iou FROM pe WHERE o/(ai+aj-o)>=0.2::DOUBLE OR (drift<=4 AND aj/ai BETWEEN 0.25 AND 4))"""
 
 
-@query("j10_match_candidates", VIEW_SQL + f" SELECT {KEY}, vw AS view, i, j, round(iou,6) AS iou, round(drift,6) AS drift FROM ed")
+@query("j10_match_candidates", VIEW_SQL + f" SELECT {KEY}, CAST(vw AS INTEGER) AS view, i, j, round(iou,6) AS iou, round(drift,6) AS drift FROM ed")
 def match_candidates(spark, sf):
     keys = [*R.TILE, "view"]
     copies = components(spark, sf).withColumn("view", F.explode(F.sequence(F.lit(1), F.lit(3))))
@@ -355,17 +355,13 @@ gw AS (SELECT pair_id, class_name, vw, 0::BIGINT AS n, []::BIGINT[] AS ui, []::B
 mt AS (SELECT rk.* FROM rk JOIN gw USING (pair_id, class_name, vw, n) WHERE took)"""
 
 
-@query("j11_greedy_matching", GREEDY_SQL + f" SELECT {KEY}, vw AS view, i, j, round(iou,6) AS iou FROM mt")
+@query("j11_greedy_matching", GREEDY_SQL + f" SELECT {KEY}, CAST(vw AS INTEGER) AS view, i, j, round(iou,6) AS iou FROM mt")
 def greedy(spark, sf):
     keys = [*R.TILE, "view"]
     copies = components(spark, sf).withColumn("view", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return K.match_components(copies, view_components(spark, sf), keys).select(*keys, "i", "j", *r6("iou"))
 
 
-STABILITY_SQL = GREEDY_SQL + f""",
-ms AS (SELECT {KEY}, i AS component_id, count(*) k, sum(iou) si, min(iou) ni, max(iou) xi, list(aj) al, avg(drift) d, max(drift) xd FROM mt GROUP BY ALL),
-sf AS (SELECT sa.pair_id, sa.class_name, sa.component_id, ai, coalesce(k,0) k, coalesce(si,0) si, CASE WHEN k=3 THEN ni ELSE 0 END ni, coalesce(xi,0) xi, coalesce(d,0) d, coalesce(xd,0) xd, list_append(coalesce(al,[]), ai) al FROM sa LEFT JOIN (SELECT * RENAME (xi AS xi) FROM ms) USING (pair_id, class_name, component_id)),
-sx AS (SELECT *, list_avg(al) ma, list_stddev_pop(al) sd FROM sf)"""
 STABILITY_SQL = GREEDY_SQL + f""",
 al AS (SELECT {KEY}, i AS component_id, aj AS a FROM mt UNION ALL SELECT {OWN}, ai FROM sa), am AS (SELECT {OWN}, avg(a) ma, stddev_pop(a) sd FROM al GROUP BY ALL),
 ms AS (SELECT {KEY}, i AS component_id, count(*) k, sum(iou) su, min(iou) mn, max(iou) mx, avg(drift) d, max(drift) xd FROM mt GROUP BY ALL),
@@ -402,8 +398,8 @@ def stability_rules(spark, sf):
 
 @query("j13_reverse_match", VIEW_SQL.replace("range(1,4)", "range(2,3)") + f""",
 b AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, i ORDER BY -iou, drift, j) AS n FROM ed),
-q AS (SELECT {OWN}, avg(vm.p) m, max(vm.p) x, avg((vm.p>=0.5)::INT) o FROM ck JOIN vm USING (pair_id, class_name, y, x) GROUP BY ALL)
-SELECT q.pair_id, q.class_name, q.component_id, round(m,6) AS reverse_mean_prob, round(q.x,6) AS reverse_max_prob, round(o,5) AS reverse_overlap_fraction, round(coalesce(iou,0),6) AS reverse_matching_iou,
+q AS (SELECT {OWN}, avg(vm.p) m, max(vm.p) x, avg((vm.p>=0.5)::INT) share FROM ck JOIN vm USING (pair_id, class_name, y, x) GROUP BY ALL)
+SELECT q.pair_id, q.class_name, q.component_id, round(m,6) AS reverse_mean_prob, round(q.x,6) AS reverse_max_prob, round(share,5) AS reverse_overlap_fraction, round(coalesce(iou,0),6) AS reverse_matching_iou,
  round(CASE WHEN aj IS NULL THEN 10 ELSE sa.ai/aj END,6) AS area_ratio_forward_reverse FROM q JOIN sa USING ({OWN}) LEFT JOIN b ON b.pair_id=q.pair_id AND b.class_name=q.class_name AND b.i=q.component_id AND b.n=1""")
 def reverse_match(spark, sf):
     back = view_maps(spark, sf).filter("view = 2").drop("view")
@@ -422,14 +418,14 @@ pq AS (SELECT pair_id, max(confidence) AS q FROM cand GROUP BY 1)"""
 
 
 @query("a25_pair_features", PAIR_SQL + """
-SELECT p.pair_id, p.c AS pair_candidate_count, p.kc AS pair_kept_candidate_count, round(p.mk,6) AS pair_mean_top_k_score, round(p.m1-p.m2,6) AS pair_score_margin_top1_top2, round(p.ta,3) AS total_area_all_classes,
- round(p.ns,6) AS pair_mean_tta_stability, round(p.nr,6) AS pair_mean_reverse_support, coalesce(b.c,0) AS building_candidate_count, round(coalesce(b.mk,0),6) AS building_mean_top_k_score, round(coalesce(t.aa,0),6) AS tree_mean_candidate_area, coalesce(t.hc,0) AS tree_num_high_confidence_candidates,
+SELECT p.pair_id, p.c AS pair_candidate_count, p.kc AS pair_kept_candidate_count, round(p.mk,6) AS pair_mean_top_k_score, round(p.m1-p.m2,6) AS pair_score_margin_top1_top2, round(p.ta,9) AS total_area_all_classes,
+ round(p.ns,6) AS pair_mean_tta_stability, round(p.nr,6) AS pair_mean_reverse_support, coalesce(b.c,0) AS building_candidate_count, round(coalesce(b.mk,0),6) AS building_mean_top_k_score, round(coalesce(t.aa,0),9) AS tree_mean_candidate_area, coalesce(t.hc,0) AS tree_num_high_confidence_candidates,
  round(ln(least(1-1e-6,greatest(1e-6,q))/(1-least(1-1e-6,greatest(1e-6,q)))),6) AS pair_presence_logit, (coalesce(b.c,0)>0 AND coalesce(t.c,0)>0)::INT::DOUBLE AS both_classes_present, round(coalesce(b.m1,0)-coalesce(t.m1,0),6) AS building_vs_tree_score_margin
 FROM ag p JOIN pq USING (pair_id) LEFT JOIN ag b ON b.pair_id=p.pair_id AND b.scope='building' LEFT JOIN ag t ON t.pair_id=p.pair_id AND t.scope='tree' WHERE p.scope='pair'""")
 def pair_features(spark, sf):
     return pair_table(spark, sf).select(
-        "pair_id", "pair_candidate_count", "pair_kept_candidate_count", *r6("pair_mean_top_k_score", "pair_score_margin_top1_top2"), F.round("total_area_all_classes", 3).alias("total_area_all_classes"),
-        *r6("pair_mean_tta_stability", "pair_mean_reverse_support"), "building_candidate_count", *r6("building_mean_top_k_score", "tree_mean_candidate_area"), "tree_num_high_confidence_candidates",
+        "pair_id", "pair_candidate_count", "pair_kept_candidate_count", *r6("pair_mean_top_k_score", "pair_score_margin_top1_top2"), F.round("total_area_all_classes", 9).alias("total_area_all_classes"),
+        *r6("pair_mean_tta_stability", "pair_mean_reverse_support"), "building_candidate_count", *r6("building_mean_top_k_score"), F.round("tree_mean_candidate_area", 9).alias("tree_mean_candidate_area"), "tree_num_high_confidence_candidates",
         *r6("pair_presence_logit"), "both_classes_present", *r6("building_vs_tree_score_margin"))
 
 

@@ -78,7 +78,7 @@ def audit_dataset(rows: DataFrame, keys: list[tuple[str, str]], labels: DataFram
     audited = cut(G.label_groups(M.provenance(rows), G.shared_key_edges(rows, keys)))
     samples = cut(I.sample_distribution(labels, width, height))
     leaks = cut(P.leakage_groups(audited, "group_id"))
-    pairs = P.leakage_pairs(audited, "group_id", ["id", "year_pre", "year_post"]).withColumn("reason", F.lit("shared spatial/source group"))
+    members = P.leakage_members(audited, "group_id", ["year_pre", "year_post"]).withColumn("reason", F.lit("shared spatial/source group"))
     copies = cut(P.duplicate_content(audited, "content_hash"))
     repeated = P.duplicate_pairs(audited.select("id", "content_hash", "doc_id"), ["content_hash"], "doc_id")
     issues = repeated.select("id", F.lit("warning").alias("severity"), F.concat(F.lit("duplicate pair: "), "previous_id").alias("reason")).unionByName(
@@ -87,9 +87,8 @@ def audit_dataset(rows: DataFrame, keys: list[tuple[str, str]], labels: DataFram
     S.write_report_csv(audited, f"{path}/audited_manifest", [c for c in S.manifest_columns(text) if c in audited.columns])
     S.write_report_csv(audited, f"{path}/sample_provenance", ["id", "source", "region_id", "year_pre", "year_post", "synthetic", "mock", "license_status", "audit_status", "audit_training_eligible", "audit_reason"])
     S.write_report_csv(issues, f"{path}/suspicious_samples", ["id", "severity", "reason"])
-    S.write_report_csv(pairs, f"{path}/spatial_leakage", ["train_id", "val_id", "reason"])
-    S.write_report_csv(pairs.withColumn("train_interval", F.concat_ws("->", "train_year_pre", "train_year_post")).withColumn("val_interval", F.concat_ws("->", "val_year_pre", "val_year_post")),
-                       f"{path}/temporal_leakage", ["train_id", "val_id", "reason", "train_interval", "val_interval"])
+    S.write_report_csv(members, f"{path}/spatial_leakage", ["group_id", "id", "split", "n_opposite", "reason"])
+    S.write_report_csv(members.withColumn("span", F.concat_ws("->", "year_pre", "year_post")), f"{path}/temporal_leakage", ["group_id", "id", "split", "span", "n_opposite", "reason"])
     S.write_report_csv(shifts, f"{path}/alignment", ["id", "magnitude", "reliable"])
     S.write_report_csv(samples, f"{path}/sample_distribution", ["pair_id", "category", "valid_pixels", "ignored_pixels", "new_building_pixels", "tree_removal_pixels", "new_building_components", "tree_removal_components"])
     totals = I.distribution_totals(samples)

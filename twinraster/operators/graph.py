@@ -80,22 +80,25 @@ def label_groups(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 
 
 def box_adjacency(boxes: DataFrame, buffer: float = 0.0, cell: float = 64.0, id_col: str = "id") -> DataFrame:
-    """Pairs of boxes that touch, overlap or lie within ``buffer`` of each other.
+    """Edges between boxes that touch, overlap or lie within ``buffer`` of each other.
 
-    Boxes are hashed to every grid cell they reach; candidates meet by cell
-    equality, and a pair is kept only in the first cell both share, so no
-    de-duplicating shuffle follows.
+    Copies of one box are linked to their smallest id, so a pile of copies costs one
+    edge each; distinct boxes meet by equality of the grid cells they reach, and a
+    pair is kept only in the first cell both share, so no de-duplicating shuffle follows.
     """
-    reach = boxes.select(
-        F.col(id_col).alias("id"), "w", "s", "e", "n",
-        F.floor((F.col("w") - buffer) / cell).alias("cx0"), F.floor((F.col("e") + buffer) / cell).alias("cx1"),
-        F.floor((F.col("s") - buffer) / cell).alias("cy0"), F.floor((F.col("n") + buffer) / cell).alias("cy1"),
+    sides = ["w", "s", "e", "n"]
+    distinct = boxes.groupBy(*sides).agg(F.min(id_col).alias("id"))
+    copies = (
+        boxes.select(F.col(id_col).alias("dst"), *sides).join(distinct.withColumnRenamed("id", "src"), sides)
+        .filter("src <> dst").select("src", "dst")
     )
+    low, high = (lambda c: F.floor((F.col(c) - buffer) / cell)), (lambda c: F.floor((F.col(c) + buffer) / cell))
+    reach = distinct.select("id", *sides, low("w").alias("cx0"), high("e").alias("cx1"), low("s").alias("cy0"), high("n").alias("cy1"))
     spread = reach.withColumn("cx", F.explode(F.sequence("cx0", "cx1"))).withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
     a, b = spread.alias("a"), spread.alias("b")
     dx = F.greatest(F.lit(0.0), F.col("b.w") - F.col("a.e"), F.col("a.w") - F.col("b.e"))
     dy = F.greatest(F.lit(0.0), F.col("b.s") - F.col("a.n"), F.col("a.s") - F.col("b.n"))
-    return (
+    near = (
         a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")))
         .filter(
             (F.col("a.cx") == F.greatest("a.cx0", "b.cx0"))
@@ -104,3 +107,4 @@ def box_adjacency(boxes: DataFrame, buffer: float = 0.0, cell: float = 64.0, id_
         )
         .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
     )
+    return near.unionByName(copies)

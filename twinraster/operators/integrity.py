@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import reasons
 from . import manifest as M
 from . import runs as R
+from .ordering import exact_quantiles
 
 IGNORED = -100
 
@@ -66,10 +67,12 @@ def distribution_totals(samples: DataFrame) -> DataFrame:
 def shift_summary(shifts: DataFrame, limit: float = 4.0) -> DataFrame:
     """Quantiles of reliable shift magnitudes and the number of large ones."""
     m = F.when(F.col("reliable"), F.col("magnitude"))
-    q = shifts.agg(
-        F.count(F.lit(1)).alias("estimated"), F.count(m).alias("reliable"), F.percentile(m, F.array(*[F.lit(v) for v in (0.5, 0.9, 0.95, 0.99)])).alias("_q"),
-        F.avg(m).alias("mean"), F.max(m).alias("max"), F.count_if(m > limit).alias("high_shift"))
-    return q.select("estimated", "reliable", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], "mean", "max", "high_shift")
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    sums = shifts.agg(F.count(F.lit(1)).alias("estimated"), F.count(m).alias("reliable"), F.avg(m).alias("mean"), F.max(m).alias("max"), F.count_if(m > limit).alias("high_shift"))
+    names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = exact_quantiles(shifts.filter("reliable"), "magnitude", list(names.values()))
+    q = q.agg(*[F.max(F.when(F.col("share") == v, F.col("quantile"))).alias(n) for n, v in names.items()])
+    return one(sums).join(one(q), "_k").drop("_k")
 
 
 def edit_diagnostics(pixels: DataFrame) -> DataFrame:

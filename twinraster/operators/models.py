@@ -196,10 +196,15 @@ def out_of_fold(rows: DataFrame, names: list[str], label: str, fold: str, k: int
 
 
 def threshold_grid(scored: DataFrame, label: str, grid: list[float] = OOF_GRID) -> DataFrame:
-    """Confusion and rates per threshold."""
-    t = scored.withColumn("threshold", F.explode(F.array(*[F.lit(v) for v in grid])))
-    hit, y = F.col("oof") >= F.col("threshold"), F.col(label) == 1
-    g = t.groupBy("threshold").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
+    """Confusion and rates per threshold, from one count per (bucket of passed thresholds, label)."""
+    levels = sorted(grid)
+    passed = F.size(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda t: t <= F.col("oof")))
+    counts = scored.groupBy(passed.alias("bucket"), (F.col(label) == 1).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    t = counts.withColumn("l", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])))
+    hit = F.col("bucket") > F.col("l.i")
+    total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    g = t.groupBy(F.col("l.v").alias("threshold")).agg(
+        total(hit & F.col("y")).alias("tp"), total(hit & ~F.col("y")).alias("fp"), total(~hit & F.col("y")).alias("fn"), total(~hit & ~F.col("y")).alias("tn"))
     one = lambda c: F.greatest(c, F.lit(1))
     p, r = F.col("tp") / one(F.col("tp") + F.col("fp")), F.col("tp") / one(F.col("tp") + F.col("fn"))
     return g.withColumn("precision", F.round(p, 4)).withColumn("recall", F.round(r, 4)).withColumn(

@@ -68,3 +68,23 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     """First ``n`` rows per group; Spark prunes each input partition to ``n`` before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).withColumnRenamed("_rank", "rank")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """(share, quantile) with linear interpolation, for a column of any size.
+
+    The column is ranked globally; only the two neighbours of each asked-for
+    position are kept, so no task holds the whole column.
+    """
+    ranked = global_index(df.select(F.col(value).alias("v")).filter(F.col("v").isNotNull()), F.col("v"), name="_g")
+    last = ranked.agg(F.max("_g").alias("last")).first()["last"]
+    if last is None:
+        return df.sparkSession.createDataFrame([], "share double, quantile double")
+    spots = []
+    for s in shares:
+        at = s * last
+        low = int(at)
+        spots += [(s, low, 1 - (at - low))] + ([(s, low + 1, at - low)] if at > low else [])
+    asked = F.explode(F.filter(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(g).alias("g"), F.lit(float(w)).alias("w")) for s, g, w in spots]), lambda a: a["g"] == F.col("_g")))
+    wanted = ranked.filter(F.col("_g").isin([g for _, g, _ in spots])).select("v", asked.alias("a"))
+    return wanted.groupBy(F.col("a.share").alias("share")).agg(F.sum(F.col("v") * F.col("a.w")).alias("quantile"))

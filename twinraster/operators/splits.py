@@ -47,21 +47,23 @@ def both_sides(split: DataFrame) -> None:
 def leakage_groups(rows: DataFrame, group: str) -> DataFrame:
     """Groups that hold rows of both splits, with counts and the exact number of leaking pairs.
 
-    The pair list is the product of the two sides; it is returned in factored form
-    so that one large group stays one row. ``leakage_pairs`` expands it on request.
+    The pair list is the product of the two sides. It is kept in factored form, one row
+    per group here and one row per member in ``leakage_members``, so that a large group
+    stays linear.
     """
     sides = rows.groupBy(group).agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
     return sides.filter((F.col("n_train") > 0) & (F.col("n_val") > 0)).withColumn("n_pairs", F.col("n_train") * F.col("n_val"))
 
 
-def leakage_pairs(rows: DataFrame, group: str, keep: list[str]) -> DataFrame:
-    """Every (train, val) pair inside a leaking group; both sides are pruned to leaking groups first."""
-    bad = leakage_groups(rows, group).select(group)
-    hot = rows.join(bad, group, "left_semi")
-    a = hot.filter("split = 'train'").select(group, *[F.col(c).alias(f"train_{c}") for c in keep])
-    b = hot.filter("split = 'val'").select(group, *[F.col(c).alias(f"val_{c}") for c in keep])
-    return a.join(b, group)
+def leakage_members(rows: DataFrame, group: str, keep: list[str]) -> DataFrame:
+    """Every row of a leaking group, its side, and how many rows of the other side it leaks with.
+
+    The train and validation rows of one group are the complete list of leaking pairs.
+    """
+    bad = leakage_groups(rows, group)
+    other = F.when(F.col("split") == "train", F.col("n_val")).otherwise(F.col("n_train"))
+    return rows.join(bad, group).select(group, "id", "split", *keep, other.alias("n_opposite"))
 
 
 def leakage_status(rows: DataFrame, group: str, located: Column) -> DataFrame:
@@ -107,6 +109,15 @@ def coverage_violations(inventory: DataFrame, parts: DataFrame, fields: list[str
     return joined.select("id", why.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def temporal_steps(records: DataFrame, min_gap: int = 1, max_gap: int | None = None) -> DataFrame:
+    """(region, year_pre, year_post, n_pre, n_post): the pair list of ``temporal_pairs`` by year, linear in size."""
+    n = records.groupBy("region_id", "year").agg(F.count(F.lit(1)).alias("n"))
+    pre, post = n.withColumnsRenamed({"year": "year_pre", "n": "n_pre"}), n.withColumnsRenamed({"year": "year_post", "n": "n_post"})
+    gap = F.col("year_post") - F.col("year_pre")
+    rule = gap >= min_gap if max_gap is None else gap.between(min_gap, max_gap)
+    return pre.join(post, "region_id").filter(rule)
+
+
 def temporal_pairs(records: DataFrame, min_gap: int = 1, max_gap: int | None = None) -> DataFrame:
     """All (pre, post) records of one region whose year gap lies in the range.
 

@@ -60,7 +60,7 @@ def map_files(spark, sf):
     soft = A.softmax([F.col("pre_r"), F.col("pre_g"), F.col("pre_b")])
     cells = V.image_pairs(spark, sf).select("pair_id", F.struct((F.col("y") * N + F.col("x")).alias("i"), *[s.alias(f"p{k}") for k, s in enumerate(soft)]).alias("c"))
     packed = cells.groupBy("pair_id").agg(F.sort_array(F.collect_list("c")).alias("cs")).select(
-        F.col("pair_id").cast("string").alias("id"), F.flatten(F.array(*[F.transform("cs", lambda c, k=k: c[f"p{k}"]) for k in range(3)])).alias("v"))
+        F.col("pair_id").cast("string").alias("id"), F.flatten(F.array(*[F.col(f"cs.p{k}") for k in range(3)])).alias("v"))
 
     def pack(batches):
         for pdf in batches:
@@ -256,8 +256,8 @@ def evidence_record(spark, sf):
 
 
 @query("x08_rule_comparison", EQ.STABILITY_SQL + f""",
-ru AS (SELECT * FROM (VALUES ('A',3,0.0),('B',4,0.0),('C',3,0.2),('D',3,0.3),('E',3,0.4)) r(rule,n,t)),
-kr AS (SELECT rule, {OWN} FROM stb, ru WHERE k+1>=n AND mi>=t), pa AS (SELECT rule, {KEY}, count(*) AS a FROM kr JOIN ck USING ({OWN}) GROUP BY ALL),
+ru AS (SELECT * FROM (VALUES ('A',3,0.0),('B',4,0.0),('C',3,0.2),('D',3,0.3),('E',3,0.4)) r(rule,n,lim)),
+kr AS (SELECT rule, {OWN} FROM stb, ru WHERE k+1>=n AND mi>=lim), pa AS (SELECT rule, {KEY}, count(*) AS a FROM kr JOIN ck USING ({OWN}) GROUP BY ALL),
 tr AS (SELECT pair_id, class_name, count(*) FILTER (WHERE p>=0.9::DOUBLE)>0 AS t FROM maps GROUP BY ALL),
 o AS (SELECT CASE WHEN tr.pair_id%2=0 THEN 'legacy' ELSE 'stress' END AS population, ru.rule, tr.class_name, t, coalesce(a,0)>=20 AS q FROM tr CROSS JOIN ru LEFT JOIN pa ON pa.pair_id=tr.pair_id AND pa.class_name=tr.class_name AND pa.rule=ru.rule)
 SELECT population, rule, class_name, count(*) FILTER (WHERE t AND q) AS tp, count(*) FILTER (WHERE NOT t AND q) AS fp, count(*) FILTER (WHERE t AND NOT q) AS fn, count(*) FILTER (WHERE NOT t AND NOT q) AS tn FROM o GROUP BY ALL""")

@@ -320,6 +320,12 @@ def temporal_pairs_open(spark, sf):
     return P.temporal_pairs(V.acquisitions(spark, sf), 4)
 
 
+@query("j01_temporal_steps", "WITH " + V.ACQUISITIONS_SQL + """,
+n AS (SELECT region_id, year, count(*) AS n FROM acq GROUP BY ALL) SELECT a.region_id, a.year AS year_pre, b.year AS year_post, a.n AS n_pre, b.n AS n_post FROM n a JOIN n b ON a.region_id=b.region_id AND b.year>a.year""")
+def temporal_steps(spark, sf):
+    return P.temporal_steps(V.acquisitions(spark, sf))
+
+
 @query("j03_shared_key_edges", WITH + "," + KEYS_SQL + """,
 c AS (SELECT namespace, value, min(id) AS dst FROM kv GROUP BY ALL HAVING count(*)>1)
 SELECT namespace, value, id AS src, dst FROM kv JOIN c USING (namespace, value) WHERE id<>dst""")
@@ -332,13 +338,12 @@ def geographic_groups(spark, sf):
     return grouped(spark, sf).select("id", "group_id")
 
 
-@query("j07_leakage_pairs", GROUPS_SQL + """
-SELECT a.group_id, a.id AS train_id, b.id AS val_id, a.year_pre||'->'||a.year_post AS train_interval, b.year_pre||'->'||b.year_post AS val_interval
-FROM mg a JOIN mg b USING (group_id) WHERE a.split='train' AND b.split='val'""")
-def leakage_pairs(spark, sf):
-    pairs = P.leakage_pairs(row_split(grouped(spark, sf)), "group_id", ["id", "year_pre", "year_post"])
-    return pairs.select("group_id", "train_id", "val_id", F.concat_ws("->", "train_year_pre", "train_year_post").alias("train_interval"),
-                        F.concat_ws("->", "val_year_pre", "val_year_post").alias("val_interval"))
+@query("j07_leakage_members", GROUPS_SQL + """,
+g AS (SELECT group_id, count(*) FILTER (WHERE split='train') a, count(*) FILTER (WHERE split='val') b FROM mg GROUP BY 1)
+SELECT group_id, id, split, year_pre||'->'||year_post AS span, CASE split WHEN 'train' THEN b ELSE a END AS n_opposite FROM mg JOIN g USING (group_id) WHERE a>0 AND b>0""")
+def leakage_members(spark, sf):
+    rows = row_split(grouped(spark, sf)).withColumn("span", F.concat_ws("->", "year_pre", "year_post"))
+    return P.leakage_members(rows, "group_id", ["span"])
 
 
 @query("j07_leakage_status", GROUPS_SQL + """,

@@ -42,7 +42,7 @@ def best_so_far(log: DataFrame, mode: str = "max", min_delta: float = 0.0, patie
     if min_delta == 0:
         marked = prior.withColumn("improved", record)
     else:
-        records = prior.filter(record).select("run", "step", F.round(sign * F.col("value"), 12).alias("v"))
+        records = prior.filter(record).select("run", "step", (sign * F.col("value")).alias("v"))
         # Records rise with the step, so the successor is the first with v > own v + delta.
         probes = records.select("run", (F.col("v") + min_delta).alias("v"), F.lit(0).alias("kind"), F.col("step").alias("owner"))
         marks = records.select("run", "v", F.lit(1).alias("kind"), F.col("step").alias("owner"))

@@ -71,7 +71,9 @@ def map_files(spark, sf):
                 out.append(buffer.getvalue())
             yield pd.DataFrame({"id": pdf["id"], "content": out})
 
-    return D.long_maps(D.decode_maps(packed.mapInPandas(pack, "id string, content binary"))).withColumn("p", F.round("p", 4))
+    path = scratch_path(spark, "maps")
+    packed.mapInPandas(pack, "id string, content binary").write.parquet(path)
+    return D.long_maps(D.decode_maps(spark.read.parquet(path))).withColumn("p", F.round("p", 4))
 
 
 @query("v07_image_checks", "WITH " + GQ.BYTES_SQL + """,

@@ -49,33 +49,6 @@ def image_decode(spark, sf):
     return A.image_pixels(image_rows(spark, sf), ["pair_id"])
 
 
-@query("s05_map_files", "WITH " + V.IMAGE_SQL + ", z AS (SELECT pair_id, y, x, exp(pre_r) a, exp(pre_g) b, exp(pre_b) c FROM img) SELECT CAST(pair_id AS VARCHAR) AS id, CAST(k AS INTEGER) AS channel, y, x, round([a,b,c][k+1]/(a+b+c),4) AS p FROM z, range(3) t(k)")
-def map_files(spark, sf):
-    """Maps are packed to .npy bytes per tile and decoded again."""
-    from io import BytesIO
-
-    import numpy as np
-    import pandas as pd
-
-    soft = A.softmax([F.col("pre_r"), F.col("pre_g"), F.col("pre_b")])
-    cells = V.image_pairs(spark, sf).select("pair_id", F.struct((F.col("y") * N + F.col("x")).alias("i"), *[s.alias(f"p{k}") for k, s in enumerate(soft)]).alias("c"))
-    packed = cells.groupBy("pair_id").agg(F.sort_array(F.collect_list("c")).alias("cs")).select(
-        F.col("pair_id").cast("string").alias("id"), F.flatten(F.array(*[F.col(f"cs.p{k}") for k in range(3)])).alias("v"))
-
-    def pack(batches):
-        for pdf in batches:
-            out = []
-            for v in pdf["v"]:
-                buffer = BytesIO()
-                np.save(buffer, np.asarray(v, dtype=np.float32).reshape(3, N, N), allow_pickle=False)
-                out.append(buffer.getvalue())
-            yield pd.DataFrame({"id": pdf["id"], "content": out})
-
-    path = scratch_path(spark, "maps")
-    packed.mapInPandas(pack, "id string, content binary").write.parquet(path)
-    return D.long_maps(D.decode_maps(spark.read.parquet(path))).withColumn("p", F.round("p", 4))
-
-
 @query("v07_image_checks", "WITH " + GQ.BYTES_SQL + """,
 s AS (SELECT pair_id, unnest([pre_r,pre_g,pre_b]) AS v FROM (SELECT pair_id, CASE WHEN pair_id%9=0 THEN 5 ELSE pre_r END pre_r, CASE WHEN pair_id%9=0 THEN 5 ELSE pre_g END pre_g, CASE WHEN pair_id%9=0 THEN 5 ELSE pre_b END pre_b FROM bt WHERE NOT (pair_id%11=0 AND y=7))),
 a AS (SELECT pair_id, stddev_pop(v) sd, avg(v) m FROM s GROUP BY 1)

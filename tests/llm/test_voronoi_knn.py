@@ -11,19 +11,13 @@ def brute(rows, k, every):
     usable = {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            usable.setdefault(i, set()).add(tuple(math.floor(256 * x) for x in v))
+            v = [math.floor(256 * x) for x in v]
+            usable[i] = min(v, usable.get(i, v))
     out = []
     for q in usable:
-        if q % every:
-            continue
-        scores = {}
-        for c in usable:
-            for a in usable[q]:
-                for b in usable[c]:
-                    if c != q:
-                        scores.setdefault(c, set()).add(sum(x * y for x, y in zip(a, b)))
-        ranked = sorted((-s, c) for c, ss in scores.items() for s in ss)[:k]
-        out += [(q, n, c, -s) for n, (s, c) in enumerate(ranked, 1)]
+        if q % every == 0:
+            ranked = sorted((-sum(x * y for x, y in zip(usable[q], v)), c) for c, v in usable.items() if c != q)[:k]
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(ranked, 1)]
     return sorted(out)
 
 
@@ -42,7 +36,7 @@ def test_equals_brute_force(spark, monkeypatch, kind):
     rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in zip(rng.permutation(len(vectors)), vectors)]
     if kind == "mixed":
         rows += [(1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] + [0.0] * 5), (None, [1.0] * 6),
-                 (1004, []), (1005, [9.0, 9.0]), (1010, [0.0] * 6), rows[0], rows[1]]
+                 (1004, []), (1005, [9.0, 9.0]), (1010, [0.0] * 6), rows[0], rows[1]] + [(20, [50.0 - i] * 6) for i in range(9)] + [(21, [40.0] * 6)] * 9
     docs = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, cell int").repartition(4)
     found = V.top_products(docs, F.col("vec_id") % 10 == 0, pivots=7)
     assert sorted(map(tuple, found.collect())) == brute(rows, 5, 10)

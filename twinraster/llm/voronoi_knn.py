@@ -20,18 +20,18 @@ from .common import stored
 
 #: Pivots (their vectors are what is broadcast), candidates per block and queries per block.
 PIVOTS, BLOCK_ROWS, BLOCK_QUERIES = 48, 8192, 4096
-#: Relative slack on bounds, far above rounding errors of distances in doubles.
-SLACK = 1e-9
+#: Relative slack on bounds, above rounding errors: a distance near 0 is the root of a difference of squares in doubles.
+SLACK = 1e-6
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(id, v array of long, norm2): floor(scale * x) of each component. Rows with a null id, vector or component, or one
-    that isn't finite, take no part; rows that repeat an id and a vector are one."""
+    that isn't finite, take no part; an id that comes again counts once, with the smallest of its vectors."""
     x = F.col(vector_col)
     usable = x.isNotNull() & F.col(id_col).isNotNull() & ~F.coalesce(
         F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
     v = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("bigint"))
-    rows = vectors.filter(usable).select(F.col(id_col).alias("id"), v.alias("v"))
+    rows = vectors.filter(usable).select(F.col(id_col).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
 
 
@@ -125,9 +125,6 @@ def best_products(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots:
         if len(held) and len(asks):
             held = held.sort_values("id", kind="stable")
             ids, matrix = held["id"].to_numpy(), _matrix(held["v"], width)
-            if len(set(ids)) < len(ids):  # an id that comes again with the same vector is one candidate
-                once = ~pd.DataFrame({"id": ids, "v": [r.tobytes() for r in matrix]}).duplicated().to_numpy()
-                ids, matrix = ids[once], matrix[once]
             for at in range(0, len(asks), 256):
                 some = asks.iloc[at: at + 256]
                 scores = _products(_matrix(some["v"], width), matrix)
@@ -144,7 +141,7 @@ def best_products(candidates: DataFrame, queries: DataFrame, k: int = 5, pivots:
     keys = ["cell", "part", "turn"]
     local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(solve, "query_id bigint, id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return local.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
+    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
 
 
 def top_products(

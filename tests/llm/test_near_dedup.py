@@ -83,6 +83,21 @@ def test_large_groups_stay_linear(spark):
     assert len(found) == 500 and {r.class_id for r in found} == {0}
 
 
+def test_heavily_edited_copies(spark):
+    rng = random.Random(4)
+    base = rng.choices(VOCABULARY, k=150)
+    rows = [(7, " ".join(base))]
+    for i in range(100, 260):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(150)] = rng.choice(VOCABULARY)
+        if i % 11 == 0:
+            del words[rng.randrange(150)]
+        rows.append((i, " ".join(words)))
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute(rows)
+
+
 def test_odd_rows(spark):
     long_text = " ".join(VOCABULARY * 10)
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, " a  b "), (6, "a c"), (7, long_text), (8, long_text + " end"), (9, None),

@@ -110,7 +110,7 @@ def test_planted_shift_is_found(spark, dy, dx):
     post = np.roll(pre, (dy, dx), axis=(0, 1))
     planes = spark.createDataFrame([(1, y, x, pre[y, x].tolist(), post[y, x].tolist()) for y in range(n) for x in range(n)], "pair_id long, y int, x int, v_pre array<double>, v_post array<double>")
     lab = spark.createDataFrame([(1, "new_building", 0, y, 6, 10) for y in range(6, 10)], "pair_id long, class_name string, component_id long, y int, x0 int, x1 int")
-    shifts = E.scale_offsets(3, n, n, n)
+    shifts = E.shift_table(spark, 3, n, n, n)
     support, chosen = E.usable_support(E.alignment_region(lab, n, n, 2, 1), shifts, n)
     best = E.best_shift(E.shift_residuals(support, chosen, planes, shifts), 2).first()
     assert (best.best_dy, best.best_dx) == (dy, dx) and best.residual_after == pytest.approx(0)
@@ -186,3 +186,32 @@ def test_torn_journal_is_rejected(spark, tmp_path):
     schema = spark.createDataFrame([], "key string, v int").schema
     with pytest.raises(Exception):
         tables.read_journal(spark, str(folder), schema).collect()
+
+
+def test_matching_has_no_round_limit(spark):
+    """Overlaps fall along the chain, so every round can take one edge only."""
+    edges = [(0, k // 2, (k + 1) // 2, 0.95 - k / 1000, 0.0) for k in range(70)]
+    df = spark.createDataFrame(edges, "pair_id long, i long, j long, iou double, drift double")
+    used_i, used_j, want = set(), set(), set()
+    for _, i, j, _, _ in edges:
+        if i not in used_i and j not in used_j:
+            used_i.add(i), used_j.add(j), want.add((i, j))
+    assert {(r.i, r.j) for r in matching.greedy_match(df, ["pair_id"]).collect()} == want
+
+
+def test_reference_size_image_decodes(spark, tmp_path):
+    pixels = np.random.default_rng(1).integers(0, 256, (256, 256, 3), dtype=np.uint8)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 256, 256, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    images = spark.read.format("image").load(str(tmp_path)).withColumn("id", F.lit(1))
+    found = M.image_pixels(images, ["id"]).orderBy("y", "x").select("r", "g", "b").toPandas().to_numpy()
+    assert (found.reshape(256, 256, 3) == pixels).all()
+
+
+def test_held_out_images_are_one_namespace(spark):
+    schema = "id string, pre string, post string, source_id string"
+    train = spark.createDataFrame([("a", "img/1", "img/2", ""), ("b", "img/8", "img/9", "h"), ("c", "img/6", "img/7", None)], schema)
+    held = spark.createDataFrame([("h", "img/2", "img/3", None)], schema)
+    found = splits.heldout_violations(train, held, {"image": ["pre", "post"], "source": [splits.own_source()]})
+    assert {tuple(r) for r in found.collect()} == {("a", "shared image"), ("b", "shared source")}

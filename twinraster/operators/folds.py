@@ -25,7 +25,7 @@ def _running_before(rows: DataFrame, better) -> DataFrame:
     return ranked.join(blocks, ["run", "_block"]).withColumn("_prior", pick("_carry", better("value").over(inner))).drop("_carry")
 
 
-def best_so_far(log: DataFrame, mode: str = "max", min_delta: float = 0.0, patience: int = 5, max_rounds: int = 64) -> DataFrame:
+def best_so_far(log: DataFrame, mode: str = "max", min_delta: float = 0.0, patience: int = 5) -> DataFrame:
     """(run, step, value, improved, best, bad, stop) of an ordered metric log.
 
     A step improves when it beats the last accepted best by more than ``min_delta``.
@@ -52,7 +52,7 @@ def best_so_far(log: DataFrame, mode: str = "max", min_delta: float = 0.0, patie
         start = records.groupBy("run").agg(F.min("step").alias("step"))
         reached = start.withColumn("improved", F.lit(True))
         jump = links
-        for _ in range(max_rounds):
+        while True:
             more = reached.join(jump, ["run", "step"]).filter(F.col("next").isNotNull()).select("run", F.col("next").alias("step"), F.lit(True).alias("improved"))
             grown = cut(reached.unionByName(more).distinct())
             if grown.count() == reached.count():

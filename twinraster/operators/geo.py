@@ -11,41 +11,51 @@ GEOMETRY = "struct<type:string,coordinates:string>"
 RINGS = "array<array<array<double>>>"
 
 
-def read_footprints(spark: SparkSession, path: str, box: tuple[float, float, float, float], max_features: int | None = None, max_line: int = 1_000_000) -> DataFrame:
-    """(feature_id, rings, box) of GeoJSON lines whose envelope meets ``box``.
+def read_footprints(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(feature_id, part, rings, w, s, e, n) of GeoJSON lines whose envelope meets ``box``, every part of such a feature.
 
-    Lines above ``max_line`` characters and feature counts above ``max_features`` are errors.
+    ``w, s, e, n`` is the envelope of the whole feature. What can't be used is listed by ``footprint_violations``.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    text = F.when(F.length("value") > max_line, F.raise_error(F.lit("footprint line is too long"))).otherwise(F.col("value"))
-    parsed = lines.select(F.get_json_object(text, "$.id").alias("feature_id"), F.get_json_object(text, "$.geometry.type").alias("kind"),
-                          F.get_json_object(text, "$.geometry.coordinates").alias("c"))
+    parsed = lines.select(F.get_json_object("value", "$.id").alias("feature_id"), F.get_json_object("value", "$.geometry.type").alias("kind"),
+                          F.get_json_object("value", "$.geometry.coordinates").alias("c"))
     single = F.array(F.from_json("c", RINGS))
     many = F.from_json("c", f"array<{RINGS}>")
-    polygons = parsed.filter(F.col("kind").isin("Polygon", "MultiPolygon")).select(
-        "feature_id", F.explode(F.when(F.col("kind") == "Polygon", single).otherwise(many)).alias("rings"))
-    outer = F.col("rings")[0]
-    side = lambda f, i: f(F.transform(outer, lambda p: p[i]))
-    boxed = polygons.filter(F.size(outer) >= 3).select(
-        "feature_id", "rings", side(F.array_min, 0).alias("w"), side(F.array_min, 1).alias("s"), side(F.array_max, 0).alias("e"), side(F.array_max, 1).alias("n"))
+    features = parsed.filter(F.col("kind").isin("Polygon", "MultiPolygon")).select(
+        "feature_id", F.filter(F.when(F.col("kind") == "Polygon", single).otherwise(many), lambda p: F.size(p[0]) >= 3).alias("parts"))
+    corners = F.flatten(F.transform("parts", lambda p: p[0]))
+    side = lambda f, i: f(F.transform(corners, lambda c: c[i]))
+    boxed = features.filter(F.size("parts") > 0).select(
+        "feature_id", "parts", side(F.array_min, 0).alias("w"), side(F.array_min, 1).alias("s"), side(F.array_max, 0).alias("e"), side(F.array_max, 1).alias("n"))
     west, south, east, north = box
     kept = boxed.filter((F.col("e") >= west) & (F.col("w") <= east) & (F.col("n") >= south) & (F.col("s") <= north))
-    if max_features is not None and kept.limit(max_features + 1).count() > max_features:
-        raise ValueError("area of interest holds too many footprints")
-    return kept
+    return kept.select("feature_id", F.posexplode("parts").alias("part", "rings"), "w", "s", "e", "n")
 
 
-def catalogue_items(pages: DataFrame, years: list[int], state: str | None, max_items: int) -> DataFrame:
-    """Items of fetched pages by year and state, unique by id, capped with a ``truncated`` flag."""
+def footprint_violations(spark: SparkSession, path: str, max_line: int = 1_000_000, max_features: int = 1_000_000) -> DataFrame:
+    """(feature_id, reason): lines that hold no usable polygon or are longer than ``max_line``, and one row without an id if
+    there are more than ``max_features`` lines. The scan itself keeps everything; the caller decides."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    kind = F.get_json_object("value", "$.geometry.type")
+    found = lines.select(F.get_json_object("value", "$.id").alias("feature_id"), F.explode(reasons(
+        (F.length("value") > max_line, "line is too long"), (kind.isNull() | ~kind.isin("Polygon", "MultiPolygon"), "not a polygon"))).alias("reason"))
+    count = lines.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_features)
+    return found.unionByName(count.select(F.lit(None).cast("string").alias("feature_id"), F.lit("too many features").alias("reason")))
+
+
+def catalogue_items(pages: DataFrame, years: list[int], state: str | None) -> DataFrame:
+    """Every item of fetched pages by year and state, unique by id."""
     f = pages.select(F.explode("features").alias("f")).select(
         F.col("f.id").alias("id"), F.year(F.to_timestamp("f.properties.datetime")).alias("year"), F.lower("f.properties.state").alias("state"), F.col("f.properties.gsd").alias("gsd"))
     kept = f.filter(F.col("year").isin(*years))
     if state is not None:
         kept = kept.filter(F.col("state") == state.lower())
-    kept = kept.dropDuplicates(["id"])
-    total = kept.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    head = kept.orderBy("id").limit(max_items).withColumn("_k", F.lit(1))
-    return head.join(F.broadcast(total), "_k").withColumn("truncated", F.col("_n") > max_items).drop("_n", "_k")
+    return kept.dropDuplicates(["id"])
+
+
+def catalogue_verdict(items: DataFrame, max_items: int) -> DataFrame:
+    """One row: how many items there are and whether a caller that takes ``max_items`` would truncate them."""
+    return items.agg(F.count(F.lit(1)).alias("items")).withColumn("truncated", F.col("items") > max_items)
 
 
 def year_options(records: DataFrame, min_gap: int = 2, max_gap: int = 4) -> DataFrame:
@@ -111,12 +121,13 @@ def common_grid(pairs: DataFrame, resolution: float) -> DataFrame:
     return g.withColumn("width", F.round((F.col("east") - F.col("west")) / resolution).cast("int")).withColumn("height", F.round((F.col("north") - F.col("south")) / resolution).cast("int"))
 
 
-def grid_tiles(grids: DataFrame, size: int, max_tiles: int, max_pixels: int) -> DataFrame:
-    """Complete tiles of every grid; a grid beyond a cap is an error when read."""
+def grid_tiles(grids: DataFrame, size: int, max_tiles: int | None = None, max_pixels: int | None = None) -> DataFrame:
+    """Complete tiles of every grid, each with the ``verdict`` on its grid: null, or the limit that the grid passes."""
     tiles = F.floor(F.col("width") / size) * F.floor(F.col("height") / size)
-    guarded = F.when(tiles > max_tiles, F.raise_error(F.lit("too many tiles")).cast("int")).when(
-        F.col("width").cast("long") * F.col("height") > max_pixels, F.raise_error(F.lit("grid exceeds the pixel limit")).cast("int")).otherwise(F.col("height"))
-    g = grids.withColumn("height", guarded).filter((F.col("width") >= size) & (F.col("height") >= size))
+    never = F.lit(False)
+    verdict = F.when(never if max_tiles is None else tiles > max_tiles, "too many tiles").when(
+        never if max_pixels is None else F.col("width").cast("long") * F.col("height") > max_pixels, "grid exceeds the pixel limit")
+    g = grids.withColumn("verdict", verdict).filter((F.col("width") >= size) & (F.col("height") >= size))
     return g.withColumn("row", F.explode(F.expr(f"sequence(0, height - {size}, {size})"))).withColumn("col", F.explode(F.expr(f"sequence(0, width - {size}, {size})")))
 
 
@@ -133,7 +144,8 @@ def utm_code(lon: Column, lat: Column) -> Column:
 
 
 def granules(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Names of the 10-degree granules that cover each lon/lat box, by their upper-left corner."""
+    """Names of the 10-degree granules that cover each lon/lat box, by their upper-left corner; an empty box has none."""
+    boxes = boxes.filter((F.col("e") > F.col("w")) & (F.col("n") > F.col("s")))
     lon = F.explode(F.sequence((F.floor(F.col("w") / 10) * 10).cast("int"), ((F.ceil(F.col("e") / 10) - 1) * 10).cast("int"), F.lit(10)))
     lat = F.explode(F.sequence((F.floor(F.col("s") / 10) * 10 + 10).cast("int"), (F.ceil(F.col("n") / 10) * 10).cast("int"), F.lit(10)))
     t = boxes.withColumn("lon", lon).withColumn("lat", lat)

@@ -34,7 +34,7 @@ def shared_key_edges(rows: DataFrame, keys: list[tuple[str, str]], id_col: str =
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with component = smallest node of the connected set.
 
     Alternates two star contractions. Every step is a map-side combined ``min``
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
     links = cut(links)
     signature = None
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
         nearest = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
         large = (
@@ -64,8 +64,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if current == signature:
             break
         signature = current
-    else:
-        raise RuntimeError("component search did not settle")
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 

@@ -72,10 +72,10 @@ def invalid_probabilities(maps: DataFrame, keys: list[str], softmax_tolerance: f
 def image_pixels(images: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, x, r, g, b) from the image source's struct (BGR or grey bytes, row-major)."""
     channels = F.col("image.nChannels")
-    digits = F.hex(F.col("image.data"))
-    t = images.select(*keys, F.col("image.width").alias("_w"), channels.alias("_c"), digits.alias("_h"),
+    t = images.select(*keys, F.col("image.width").alias("_w"), channels.alias("_c"), F.col("image.data").alias("_h"),
                       F.explode(F.sequence(F.lit(0), F.col("image.width") * F.col("image.height") - 1)).alias("_i"))
-    byte = lambda k: F.conv(F.substring(F.col("_h"), F.col("_i") * F.col("_c") * 2 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
+    # A slice of the binary value itself costs the slice, wherever it starts.
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("_h"), F.col("_i") * F.col("_c") + 1 + k, F.lit(1))), 16, 10).cast("int")
     last = F.when(F.col("_c") >= 3, 2).otherwise(0)
     middle = F.when(F.col("_c") >= 3, 1).otherwise(0)
     return t.select(*keys, F.floor(F.col("_i") / F.col("_w")).cast("int").alias("y"), (F.col("_i") % F.col("_w")).cast("int").alias("x"),

@@ -61,16 +61,17 @@ def match_candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def greedy_match(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one matching in the total order (-iou, drift, i, j).
 
     An edge that is first for both of its ends is always taken by the greedy walk,
-    so each round takes all such edges and drops every edge that touches them.
+    so each round takes all such edges and drops every edge that touches them. The
+    first edge of all is always taken, so every round shrinks what is left.
     """
     order = F.struct((-F.col("iou")).alias("a"), F.col("drift").alias("b"), F.col("i").alias("c"), F.col("j").alias("d"))
     left = cut(edges.withColumn("_o", order))
     taken = None
-    for _ in range(max_rounds):
+    while True:
         wi, wj = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "j")
         ranked = left.withColumn("_bi", F.min("_o").over(wi)).withColumn("_bj", F.min("_o").over(wj))
         ranked = ranked.withColumn("_take", (F.col("_o") == F.col("_bi")) & (F.col("_o") == F.col("_bj")))
@@ -81,7 +82,6 @@ def greedy_match(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> Dat
         left = marked.filter((F.col("_ui") == 0) & (F.col("_uj") == 0)).select(*left.columns)
         if left.isEmpty():
             return taken
-    raise RuntimeError("matching did not finish")
 
 
 def match_components(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

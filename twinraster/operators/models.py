@@ -140,7 +140,7 @@ def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max
     size = (d + 1) * (d + 2)
     penalty = np.diag([l2] * d + [0.0])
     live = set(range(models))
-    for _ in range(max_iter):
+    for _ in range(max_iter):  # a fit that is still moving after the last step says so
         current, active = beta.copy(), sorted(live)
 
         def work(x, y, w, held):
@@ -164,7 +164,7 @@ def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max
                 live.discard(k)
         if not live:
             break
-    return [{"mean": mean[k].tolist(), "scale": scale[k].tolist(), "weights": beta[k, :-1].tolist(), "bias": float(beta[k, -1])} for k in range(models)]
+    return [{"mean": mean[k].tolist(), "scale": scale[k].tolist(), "weights": beta[k, :-1].tolist(), "bias": float(beta[k, -1]), "converged": k not in live} for k in range(models)]
 
 
 def linear_logit(names: list[str], model: dict) -> Column:

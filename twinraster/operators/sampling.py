@@ -29,22 +29,19 @@ def draw_epoch(pool: DataFrame, batches: int, batch_size: int, seed: int, real_r
         category = F.when(F.col("slot") == i, c).otherwise(category)
     slots = pool.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))).alias("slot")).withColumn("category", category)
     pick = F.floor(hash_unit(F.lit(seed), F.col("batch"), F.col("slot"), F.lit("member")) * F.col("_size"))
-    # Five categories: the start table has five rows.
-    placed = slots.join(F.broadcast(starts), "category").withColumn("_g", F.col("_first") + pick)
+    placed = slots.join(starts, "category").withColumn("_g", F.col("_first") + pick)
     return placed.join(indexed.select("_g", "id"), "_g").select("batch", "slot", "category", "id")
 
 
-def mine_negatives(cells: DataFrame, pairs: DataFrame, target: int, seed: int, minimum: int = 30, centre: tuple[int, int] = (384, 384)) -> DataFrame:
-    """Two passes up to ``target`` rows: best built cell per pair, then centre cells.
-
-    The target is the number of rows asked for, taken in seeded order.
-    """
+def mine_negatives(cells: DataFrame, pairs: DataFrame, seed: int, minimum: int = 30, centre: tuple[int, int] = (384, 384)) -> DataFrame:
+    """Best built cell per pair, then every pair's centre cell, with the ``rank`` in seeded order; callers take what they need."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("pair_id").cast("string")))
     best = cells.filter(F.col("built") >= minimum).groupBy("pair_id").agg(
         F.max_by(F.struct("row", "col"), F.struct("built", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("p"))
     first = best.select("pair_id", F.col("p.row").alias("row"), F.col("p.col").alias("col"), F.lit(1).alias("pass"))
     rest = pairs.select("pair_id", F.lit(centre[0]).alias("row"), F.lit(centre[1]).alias("col"), F.lit(2).alias("pass"))
-    return first.unionByName(rest).withColumn("_o", order).orderBy("pass", "_o").limit(target).drop("_o")
+    ranked = global_index(first.unionByName(rest).withColumn("_o", order), F.col("pass"), F.col("_o"), name="rank")
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("_o")
 
 
 def assign_sources(attempts: DataFrame, sources: DataFrame, index: str = "attempt") -> DataFrame:
@@ -54,14 +51,15 @@ def assign_sources(attempts: DataFrame, sources: DataFrame, index: str = "attemp
     return attempts.withColumn("_i", F.pmod(F.col(index), F.lit(n))).join(ranked, "_i").drop("_i")
 
 
-def fill_targets(attempts: DataFrame, targets: dict[str, int], max_attempts: int) -> DataFrame:
-    """Accepted attempts per category, first ones first, up to the category's target count."""
+def rank_attempts(attempts: DataFrame, targets: dict[str, int]) -> DataFrame:
+    """Accepted attempts with their ``rank`` per category, first ones first, and whether they are ``within_target``."""
     want = F.lit(None).cast("int")
     for c, n in targets.items():
         want = F.when(F.col("category") == c, n).otherwise(want)
-    from .ordering import top_per_group
-    ok = attempts.filter(F.col("accepted") & (F.col("attempt") < max_attempts))
-    return top_per_group(ok, ["category"], [F.col("attempt")], max(targets.values())).filter(F.col("rank") <= want)
+    placed = global_index(attempts.filter("accepted"), F.col("category"), F.col("attempt"), name="_g")
+    starts = placed.groupBy("category").agg(F.min("_g").alias("_first"))
+    ranked = placed.join(starts, "category").withColumn("rank", F.col("_g") - F.col("_first") + 1)
+    return ranked.withColumn("within_target", F.coalesce(F.col("rank") <= want, F.lit(False))).drop("_g", "_first")
 
 
 def _byte(v: Column) -> Column:

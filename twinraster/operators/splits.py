@@ -88,12 +88,22 @@ def duplicate_pairs(rows: DataFrame, digests: list[str], position: str) -> DataF
     return previous_in_group(rows, digests, F.col(position), "id", "previous_id").filter(F.col("previous_id").isNotNull())
 
 
-def heldout_violations(train: DataFrame, heldout: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
-    """(id, reason) of training rows that share a key value with held-out rows."""
+def own_source() -> Column:
+    """The source a row was made from, or the row itself."""
+    given = F.trim("source_id")
+    return F.when(given != "", given).otherwise(F.col("id"))
+
+
+def heldout_violations(train: DataFrame, heldout: DataFrame, keys: dict[str, list], id_col: str = "id") -> DataFrame:
+    """(id, reason) of training rows that share a value with held-out rows, once per row and key.
+
+    ``keys`` maps a name to the columns that share one namespace: any of a training row's values against all of them.
+    """
     hits = []
-    for key in keys:
-        values = heldout.select(key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
-        hits.append(train.join(values, key, "left_semi").select(id_col, F.lit(f"shared {key}").alias("reason")))
+    for name, columns in keys.items():
+        values = lambda rows, *more: rows.select(*more, F.explode(F.array_distinct(F.array(*columns))).alias("_v")).filter(F.col("_v").isNotNull() & (F.col("_v") != ""))
+        found = values(train, id_col).join(values(heldout).distinct(), "_v", "left_semi").select(id_col).distinct()
+        hits.append(found.select(id_col, F.lit(f"shared {name}").alias("reason")))
     return reduce(DataFrame.unionByName, hits)
 
 

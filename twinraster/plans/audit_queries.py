@@ -95,11 +95,11 @@ def label_integrity(spark, sf):
 
 
 @query("v13_presence_validity", "WITH " + V.TILE_SQL + """,
-f AS (SELECT pop.pair_id, pop.class_name, coalesce(bool_or(truth),false) AS hp FROM pop LEFT JOIN px ON px.pair_id=pop.pair_id AND px.class_name=pop.class_name AND px.y<4 GROUP BY ALL)
+f AS (SELECT pop.pair_id, pop.class_name, coalesce(bool_or(truth),false) AS hp FROM pop LEFT JOIN px ON px.pair_id=pop.pair_id AND px.class_name=pop.class_name AND pop.pair_id%3<>0 GROUP BY ALL)
 SELECT pair_id, class_name, hp AS presence, NOT (pair_id%4=1 AND NOT hp AND pair_id%8<>1) AND NOT (pair_id%7=0 AND class_name='tree_removal') AS presence_valid FROM f""")
 def presence_validity(spark, sf):
-    """Presence is read from the top four rows so that some classes are missing."""
-    has = V.tile_pixels(spark, sf).filter("y < 4").groupBy(*R.TILE).agg(F.bool_or("truth").alias("h"))
+    """Every third pair counts as without label pixels, so that some classes are missing."""
+    has = V.tile_pixels(spark, sf).withColumn("truth", F.col("truth") & (F.col("pair_id") % 3 != 0)).groupBy(*R.TILE).agg(F.bool_or("truth").alias("h"))
     k = F.col("pair_id")
     flags = V.presence(spark, sf).select(*R.TILE).join(has, R.TILE, "left").select(
         *R.TILE, F.coalesce("h", F.lit(False)).alias("has_pixels"), (k % 4 == 1).alias("has_review_mask"), (k % 8 == 1).alias("declared_absent"), ((k % 7 == 0) & (F.col("class_name") == "tree_removal")).alias("masked_source"))
@@ -107,12 +107,12 @@ def presence_validity(spark, sf):
 
 
 @query("v17_category_consistency", "WITH " + V.TILE_SQL + """,
-f AS (SELECT pair_id, bool_or(truth AND class_name='new_building' AND y<3) b, bool_or(truth AND class_name='tree_removal' AND y<3) t FROM px GROUP BY 1),
+f AS (SELECT pair_id, bool_or(truth AND class_name='new_building' AND pair_id%3<>1) b, bool_or(truth AND class_name='tree_removal' AND pair_id%3<>2) t FROM px GROUP BY 1),
 c AS (SELECT *, CASE WHEN b AND t THEN 'both' WHEN b THEN 'new_building' WHEN t THEN 'tree_removal' ELSE 'negative' END AS act, CASE pair_id%5 WHEN 0 THEN 'both' WHEN 1 THEN 'new_building' WHEN 2 THEN 'tree_removal' WHEN 3 THEN 'real_negative' ELSE 'negative' END AS cat FROM f)
 SELECT pair_id, 'category differs from masks' AS reason FROM c WHERE CASE WHEN cat='real_negative' THEN 'negative' ELSE cat END<>act UNION ALL SELECT pair_id, 'real negative lacks accepted full review' FROM c WHERE cat='real_negative' AND NOT (pair_id%2=0) UNION ALL SELECT pair_id, 'synthetic negative differs from its source' FROM c WHERE cat='negative' AND pair_id%3=0""")
 def category_consistency(spark, sf):
     k = F.col("pair_id")
-    w = wide_labels(spark, sf).groupBy("pair_id").agg(F.bool_or(F.col("building") & (F.col("y") < 3)).alias("has_building"), F.bool_or(F.col("tree") & (F.col("y") < 3)).alias("has_tree"))
+    w = wide_labels(spark, sf).groupBy("pair_id").agg(F.bool_or(F.col("building") & (k % 3 != 1)).alias("has_building"), F.bool_or(F.col("tree") & (k % 3 != 2)).alias("has_tree"))
     rows = w.select("pair_id", F.when(k % 5 == 0, "both").when(k % 5 == 1, "new_building").when(k % 5 == 2, "tree_removal").when(k % 5 == 3, "real_negative").otherwise("negative").alias("category"),
                     (k % 2 == 0).alias("accepted"), F.lit(True).alias("full_review"), (k % 3 != 0).alias("identical"))
     return I.category_violations(rows, w)

@@ -42,27 +42,34 @@ c AS (SELECT id, w, s, e, n, x, y FROM tri, LATERAL (SELECT unnest(range(CAST(w
 i AS (SELECT id, x, y FROM c WHERE e>w AND ((CASE WHEN (s<=y+0.5)<>(n<=y+0.5) AND x+0.5 < w+(y+0.5-n)/(s-n)*(w-w) THEN 1 ELSE 0 END)+(CASE WHEN (s<=y+0.5)<>(n<=y+0.5) AND x+0.5 < e+(y+0.5-s)/(n-s)*(w-e) THEN 1 ELSE 0 END))%2=1)
 SELECT id, x//256 AS tile_x, y//256 AS tile_y, count(*) AS pixels FROM i GROUP BY ALL""")
 def footprint_pixels(spark, sf):
-    t = G.split_by_tile(G.footprint_runs(triangles(spark, sf).filter("e > w"), ["id"]), ["id"], 256)
+    t = G.split_by_tile(G.footprint_runs(triangles(spark, sf), ["id"]), ["id"], 256)
     return t.groupBy("id", "tile_x", "tile_y").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
 
 
-@query("s07_footprint_scan", "WITH " + V.BOXES_SQL + " SELECT CAST(id AS VARCHAR) AS feature_id, w, s, e, n FROM boxes WHERE e>=500 AND w<=2500 AND n>=300 AND s<=2000")
+@query("s07_footprint_scan", "WITH " + V.BOXES_SQL + """, f AS (SELECT id, w, s, CASE WHEN id%2=0 THEN e+900 ELSE e END AS e, CASE WHEN id%2=0 THEN n+700 ELSE n END AS n FROM boxes)
+SELECT CAST(id AS VARCHAR) AS feature_id, CAST(unnest(CASE WHEN id%2=0 THEN [0,1] ELSE [0] END) AS INTEGER) AS part, w, s, e, n FROM f WHERE e>=500 AND w<=2500 AND n>=300 AND s<=2000""")
 def footprint_scan(spark, sf):
+    """Even features have a second part far from the first: often only one of the two meets the box."""
     b = V.boxes(spark, sf)
-    corner = lambda x, y: F.concat(F.lit("["), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"), F.lit("]"))
-    ring = F.concat(F.lit("[["), F.concat_ws(",", corner("w", "s"), corner("e", "s"), corner("e", "n"), corner("w", "n")), F.lit("]]"))
+    corner = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+
+    def ring(dx, dy):
+        w, e, s, n = F.col("w") + dx, F.col("e") + dx, F.col("s") + dy, F.col("n") + dy
+        return F.concat(F.lit("[["), F.concat_ws(",", corner(w, s), corner(e, s), corner(e, n), corner(w, n)), F.lit("]]"))
+
     many = F.col("id") % 2 == 0
     line = F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","geometry":{"type":"'), F.when(many, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'),
-                    F.when(many, F.concat(F.lit("["), ring, F.lit("]"))).otherwise(ring), F.lit("}}"))
+                    F.when(many, F.concat(F.lit("["), ring(0, 0), F.lit(","), ring(900, 700), F.lit("]"))).otherwise(ring(0, 0)), F.lit("}}"))
     path = scratch_path(spark, "footprints")
     b.select(line.alias("value")).write.option("compression", "gzip").text(path)
-    return G.read_footprints(spark, path, (500.0, 300.0, 2500.0, 2000.0)).select("feature_id", "w", "s", "e", "n")
+    return G.read_footprints(spark, path, (500.0, 300.0, 2500.0, 2000.0)).select("feature_id", "part", "w", "s", "e", "n")
 
 
-@query("s12_catalogue_scan", """WITH k AS (SELECT DISTINCT 'm'||(o_orderkey//2*2) AS id, 1 FROM orders), i AS (SELECT 'm'||o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey%3 AS st FROM orders)
-SELECT id, year, 'md' AS state, true AS truncated FROM i WHERE year IN (1996, 1998) AND st=1 ORDER BY id LIMIT 500""")
+@query("s12_catalogue_scan", """WITH i AS (SELECT 'm'||o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey%3 AS st FROM orders),
+k AS (SELECT id, year FROM i WHERE year IN (1996, 1998) AND st=1)
+SELECT id, year, 'md' AS state, (SELECT count(*) FROM k)>500 AS truncated FROM k""")
 def catalogue(spark, sf):
-    """Pages of fifty items, every item on two pages; the cap is part of the scan's contract."""
+    """Pages of fifty items, every item on two pages; all items, and whether a limit of 500 would truncate them."""
     o = V.table(spark, sf, "orders")
     item = F.struct(F.concat(F.lit("m"), "o_orderkey").alias("id"), F.struct(
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.when(F.col("o_custkey") % 3 == 1, "MD").when(F.col("o_custkey") % 3 == 2, "Va").otherwise("pa").alias("state"), F.lit(0.6).alias("gsd")).alias("properties"))
@@ -70,7 +77,9 @@ def catalogue(spark, sf):
     path = scratch_path(spark, "pages")
     pages.write.json(path)
     schema = "page long, features array<struct<id:string,properties:struct<datetime:string,state:string,gsd:double>>>"
-    return G.catalogue_items(spark.read.schema(schema).json(path), [1996, 1998], "md", 500).select("id", "year", "state", "truncated")
+    items = G.catalogue_items(spark.read.schema(schema).json(path), [1996, 1998], "md")
+    verdict = G.catalogue_verdict(items, 500).select("truncated").withColumn("_k", F.lit(1))
+    return items.withColumn("_k", F.lit(1)).join(F.broadcast(verdict), "_k").select("id", "year", "state", "truncated")  # one row
 
 
 @query("j02_year_options", """WITH y AS (SELECT DISTINCT o_custkey AS r, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE o_totalprice>150000)
@@ -117,9 +126,9 @@ def grids(spark, sf):
     return G.common_grid(pairs, 0.5)
 
 
-@query("r20_tile_grid", GRID_SQL + " SELECT id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, width, height FROM g, range(0,100,8) a(r), range(0,200,8) b(c) WHERE r<=height-8 AND c<=width-8")
+@query("r20_tile_grid", GRID_SQL + " SELECT id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, width, height, CASE WHEN (width//8)*(height//8)>6 THEN 'too many tiles' WHEN width*height>500 THEN 'grid exceeds the pixel limit' END AS verdict FROM g, range(0,100,8) a(r), range(0,200,8) b(c) WHERE r<=height-8 AND c<=width-8")
 def tile_grid(spark, sf):
-    return G.grid_tiles(grids(spark, sf), 8, 1000, 10**8).select("id", "row", "col", "width", "height")
+    return G.grid_tiles(grids(spark, sf), 8, 6, 500).select("id", "row", "col", "width", "height", "verdict")
 
 
 @query("r21_affine_and_zone", "WITH " + V.BOXES_SQL + """ SELECT id, round((w-10)/0.5,6) AS col, round((3000-s)/0.5,6) AS row, CAST(CASE WHEN s/20-75 BETWEEN -80 AND 84 THEN (CASE WHEN s/20-75>=0 THEN 32600 ELSE 32700 END)+least(60,greatest(1,floor((w/12-170+180)/6)+1)) END AS INTEGER) AS epsg FROM boxes""")
@@ -133,7 +142,7 @@ def affine(spark, sf):
 x AS (SELECT id, lon, lat FROM b, range(-190,200,10) a(lon), range(-90,100,10) c(lat) WHERE lon>=floor(w/10)*10 AND lon<=(ceil(e/10)-1)*10 AND lat>=floor(s/10)*10+10 AND lat<=ceil(n/10)*10)
 SELECT id, lpad(CAST(abs(lat) AS VARCHAR),2,'0')||CASE WHEN lat>=0 THEN 'N' ELSE 'S' END||'_'||lpad(CAST(abs(lon) AS VARCHAR),3,'0')||CASE WHEN lon>=0 THEN 'E' ELSE 'W' END AS granule FROM x""")
 def granule_cover(spark, sf):
-    b = V.boxes(spark, sf).filter("e > w").select("id", (F.col("w") / 12 - 170).alias("w"), (F.col("s") / 20 - 75).alias("s"), (F.col("w") / 12 - 170 + (F.col("e") - F.col("w")) / 2).alias("e"), (F.col("s") / 20 - 75 + 5).alias("n"))
+    b = V.boxes(spark, sf).select("id", (F.col("w") / 12 - 170).alias("w"), (F.col("s") / 20 - 75).alias("s"), (F.col("w") / 12 - 170 + (F.col("e") - F.col("w")) / 2).alias("e"), (F.col("s") / 20 - 75 + 5).alias("n"))
     return G.granules(b, ["id"])
 
 
@@ -217,8 +226,6 @@ def metadata_joins(spark, sf):
 
 # --- local shift search --------------------------------------------------------------------
 
-SHIFTS = E.scale_offsets(2, N, N, N)
-SHIFT_VALUES = ",".join(f"({r},{dy},{dx})" for r, (dy, dx) in enumerate(SHIFTS))
 REGION_SQL = EQ.COMP_SQL + f""", {EQ.CELLS}, bx AS (SELECT {OWN}, greatest(min(y)-2,0) y0, greatest(min(x)-2,0) x0, least(max(y)+3,8) y1, least(max(x)+3,8) x1 FROM ck GROUP BY ALL),
 rn AS (SELECT DISTINCT {OWN}, c.y, c.x FROM ck JOIN cells c ON abs(c.y-ck.y)<=1 AND abs(c.x-ck.x)<=1),
 rgn AS (SELECT rn.*, ck.pair_id IS NOT NULL AS interior FROM rn JOIN bx USING ({OWN}) LEFT JOIN ck USING (pair_id, class_name, component_id, y, x) WHERE rn.y>=y0 AND rn.y<y1 AND rn.x>=x0 AND rn.x<x1)"""
@@ -234,7 +241,7 @@ def alignment_region(spark, sf):
 
 
 SUPPORT_SQL = REGION_SQL + f""",
-sh AS (SELECT * FROM (VALUES {SHIFT_VALUES}) v(rank, dy, dx)),
+sh AS (SELECT row_number() OVER (ORDER BY dy*dy+dx*dx, dy, dx)-1 AS rank, dy, dx FROM range(-3,4) a(dy), range(-3,4) b(dx) WHERE dy*dy+dx*dx<=4),
 ts AS (SELECT rgn.*, rank, dy, dx, y+dy BETWEEN 0 AND 7 AND x+dx BETWEEN 0 AND 7 AS ok FROM rgn, sh),
 el AS (SELECT *, row_number() OVER (PARTITION BY {OWN} ORDER BY rank) AS pos FROM (SELECT {OWN}, rank, count(*) AS nt FROM ts GROUP BY ALL HAVING count(*) FILTER (WHERE ok)/count(*)>=0.75 OR rank=0)),
 pf AS (SELECT a.pair_id, a.class_name, a.component_id, a.pos, c.y, c.x, min(t.ok::INT) AS alive FROM el a JOIN el b ON a.pair_id=b.pair_id AND a.class_name=b.class_name AND a.component_id=b.component_id AND b.pos<=a.pos
@@ -245,7 +252,7 @@ kp AS (SELECT {OWN}, max(pos) AS keep FROM pn WHERE nc>=4 AND nc/nt>=0.75 AND nt
 
 @query("r19_usable_shifts", SUPPORT_SQL + f" SELECT el.pair_id, el.class_name, el.component_id, CAST(rank AS INTEGER) AS rank FROM el JOIN kp USING ({OWN}) WHERE pos<=keep")
 def usable_shifts(spark, sf):
-    return E.usable_support(region(spark, sf), SHIFTS, N)[1].select(*E.OWNER, "rank")
+    return E.usable_support(region(spark, sf), E.shift_table(spark, 2, N, N, N), N)[1].select(*E.OWNER, "rank")
 
 
 RESIDUAL_SQL = SUPPORT_SQL + f""",
@@ -262,8 +269,9 @@ def planes(spark, sf):
 
 
 def residuals(spark, sf):
-    support, chosen = E.usable_support(region(spark, sf), SHIFTS, N)
-    return E.shift_residuals(support, chosen, planes(spark, sf), SHIFTS)
+    shifts = E.shift_table(spark, 2, N, N, N)
+    support, chosen = E.usable_support(region(spark, sf), shifts, N)
+    return E.shift_residuals(support, chosen, planes(spark, sf), shifts)
 
 
 @query("a26_shift_residuals", RESIDUAL_SQL + f" SELECT {OWN}, dy, dx, round(res,6) AS residual, round(cs,6) AS cosine, round(n1,6) AS norm_l1, round(n2,6) AS norm_l2, round(rin,6) AS interior, round(rout,6) AS ring FROM rs")
@@ -306,23 +314,22 @@ def epoch_draw(spark, sf):
 @query("w13_negative_mining", "WITH " + V.TILE_SQL + """,
 c AS (SELECT pair_id, CAST(y//8*8 AS INTEGER) AS row, CAST(x//8*8 AS INTEGER) AS col, count(*) AS built FROM px WHERE p>=0.6::DOUBLE GROUP BY ALL HAVING count(*)>=24),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY built DESC, row, col)=1),
-u AS (SELECT pair_id, row, col, 1 AS pass FROM b UNION ALL SELECT DISTINCT pair_id, 12, 12, 2 FROM px), t AS (SELECT count(DISTINCT pair_id)*3//2 AS n FROM px)
-SELECT pair_id, row, col, CAST(pass AS INTEGER) AS pass FROM u QUALIFY row_number() OVER (ORDER BY pass, md5('11|'||pair_id)) <= (SELECT n FROM t)""")
+u AS (SELECT pair_id, row, col, 1 AS pass FROM b UNION ALL SELECT DISTINCT pair_id, 12, 12, 2 FROM px)
+SELECT pair_id, row, col, CAST(pass AS INTEGER) AS pass, row_number() OVER (ORDER BY pass, md5('11|'||pair_id)) AS rank FROM u""")
 def negative_mining(spark, sf):
     px = V.tile_pixels(spark, sf)
     cells = G.crop_counts(px, 8, F.col("p") >= 0.6, 1).withColumnRenamed("pixels", "built")
-    pairs = px.select("pair_id").distinct()
-    return A.mine_negatives(cells, pairs, pairs.count() * 3 // 2, 11, 24, (12, 12)).select("pair_id", "row", "col", "pass")
+    return A.mine_negatives(cells, px.select("pair_id").distinct(), 11, 24, (12, 12)).select("pair_id", "row", "col", "pass", "rank")
 
 
 @query("w14_target_counts", """WITH s AS (SELECT s_suppkey AS source_id, row_number() OVER (ORDER BY s_suppkey)-1 AS i, count(*) OVER () AS n FROM supplier),
 a AS (SELECT o_orderkey AS attempt, CASE o_orderstatus WHEN 'O' THEN 'new_building' WHEN 'F' THEN 'tree_removal' ELSE 'both' END AS category, o_totalprice>100000 AS ok FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY attempt) AS rank FROM a WHERE ok)
-SELECT attempt, category, source_id FROM r JOIN s ON s.i=attempt%n WHERE rank<=CASE category WHEN 'both' THEN 50 ELSE 120 END""")
+SELECT attempt, category, source_id, rank, rank<=CASE category WHEN 'both' THEN 50 ELSE 120 END AS within_target FROM r JOIN s ON s.i=attempt%n""")
 def target_counts(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("attempt"), F.when(F.col("o_orderstatus") == "O", "new_building").when(F.col("o_orderstatus") == "F", "tree_removal").otherwise("both").alias("category"), (F.col("o_totalprice") > 100000).alias("accepted"))
-    filled = A.fill_targets(o, {"new_building": 120, "tree_removal": 120, "both": 50}, 10**9)
-    return A.assign_sources(filled, V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_id"))).select("attempt", "category", "source_id")
+    ranked = A.rank_attempts(o, {"new_building": 120, "tree_removal": 120, "both": 50})
+    return A.assign_sources(ranked, V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_id"))).select("attempt", "category", "source_id", "rank", "within_target")
 
 
 KINDS = ["exact_no_change", "brightness", "seasonal_color", "roof_color", "vegetation_appearance", "shadows", "temporary_objects", "slight_shift", "blur"]

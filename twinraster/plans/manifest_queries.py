@@ -71,14 +71,19 @@ def manifest_scan(spark, sf):
 
 
 @query("s02_sample_folders", WITH + """
-SELECT id, 'root/'||id||'/pre.png' AS pre, 'root/'||id||'/post.png' AS post, CAST(3*n_chars AS BIGINT) AS bytes FROM manifest WHERE doc_id%2=0""")
+SELECT id, f||'/'||id||'/pre.png' AS pre, f||'/'||id||'/post.png' AS post, CAST(3*n_chars AS BIGINT) AS bytes,
+ CASE WHEN doc_id%6=0 THEN 'two folders have this id' END AS reason
+FROM manifest, LATERAL (SELECT unnest(CASE WHEN doc_id%6=0 THEN ['root/x','root/y'] ELSE ['root/x'] END) AS f) WHERE doc_id%2=0""")
 def sample_folders(spark, sf):
-    """Listing of three files per document; only even documents are in the region list."""
+    """Listing of three files per document; only even documents are in the region list; some have twin folders."""
     m = V.manifest(spark, sf)
-    files = m.select("id", "n_chars", F.explode(F.array(*[F.lit(r) for r in ("pre", "post", "new_building")])).alias("role")).select(
-        F.concat(F.lit("root/"), "id", F.lit("/"), "role", F.lit(".png")).alias("path"), F.col("n_chars").alias("length"))
+    parent = F.explode(F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("root/x/"), F.lit("root/y/"))).otherwise(F.array(F.lit("root/x/"))))
+    files = m.select("id", "n_chars", parent.alias("parent")).select(
+        "*", F.explode(F.array(*[F.lit(r) for r in ("pre", "post", "new_building")])).alias("role")).select(
+        F.concat("parent", "id", F.lit("/"), "role", F.lit(".png")).alias("path"), F.col("n_chars").alias("length"))
     regions = m.filter("doc_id % 2 = 0").select(F.col("id").alias("region"))
-    return S.scan_sample_folders(files, regions).select("id", "pre", "post", "bytes")
+    found = S.scan_sample_folders(files, regions)
+    return found.join(S.folder_violations(found), "id", "left").select("id", "pre", "post", "bytes", "reason")
 
 
 @query("s03_pair_list", WITH + " SELECT id, 'images/'||id||'/pre.png' AS pre, 'images/'||id||'/post.png' AS post FROM manifest")
@@ -269,14 +274,19 @@ def review_join(spark, sf):
 
 
 @query("v16_heldout_guard", WITH + """,
-h AS (SELECT * FROM manifest WHERE doc_id%10=0), t AS (SELECT * FROM manifest WHERE doc_id%10<>0)
+g AS (SELECT *, CASE WHEN doc_id%7=0 THEN id ELSE NULL END AS source_id FROM manifest),
+h AS (SELECT * FROM g WHERE doc_id%10=0), t AS (SELECT * FROM g WHERE doc_id%10<>0),
+hp AS (SELECT pre AS v FROM h UNION SELECT post FROM h), ho AS (SELECT coalesce(nullif(source_id,''), id) AS v FROM h)
 SELECT id, 'shared region_id' AS reason FROM t WHERE region_id IN (SELECT region_id FROM h)
-UNION ALL SELECT id, 'shared pre' FROM t WHERE pre IN (SELECT pre FROM h)
+UNION ALL SELECT id, 'shared source' FROM t WHERE coalesce(nullif(source_id,''), id) IN (SELECT v FROM ho)
+UNION ALL SELECT id, 'shared image' FROM t WHERE pre IN (SELECT v FROM hp) OR post IN (SELECT v FROM hp)
 UNION ALL SELECT id, 'shared source_raster' FROM t WHERE source_raster<>'' AND source_raster IN (SELECT source_raster FROM h)
 UNION ALL SELECT id, 'shared content_hash' FROM t WHERE content_hash IN (SELECT content_hash FROM h)""")
 def heldout_guard(spark, sf):
-    m = V.manifest(spark, sf)
-    return P.heldout_violations(m.filter("doc_id % 10 <> 0"), m.filter("doc_id % 10 = 0"), ["region_id", "pre", "source_raster", "content_hash"])
+    """Images of either role are one namespace; a row without a source is its own source."""
+    m = V.manifest(spark, sf).withColumn("source_id", F.when(F.col("doc_id") % 7 == 0, F.col("id")))
+    keys = {"region_id": ["region_id"], "source": [P.own_source()], "image": ["pre", "post"], "source_raster": ["source_raster"], "content_hash": ["content_hash"]}
+    return P.heldout_violations(m.filter("doc_id % 10 <> 0"), m.filter("doc_id % 10 = 0"), keys)
 
 
 @query("v18_forbidden_ids", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic=1)")
@@ -472,7 +482,7 @@ def category_column():
 @query("w15_first_examples", WITH + f""" SELECT category, id FROM (SELECT {CATEGORY_SQL} AS category, id, row_number() OVER (PARTITION BY {CATEGORY_SQL} ORDER BY doc_id) AS r FROM manifest) WHERE r=1""")
 def first_examples(spark, sf):
     rows = V.manifest(spark, sf).withColumn("category", category_column())
-    return rows.groupBy("category").agg(F.min_by("id", "doc_id").alias("id")).orderBy("category").limit(8)
+    return rows.groupBy("category").agg(F.min_by("id", "doc_id").alias("id"))
 
 
 @query("a31_fingerprints", """SELECT doc_id AS id, sha256(n_chars||'|'||text) AS fingerprint FROM documents""")

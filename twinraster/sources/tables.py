@@ -77,20 +77,25 @@ def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 
 def scan_sample_folders(files: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """One row per sample folder from a (path, length) file listing."""
+    """One row per sample folder, told apart by its full path, from a (path, length) file listing; ``id`` is its last name."""
     roles = ["pre", "post", "new_building", "tree_removal"]
+    name = r"^(.*?)([^/]+)/([^/]+)\.png$"
     parts = files.select(
-        F.regexp_extract("path", r"([^/]+)/([^/]+)\.png$", 1).alias("id"),
-        F.regexp_extract("path", r"([^/]+)/([^/]+)\.png$", 2).alias("role"),
-        "path", "length",
+        F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", name, 2).alias("id"),
+        F.regexp_extract("path", name, 3).alias("role"), "path", "length",
     ).filter(F.col("role").isin(*roles))
-    rows = parts.groupBy("id").agg(
+    rows = parts.groupBy("folder", "id").agg(
         *[F.max(F.when(F.col("role") == r, F.col("path"))).alias(r) for r in roles],
         F.sum("length").alias("bytes"),
     )
     return rows if regions is None else rows.join(regions, rows.id == regions.region, "left_semi")
 
 
+def folder_violations(folders: DataFrame) -> DataFrame:
+    """(id, reason) of folders whose last name another folder has too."""
+    return folders.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("two folders have this id").alias("reason"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of every file below ``root``; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -64,10 +64,36 @@ def _events(runs: DataFrame, keys: list[str], layer: str, layers: list[str]) ->
     )
 
 
+PLAIN = {0: 0}
+
+
 def sweep(layers: dict[str, DataFrame], keys: list[str] = TILE) -> DataFrame:
     """Segments ``(keys, y, x0, x1, <depth per layer>)`` over all layers at once."""
     names = list(layers)
-    events = reduce(DataFrame.unionByName, [_events(runs, keys, name, names) for name, runs in layers.items()])
+    return _segments(reduce(DataFrame.unionByName, [_events(runs, keys, name, names) for name, runs in layers.items()]), names, keys)
+
+
+def sweep_shapes(sources: list[tuple[DataFrame, dict[str, dict[int, int]]]], keys: list[str] = TILE) -> DataFrame:
+    """``sweep`` of several layers per run table, each the runs spread by a shape (row offset -> half width, which may be
+    negative). A run is exploded once into the events of all its layers, so its lineage is planned and run once."""
+    names = [name for _, shapes in sources for name in shapes]
+
+    def events(runs: DataFrame, shapes: dict[str, dict[int, int]]) -> DataFrame:
+        steps = [F.struct((F.col("y") + dy).alias("y"), (F.col("x0") - h).alias("a"), (F.col("x1") + h).alias("b"), F.lit(name).alias("layer"))
+                 for name, shape in shapes.items() for dy, h in shape.items()]
+        placed = runs.select(*keys, F.explode(F.array(*steps)).alias("_s")).filter("_s.b > _s.a")
+        ends = F.explode(F.array(F.struct(F.col("_s.a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("_s.b").alias("x"), F.lit(-1).alias("d"))))
+        return placed.select(*keys, F.col("_s.y").alias("y"), F.col("_s.layer").alias("_layer"), ends.alias("_e")).select(
+            *keys, "y", F.col("_e.x").alias("x"), *[F.when(F.col("_layer") == n, F.col("_e.d")).otherwise(0).alias(n) for n in names])
+
+    return _segments(reduce(DataFrame.unionByName, [events(runs, shapes) for runs, shapes in sources]), names, keys)
+
+
+def square(radius: int) -> dict[int, int]:
+    return {dy: radius for dy in range(-radius, radius + 1)}
+
+
+def _segments(events: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "y").orderBy("x")
     return (
         events.select(
@@ -185,7 +211,8 @@ def erode_cross(runs: DataFrame, keys: list[str] = TILE) -> DataFrame:
 
 def boundary(runs: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """Mask minus its 3x3 erosion."""
-    return combine({"m": runs, "core": shrink_cover(runs, 1)}, (F.col("m") > 0) & (F.col("core") < 3), keys)
+    seg = sweep_shapes([(runs, {"m": PLAIN, "core": {dy: -1 for dy in (-1, 0, 1)}})], keys)
+    return merge_segments(seg.filter((F.col("m") > 0) & (F.col("core") < 3)), keys)
 
 
 def area(runs: DataFrame, keys: list[str] = TILE) -> DataFrame:

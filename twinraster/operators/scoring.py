@@ -22,11 +22,7 @@ def overlap_areas(pred: DataFrame, truth: DataFrame, keys: list[str] = R.TILE) -
     Growth is a 3x3 dilation that may leave the tile. All four areas come from one
     sweep, so the two masks are exchanged once.
     """
-    seg = R.sweep(
-        {"p": pred.select(*keys, "y", "x0", "x1"), "t": truth.select(*keys, "y", "x0", "x1"),
-         "pg": R.spread_square(pred.select(*keys, "y", "x0", "x1"), 1),
-         "tg": R.spread_square(truth.select(*keys, "y", "x0", "x1"), 1)}, keys,
-    )
+    seg = R.sweep_shapes([(pred, {"p": R.PLAIN, "pg": R.square(1)}), (truth, {"t": R.PLAIN, "tg": R.square(1)})], keys)
     p, t, pg, tg = (F.col(c) > 0 for c in ("p", "t", "pg", "tg"))
     return seg.groupBy(*keys).agg(
         _length(p).alias("pred_area"), _length(t).alias("truth_area"), _length(p & t).alias("both_area"),
@@ -174,7 +170,7 @@ def boundary_counts(pred: DataFrame, truth: DataFrame, tolerance: float = 1.0, k
     """Boundary pixels of both masks and how many lie within ``tolerance`` of the other's."""
     pb, tb = R.boundary(pred, keys), R.boundary(truth, keys)
     shape = R.disk(tolerance)
-    seg = R.sweep({"p": pb, "t": tb, "pg": R.spread_profile(pb, shape), "tg": R.spread_profile(tb, shape)}, keys)
+    seg = R.sweep_shapes([(pb, {"p": R.PLAIN, "pg": shape}), (tb, {"t": R.PLAIN, "tg": shape})], keys)
     p, t, pg, tg = (F.col(c) > 0 for c in ("p", "t", "pg", "tg"))
     return seg.groupBy(*keys).agg(
         _length(p).alias("predicted_boundary_pixels"), _length(t).alias("gt_boundary_pixels"),
@@ -182,6 +178,35 @@ def boundary_counts(pred: DataFrame, truth: DataFrame, tolerance: float = 1.0, k
     )
 
 
+BACKGROUND = "background"
+
+
+def exclusive_layers(masks: DataFrame, order: list[str], population: DataFrame, height: int, width: int) -> DataFrame:
+    """Runs (pair_id, label, y, x0, x1) of exclusive labels: where masks overlap the later class of ``order`` wins, and what no
+    mask covers is background. Every tile of ``population`` is covered whole."""
+    rows = population.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), F.lit(0).alias("x0"), F.lit(width).alias("x1"))
+    layers = {"_frame": rows} | {c: masks.filter(F.col("class_name") == c).select("pair_id", "y", "x0", "x1") for c in order}
+    label = F.lit(BACKGROUND)
+    for c in order:
+        label = F.when(F.col(c) > 0, c).otherwise(label)
+    seg = R.sweep(layers, ["pair_id"]).filter("_frame > 0").withColumn("label", label)
+    return R.merge_segments(seg, ["pair_id", "label"])
+
+
+def multiclass_boundary(pred: DataFrame, truth: DataFrame, labels: list[str], tolerance: float = 1.0) -> DataFrame:
+    """Boundary counts and scores of each label against the rest, pooled over tiles, and ``macro_f1`` over all ``labels``.
+
+    Both inputs are exclusive label runs. Background is a label like any other; a label that neither side has scores 0.
+    """
+    keys = ["pair_id", "label"]
+    per_tile = boundary_counts(pred, truth, tolerance, keys)
+    sums = [c for c in per_tile.columns if c.endswith("pixels")]
+    pooled = per_tile.groupBy("label").agg(*[F.sum(c).alias(c) for c in sums])
+    every = pred.sparkSession.createDataFrame([(c,) for c in labels], "label string")
+    scored = boundary_scores(every.join(pooled, "label", "left").fillna(0, sums))
+    return scored.withColumn("macro_f1", F.avg("f1").over(_everything()))
+
+
 def boundary_scores(counts: DataFrame) -> DataFrame:
     precision = ratio(F.col("matched_predicted_boundary_pixels"), F.col("predicted_boundary_pixels"))
     recall = ratio(F.col("matched_gt_boundary_pixels"), F.col("gt_boundary_pixels"))

@@ -8,7 +8,8 @@ import check
 SF = "/root/testdata/sf0.001"
 SOME = ["a04_final_score", "r06_components", "v03_training_eligibility", "v06_provenance", "j01_temporal_pairs", "j08_duplicate_pairs", "a25_pair_features",
         "r16_radiometric_match", "w12_epoch_draw", "w16_keep_threshold", "j05_footprint_pixels", "v11_polygon_cells", "s09_prediction_sink", "a29_sample_weights"]
-NAMES = list(check.entry.queries()) if os.environ.get("TWINRASTER_ALL") else SOME
+# Queries without SQL are left to the tests of their operators.
+NAMES = list(check.entry.oracle_sql()) if os.environ.get("TWINRASTER_ALL") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def duck():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
-    assert check.compare(spark, duck, name, SF).startswith(("ok", "ROWS"))
+    assert check.compare(spark, duck, name, SF).startswith("ok")
 
 
 def test_every_oracle_has_a_query():

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_blank
+from ..sources.tables import reject_any
 from . import runs as R
+from . import scoring as Q
+from .geo import footprint_runs
+from .sweep import alignment_mismatch
 
 RING_TYPE = "array<array<array<double>>>"
 
@@ -118,3 +122,26 @@ def rings(rows: DataFrame, cell: str, keep: list[str]) -> DataFrame:
         .when(ring_crosses(F.col("ring")), "self-crossing").when(ring_area(F.col("ring")) <= 0, "no area")
     )
     return each.select(*keep, "ring_no", "ring", reason.alias("reason")).unionByName(bad_json)
+
+
+def cell_runs(rows: DataFrame, classes: list[str] = Q.CLASSES) -> DataFrame:
+    """(pair_id, class_name, y, x0, x1) of polygon cells, one column per class: the union of every cell's exteriors.
+
+    A cell that breaks the contract fails the job. Exteriors are filled at pixel centres, which is exact for corners on
+    the pixel grid, the only ones that exports hold.
+    """
+    cells = rows.select(F.col("id").alias("pair_id"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("class_name"), F.col(c).cast("string").alias("cell")) for c in classes])).alias("c")).select("pair_id", "c.*")
+    found = rings(cells, "cell", R.TILE)
+    reject_any(found.filter(F.col("reason").isNotNull()).select("pair_id", "class_name", "reason"), "polygon cells must be valid")
+    each = footprint_runs(found.select(*R.TILE, "ring_no", F.array("ring").alias("rings")), [*R.TILE, "ring_no"])
+    return R.combine({"m": each.drop("ring_no")}, F.col("m") > 0)
+
+
+def score_cells(predictions: DataFrame, truth: DataFrame, classes: list[str] = Q.CLASSES) -> DataFrame:
+    """Class scores of polygon tables (id and a cell per class). Ids must be unique and the same on both sides."""
+    for name, rows in (("prediction", predictions), ("ground truth", truth)):
+        reject_any(rows.groupBy("id").count().filter("count > 1"), f"{name} ids must be unique")
+    reject_any(alignment_mismatch(predictions.select("id"), truth.select("id")), "prediction ids differ from ground truth")
+    population = truth.select(F.col("id").alias("pair_id"), F.explode(F.array(*map(F.lit, classes))).alias("class_name"))
+    return Q.class_scores(Q.confusion(Q.tile_outcomes(cell_runs(predictions, classes), cell_runs(truth, classes), population), ["class_name"]))

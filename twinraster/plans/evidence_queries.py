@@ -433,3 +433,40 @@ def pair_table(spark, sf):
     c = V.candidates(spark, sf)
     heads = c.groupBy(*R.TILE).agg(F.max("confidence").alias("presence"))
     return E.pair_features(c, heads)
+
+
+CELL_SQL = """WITH t AS (SELECT p_partkey AS id, unnest(['new_building','tree_removal']) AS class_name, p_size%30 AS s, p_partkey%4 AS dx, p_partkey%3 AS dy, p_partkey AS k FROM part),
+g AS (SELECT *, CASE WHEN s=0 OR (class_name='tree_removal' AND k%5<>0) THEN 0 ELSE 1 END AS has_t, CASE WHEN s=0 OR k%7=0 OR (class_name='tree_removal' AND k%3=1) THEN 0 ELSE 1 END AS has_p,
+ CASE WHEN class_name='tree_removal' AND k%11=0 THEN 25 ELSE 0 END AS extra FROM t),
+a AS (SELECT *, has_t*s*s AS ta, has_p*s*s+extra AS pa,
+ has_t*has_p*greatest(0, least(s+dx, s+1)-greatest(dx,-1))*greatest(0, least(s+dy, s+1)-greatest(dy,-1)) AS pn,
+ has_t*has_p*greatest(0, least(s, s+dx+1)-greatest(0,dx-1))*greatest(0, least(s, s+dy+1)-greatest(0,dy-1)) AS tn FROM g),
+r AS (SELECT class_name, ta>0 AS t, pa>=20 AS p, CASE WHEN pa>=20 AND pn>0 THEN 2*(pn/pa)*(tn/ta)/(pn/pa+tn/ta) ELSE 0 END AS f FROM a),
+c AS (SELECT class_name, count(*) FILTER (WHERE t AND p) tp, count(*) FILTER (WHERE NOT t AND p) fp, count(*) FILTER (WHERE t AND NOT p) fn, count(*) FILTER (WHERE NOT t AND NOT p) tn, avg(f) FILTER (WHERE t) sh FROM r GROUP BY 1)
+SELECT class_name, tp, fp, fn, tn, round((2*tp/(2*tp+fp+fn)+2*tn/(2*tn+fp+fn))/2,6) AS presence_macro_f1, round(sh,6) AS shape_score, round(((2*tp/(2*tp+fp+fn)+2*tn/(2*tn+fp+fn))/2+sh)/2,6) AS score FROM c"""
+
+
+@query("a04_polygon_score", CELL_SQL)
+def polygon_score(spark, sf):
+    """Squares as polygon cells: moved by up to 3 by 2 pixels, open or closed, some twice over, some with a second piece."""
+    k = F.col("p_partkey")
+    p = V.table(spark, sf, "part").select(k, (F.col("p_size") % 30).alias("s"), (k % 4).alias("dx"), (k % 3).alias("dy"))
+
+    def square(x, y, side, closed):
+        at = lambda a, b: F.format_string("[%d,%d]", a.cast("long"), b.cast("long"))
+        corners = [at(x, y), at(x + side, y), at(x + side, y + side), at(x, y + side)]
+        return F.concat(F.lit("["), F.concat_ws(",", *corners, F.when(closed, corners[0])), F.lit("]"))
+
+    ten = F.lit(10)
+    truth_ring = square(ten, ten, F.col("s"), k % 2 == 0)
+    moved = square(ten + F.col("dx"), ten + F.col("dy"), F.col("s"), k % 2 == 1)
+    cell = lambda *rings: F.concat(F.lit("["), F.concat_ws(",", *rings), F.lit("]"))
+    here, far = F.col("s") > 0, square(F.lit(200), F.lit(200), F.lit(5), F.lit(False))
+    pred = here & (k % 7 != 0)
+    none = F.lit("")
+    truth = p.select(k.alias("id"), F.when(here, cell(truth_ring)).otherwise(none).alias("new_building"), F.when(here & (k % 5 == 0), cell(truth_ring)).otherwise(none).alias("tree_removal"))
+    predictions = p.select(
+        k.alias("id"), F.when(pred, cell(moved, F.when(k % 2 == 0, moved))).otherwise(F.lit("[]")).alias("new_building"),
+        F.when((pred & (k % 3 != 1)) | (k % 11 == 0), cell(F.when(pred & (k % 3 != 1), moved), F.when(k % 11 == 0, far))).otherwise(none).alias("tree_removal"))
+    scored = G.score_cells(predictions, truth)
+    return scored.select("class_name", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("presence_macro_f1", "shape_score", "score")])

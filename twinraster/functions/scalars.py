@@ -81,14 +81,6 @@ def first_reason(default: str, *rules: tuple[Column, str]) -> Column:
     return chain.otherwise(F.lit(default))
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def short_fingerprint(text: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
 
@@ -99,14 +91,3 @@ def hash_unit(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def grid(*axes: tuple[str, list]) -> Column:
-    """Array of structs holding every combination of the given axis values.
-
-    ``explode`` of this column multiplies rows by a fixed, driver-known factor;
-    no join is involved.
-    """
-    combos = [[]]
-    for _, values in axes:
-        combos = [c + [v] for c in combos for v in values]
-    names = [name for name, _ in axes]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, c)]) for c in combos])

@@ -148,13 +148,6 @@ def apply_reviews(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def declared_flags(rows: DataFrame, names: list[str]) -> DataFrame:
-    out = rows
-    for n in names:
-        out = out.withColumn(f"{n}_flag", is_true(F.col(n)))
-    return out
-
-
 # --- readiness ------------------------------------------------------------------
 
 def readiness(totals: DataFrame) -> DataFrame:

@@ -32,16 +32,6 @@ def lenient(features: DataFrame, names: list[str]) -> DataFrame:
     return features.withColumns({n: safe(n) if n in features.columns else F.lit(0.0) for n in names})
 
 
-def strict(features: DataFrame, names: list[str]) -> DataFrame:
-    """Missing columns are an error now; a missing or non-finite value is an error when read."""
-    absent = sorted(set(names) - set(features.columns))
-    if absent:
-        raise ValueError(f"missing features: {absent}")
-    ok = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")),
-                          F.raise_error(F.lit(f"feature {c} must be finite")).cast("double")).otherwise(F.col(c))
-    return features.withColumns({n: ok(n) for n in names})
-
-
 def parameter_violations(parameters: DataFrame, schema: list[str] | None = None) -> DataFrame:
     """(model, reason) of a parameter table (model, feature, pos, mean, scale, weight, lower, upper, threshold)."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf"))
@@ -71,17 +61,18 @@ def stratum_weights(rows: DataFrame, cls: str = "class_name", label: str = "labe
     share = F.col("_m") / F.sum("_m").over(Window.partitionBy(cls, label))
     total = F.sum("_n").over(Window.partitionBy(cls))
     table = sizes.withColumn("weight", 0.5 * share / F.col("_n") * total).select(cls, label, real, "weight")
-    # Four rows per class.
-    return rows.join(F.broadcast(table), [cls, label, real])
+    return rows.join(table, [cls, label, real])
 
 
 def weighted_moments(rows: DataFrame, by: list[str], names: list[str], weight: str = "weight", floor: float = 1e-3) -> DataFrame:
-    """(by, feature, mean, scale, lower, upper) in one pass."""
+    """(by, feature, mean, scale, lower, upper); spreads are taken around the mean in a second pass, so large values keep their digits."""
     long = rows.select(*by, F.col(weight).alias("w"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])))
     g = long.groupBy(*by, "feature").agg(
-        F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("v")).alias("_s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("_q"), F.min("v").alias("lower"), F.max("v").alias("upper"))
-    mean = F.col("_s") / F.col("_w")
-    return g.select(*by, "feature", mean.alias("mean"), F.greatest(F.sqrt(F.greatest(F.col("_q") / F.col("_w") - mean * mean, F.lit(0.0))), F.lit(floor)).alias("scale"), "lower", "upper")
+        F.sum("w").alias("_w"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), F.min("v").alias("lower"), F.max("v").alias("upper"))
+    g = cut(g)
+    off = F.col("v") - F.col("mean")
+    spread = long.join(g.select(*by, "feature", "mean"), [*by, "feature"]).groupBy(*by, "feature").agg(F.sum(F.col("w") * off * off).alias("_q"))
+    return g.join(spread, [*by, "feature"]).select(*by, "feature", "mean", F.greatest(F.sqrt(F.col("_q") / F.col("_w")), F.lit(floor)).alias("scale"), "lower", "upper")
 
 
 # --- logistic fits --------------------------------------------------------------------------
@@ -110,28 +101,31 @@ def design(rows: DataFrame, names: list[str], label: str, weight: Column | None
 
 
 def fold_moments(table: DataFrame, d: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and spread of every model's training rows, and its label counts."""
-    width = models * (2 * d + 2)
-
-    def work(x, y, w, held):
-        parts = []
-        for k in range(models):
-            m = held != k
-            parts += [x[m, :d].sum(0), (x[m, :d] ** 2).sum(0), [m.sum(), y[m].sum()]]
-        return np.concatenate(parts)
-
-    t = _sums(table, work, width).reshape(models, 2 * d + 2)
-    n = t[:, 2 * d]
+    """Mean and spread of every model's training rows, and its label counts; the spread is summed around the mean."""
+    def first(x, y, w, held):
+        return np.concatenate([np.concatenate([x[held != k, :d].sum(0), [(held != k).sum(), y[held != k].sum()]]) for k in range(models)])
+
+    t = _sums(table, first, models * (d + 2)).reshape(models, d + 2)
+    n = t[:, d]
     mean = t[:, :d] / n[:, None]
-    spread = np.sqrt(np.maximum(t[:, d:2 * d] / n[:, None] - mean ** 2, 0))
-    return mean, np.where(spread > 1e-6, spread, 1.0), n, t[:, 2 * d + 1]
+
+    def second(x, y, w, held):
+        return np.concatenate([((x[held != k, :d] - mean[k]) ** 2).sum(0) for k in range(models)])
+
+    spread = np.sqrt(_sums(table, second, models * d).reshape(models, d) / n[:, None])
+    return mean, np.where(spread > 1e-6, spread, 1.0), n, t[:, d + 1]
 
 
-def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max_iter: int = 50, tol: float = 1e-6, standardise: bool = True, balanced: bool = True):
+#: Fixed values of the verifier fit: largest logit, smallest curvature, ridge and tolerance.
+LOGIT_CLIP, CURVATURE_FLOOR, RIDGE, TOLERANCE = 40.0, 1e-8, 1e-8, 1e-8
+
+
+def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max_iter: int = 100, tol: float = TOLERANCE, standardise: bool = True, balanced: bool = True):
     """Newton steps for ``models`` logistic fits at once; model k leaves out rows with ``held == k``.
 
-    Each step is one job that returns the gradients and Hessians, whose size depends
-    on the number of features only; the d x d solves run on the driver.
+    One job per step returns gradients and Hessians, another the penalised losses along the step, halved up to 27 times;
+    the longest part of it that doesn't raise the loss is taken. What a job returns depends on the number of features only,
+    and the d x d solves run on the driver. ``converged`` tells a fit that stopped moving from one that ran out of steps.
     """
     mean, scale, n, pos = fold_moments(table, d, models)
     if not standardise:
@@ -139,28 +133,48 @@ def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max
     beta = np.zeros((models, d + 1))
     size = (d + 1) * (d + 2)
     penalty = np.diag([l2] * d + [0.0])
+    parts = np.concatenate([[0.0], 0.5 ** np.arange(27)])
     live = set(range(models))
-    for _ in range(max_iter):  # a fit that is still moving after the last step says so
+
+    def rows_of(k, x, y, w, held):
+        m = held != k
+        z = np.column_stack([(x[m, :d] - mean[k]) / scale[k], np.ones(m.sum())])
+        # Balanced weights give both labels the same total.
+        return z, y[m], w[m] * (np.where(y[m] == 1, n[k] / (2 * max(pos[k], 1)), n[k] / (2 * max(n[k] - pos[k], 1))) if balanced else 1.0)
+
+    for _ in range(max_iter):
         current, active = beta.copy(), sorted(live)
 
-        def work(x, y, w, held):
-            parts = []
+        def slopes(x, y, w, held):
+            out = []
+            for k in active:
+                z, label, wk = rows_of(k, x, y, w, held)
+                p = 1 / (1 + np.exp(-np.clip(z @ current[k], -LOGIT_CLIP, LOGIT_CLIP)))
+                h = wk * np.maximum(p * (1 - p), CURVATURE_FLOOR)
+                out += [z.T @ (wk * (p - label)), (z.T @ (h[:, None] * z)).ravel()]
+            return np.concatenate(out)
+
+        sums = _sums(table, slopes, size * len(active)).reshape(len(active), size)
+        steps = {
+            k: np.linalg.solve(row[d + 1:].reshape(d + 1, d + 1) + penalty + np.eye(d + 1) * RIDGE, row[:d + 1] + penalty @ beta[k])
+            for row, k in zip(sums, active)}
+
+        def losses(x, y, w, held):
+            out = []
             for k in active:
-                m = held != k
-                z = np.column_stack([(x[m, :d] - mean[k]) / scale[k], np.ones(m.sum())])
-                # Balanced weights give both labels the same total.
-                wk = w[m] * (np.where(y[m] == 1, n[k] / (2 * max(pos[k], 1)), n[k] / (2 * max(n[k] - pos[k], 1))) if balanced else 1.0)
-                p = 1 / (1 + np.exp(-np.clip(z @ current[k], -30, 30)))
-                h = wk * np.maximum(p * (1 - p), 1e-6)
-                parts += [z.T @ (wk * (p - y[m])), (z.T @ (h[:, None] * z)).ravel()]
-            return np.concatenate(parts)
-
-        sums = _sums(table, work, size * len(active)).reshape(len(active), size)
-        for row, k in zip(sums, active):
-            gradient = row[:d + 1] + penalty @ beta[k]
-            step = np.linalg.solve(row[d + 1:].reshape(d + 1, d + 1) + penalty + np.eye(d + 1) * 1e-6, gradient)
-            beta[k] -= step
-            if np.abs(step).max() < tol:
+                z, label, wk = rows_of(k, x, y, w, held)
+                logits = (z @ current[k])[:, None] - (z @ steps[k])[:, None] * parts
+                out.append((wk[:, None] * (np.logaddexp(0, logits) - label[:, None] * logits)).sum(axis=0))
+            return np.concatenate(out)
+
+        along = _sums(table, losses, len(parts) * len(active)).reshape(len(active), len(parts))
+        for loss, k in zip(along, active):
+            tried = beta[k] - parts[:, None] * steps[k]
+            loss = loss + 0.5 * ((tried @ penalty) * tried).sum(axis=1)
+            good = np.flatnonzero(loss[1:] <= loss[0])
+            taken = parts[1 + good[0]] if len(good) else 0.0
+            beta[k] -= taken * steps[k]
+            if taken * np.abs(steps[k]).max() < tol:
                 live.discard(k)
         if not live:
             break

@@ -121,18 +121,6 @@ def combine(layers: dict[str, DataFrame], where: Column, keys: list[str] = TILE)
     return merge_segments(sweep(layers, keys).filter(where), keys)
 
 
-def union_runs(a: DataFrame, b: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    return combine({"a": a, "b": b}, (F.col("a") > 0) | (F.col("b") > 0), keys)
-
-
-def intersect_runs(a: DataFrame, b: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    return combine({"a": a, "b": b}, (F.col("a") > 0) & (F.col("b") > 0), keys)
-
-
-def subtract_runs(a: DataFrame, b: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    return combine({"a": a, "b": b}, (F.col("a") > 0) & (F.col("b") == 0), keys)
-
-
 def spread_square(runs: DataFrame, radius: int) -> DataFrame:
     """Raw (overlapping) cover of a square dilation; feed to ``sweep``."""
     return (

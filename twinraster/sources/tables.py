@@ -96,11 +96,6 @@ def folder_violations(folders: DataFrame) -> DataFrame:
     return folders.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("two folders have this id").alias("reason"))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every file below ``root``; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-
-
 def read_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Ids of the single pairs.csv below ``root`` with their image paths."""
     raw = (spark.read.option("header", True).option("recursiveFileLookup", True)

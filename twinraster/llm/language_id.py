@@ -18,13 +18,12 @@ from .common import extended, mix, texts, with_arrays
 
 _U = np.uint64
 #: Bits per n: 1-grams and 2-grams have a place of their own, longer ones share 2^16 places by hash.
-_PLACES = {1: 1 << 8, 2: 1 << 16, 3: 1 << 16, 4: 1 << 16}
 _OFFSET = {1: 0, 2: 256, 3: 256 + 65_536, 4: 256 + 2 * 65_536}
 WIDTH = 256 + 3 * 65_536
-#: Bounds of the fit: labelled rows per language, landmarks over all languages, ridge.
-ROWS_PER_LANGUAGE, LANDMARKS, RIDGE = 400, 240, 1e-2
+#: Bounds of the fit: labelled rows per language and in all, landmarks over all languages, ridge.
+ROWS_PER_LANGUAGE, MAX_ROWS, LANDMARKS, RIDGE = 400, 8000, 240, 1e-2
 #: Languages that the fit tells apart at most (the most frequent first in the training rows); a bound on what is broadcast.
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 100
 UNDETERMINED = "und"
 
 _KEEP = np.zeros(256, dtype=np.uint8)
@@ -78,11 +77,11 @@ def fit(places: list[np.ndarray], labels: list[str]) -> Model | None:
     chosen = np.concatenate([np.flatnonzero(of == c)[:share] for c in range(len(languages))])
 
     def kernel(rows):
-        held = np.zeros((len(chosen), WIDTH), dtype=np.float32)
+        held = np.zeros((WIDTH, len(chosen)), dtype=bool)
         for r, c in enumerate(chosen):
-            held[r, places[c]] = 1.0
+            held[places[c], r] = True
         sizes = np.sqrt(np.array([len(places[c]) for c in chosen]))
-        return np.stack([held[:, places[i]].sum(axis=1) / sizes / np.sqrt(len(places[i])) for i in rows]).astype(np.float64)
+        return np.stack([np.count_nonzero(held[places[i]], axis=0) / sizes / np.sqrt(len(places[i])) for i in rows])
 
     every = kernel(range(len(places)))
     between = every[chosen]
@@ -97,18 +96,19 @@ def fit(places: list[np.ndarray], labels: list[str]) -> Model | None:
     weights = np.zeros((WIDTH, len(languages)))
     for c, row in zip(chosen, alpha):
         weights[places[c]] += row / np.sqrt(len(places[c]))
-    return Model(languages, weights)
+    return Model(languages, weights.astype(np.float32))
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from ``ROWS_PER_LANGUAGE`` rows of each language in hash order of their ids (rows without id, letters or
+    """A model from ``ROWS_PER_LANGUAGE`` rows of each language (fewer if they would pass ``MAX_ROWS``) in hash order of their ids (rows without id, letters or
     language are passed over); None if there are none. Each id is drawn once; the text read is the smallest it has."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna().groupBy("id").agg(F.min("lang").alias("lang"))
-    common = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    drawn = (
-        ids.join(F.broadcast(common.select("lang")), "lang").withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= ROWS_PER_LANGUAGE).select("id", "lang"))
+    common = [r.lang for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    if not common:
+        return None
+    drawn = ids.filter(F.col("lang").isin(common)).withColumn("r", F.row_number().over(order)).filter(
+        F.col("r") <= min(ROWS_PER_LANGUAGE, MAX_ROWS // len(common))).select("id", "lang")
     bodies = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
 
     def run(batches):

@@ -35,6 +35,18 @@ def is_mock(source: Column) -> Column:
     return _overlaps(F.split(F.lower(F.coalesce(source, F.lit(""))), "_"), MOCK_TOKENS)
 
 
+# Why a row may not be trained on, in the order of the rules.
+ELIGIBILITY_TEXTS = [
+    "dataset audit has not approved this sample",
+    "source excluded pending competition-compatible rights",
+    "missing source provenance",
+    "commercial license not verified",
+    "Hansen is candidate mining only",
+    "labels require high-resolution review",
+    "partial weak labels require a review_mask path",
+]
+
+
 def eligibility_reason(df: DataFrame) -> Column:
     """First failing training rule, or ``approved``."""
     tokens = source_tokens(_get(df, "source"))
@@ -43,14 +55,14 @@ def eligibility_reason(df: DataFrame) -> Column:
         "approved",
         ((F.lower(_get(df, "audit_status")) == "unverified")
          | F.lower(_get(df, "audit_training_eligible")).isin("false", "0", "no"),
-         "dataset audit has not approved this sample"),
-        (_overlaps(tokens, EXCLUDED_SOURCES), "source excluded pending competition-compatible rights"),
-        (F.trim(_get(df, "source")) == "", "missing source provenance"),
-        (~licence.isin(*APPROVED_LICENSES), "commercial license not verified"),
-        (_overlaps(tokens, LOSS_ONLY_SOURCES) | (_get(df, "label_source") == "hansen"), "Hansen is candidate mining only"),
-        (F.lower(_get(df, "label_status")).isin(*UNREVIEWED_LABELS), "labels require high-resolution review"),
+         ELIGIBILITY_TEXTS[0]),
+        (_overlaps(tokens, EXCLUDED_SOURCES), ELIGIBILITY_TEXTS[1]),
+        (F.trim(_get(df, "source")) == "", ELIGIBILITY_TEXTS[2]),
+        (~licence.isin(*APPROVED_LICENSES), ELIGIBILITY_TEXTS[3]),
+        (_overlaps(tokens, LOSS_ONLY_SOURCES) | (_get(df, "label_source") == "hansen"), ELIGIBILITY_TEXTS[4]),
+        (F.lower(_get(df, "label_status")).isin(*UNREVIEWED_LABELS), ELIGIBILITY_TEXTS[5]),
         ((_get(df, "training_scope") == "review_mask_only") & (_get(df, "review_mask") == ""),
-         "partial weak labels require a review_mask path"),
+         ELIGIBILITY_TEXTS[6]),
     )
 
 
@@ -150,18 +162,31 @@ def apply_reviews(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
 
 # --- readiness ------------------------------------------------------------------
 
+# What keeps a dataset from being ready, in order.
+BLOCKER_TEXTS = [
+    "No reviewed no-change samples for false-positive control",
+    "No reviewed new_building masks; target class is missing",
+    "No reviewed tree_removal masks; target class is missing",
+    "No real training dataset; available samples are mock/demo only",
+    "Unverified provenance/license/label review; excluded from training readiness",
+    "Image/mask integrity errors",
+    "Geographic/temporal isolation is not established or leakage exists",
+    "Validation contains partially reviewed masks",
+]
+
+
 def readiness(totals: DataFrame) -> DataFrame:
     """Verdict row from audit totals (one row in, one row out)."""
     blockers = reasons(
-        (F.col("background_only") == 0, "No reviewed no-change samples for false-positive control"),
-        (F.col("building_pixels") == 0, "No reviewed new_building masks; target class is missing"),
-        (F.col("tree_pixels") == 0, "No reviewed tree_removal masks; target class is missing"),
+        (F.col("background_only") == 0, BLOCKER_TEXTS[0]),
+        (F.col("building_pixels") == 0, BLOCKER_TEXTS[1]),
+        (F.col("tree_pixels") == 0, BLOCKER_TEXTS[2]),
         ((F.col("total_samples") == 0) | (F.col("mock_samples") == F.col("total_samples")),
-         "No real training dataset; available samples are mock/demo only"),
-        (F.col("ineligible_samples") > 0, "Unverified provenance/license/label review; excluded from training readiness"),
-        (F.col("usable_samples") != F.col("total_samples"), "Image/mask integrity errors"),
-        (F.col("leaks") > 0, "Geographic/temporal isolation is not established or leakage exists"),
-        (F.col("partial_val_samples") > 0, "Validation contains partially reviewed masks"),
+         BLOCKER_TEXTS[3]),
+        (F.col("ineligible_samples") > 0, BLOCKER_TEXTS[4]),
+        (F.col("usable_samples") != F.col("total_samples"), BLOCKER_TEXTS[5]),
+        (F.col("leaks") > 0, BLOCKER_TEXTS[6]),
+        (F.col("partial_val_samples") > 0, BLOCKER_TEXTS[7]),
     )
     return totals.withColumn("blockers", blockers).withColumn(
         "readiness",

@@ -235,6 +235,10 @@ def choose_operating_point(grid: DataFrame, class_name: str) -> DataFrame:
 
 # --- labels, filters, veto ---------------------------------------------------------------------
 
+# Shares of a component inside the truth, seen by the review, and its overlap with the truth.
+POSITIVE_SHARE, NEGATIVE_SHARE, SEEN_SHARE, POSITIVE_IOU = 0.40, 0.05, 0.95, 0.25
+
+
 def label_candidates(facts: DataFrame) -> DataFrame:
     """Adds ``label`` (1, 0 or -1 = unknown) from n, overlap, reviewed, partial, total_truth and category."""
     share = F.col("overlap") / F.greatest("n", F.lit(1))
@@ -242,9 +246,9 @@ def label_candidates(facts: DataFrame) -> DataFrame:
     iou = F.col("overlap") / F.greatest(F.col("n") + F.col("total_truth") - F.col("overlap"), F.lit(1))
     label = (
         F.when(F.col("n") == 0, -1).when(F.col("category").isin("real_negative", "negative"), 0)
-        .when(F.col("partial"), F.when(share >= 0.40, 1).when((seen >= 0.95) & (share < 0.05), 0).otherwise(-1))
+        .when(F.col("partial"), F.when(share >= POSITIVE_SHARE, 1).when((seen >= SEEN_SHARE) & (share < NEGATIVE_SHARE), 0).otherwise(-1))
         .when(F.col("total_truth") == 0, 0)
-        .when((share >= 0.40) | (iou >= 0.25), 1).when(share < 0.05, 0).otherwise(-1))
+        .when((share >= POSITIVE_SHARE) | (iou >= POSITIVE_IOU), 1).when(share < NEGATIVE_SHARE, 0).otherwise(-1))
     return facts.withColumn("label", label)
 
 

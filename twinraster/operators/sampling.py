@@ -11,6 +11,10 @@ from .ordering import global_index
 
 # Kinds of synthetic no-change rows, colour gains, category shares.
 COLOUR_GAINS = {"seasonal_color": (1.15, 0.9, 0.8), "vegetation_appearance": (1.1, 0.8, 0.9), "roof_color": (0.8, 1.0, 1.3), "agricultural": (1.25, 0.8, 0.9), "road": (0.85, 1.0, 1.15)}
+STRENGTH, GAIN, GREEN_LEAD = (0.6, 0.4), (0.7, 0.6), 1.1  # least value and range of the draw; lead of green in vegetation
+SHADOW_RADII, SHADOW_DARKNESS = (0.3, 0.35), (0.25, 0.25)  # shares of height and width; least value and range
+PATCH_PARTS, PATCH_COLOURS = (16, 12), (90, 141)  # parts of height and width; least value and range
+BLUR_SIGMA = (0.6, 0.7)  # least value and range
 POSITIVE_SHARES = [("new_building", 0.25), ("tree_removal", 0.25), ("both", 0.125)]
 
 
@@ -75,24 +79,24 @@ def negative_rows(images: DataFrame, kinds: list[str], seed: int, height: int, w
     roi = F.lit(True) if roi is None else roi
     t = images.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("_roi", roi)
     u = lambda tag: hash_unit(F.lit(seed), F.col("id"), F.col("kind"), F.lit(tag))
-    green = (F.col("g") > F.col("r") * 1.1) & (F.col("g") > F.col("b") * 1.1)
-    strength = 0.6 + 0.4 * u("strength")
+    green = (F.col("g") > F.col("r") * GREEN_LEAD) & (F.col("g") > F.col("b") * GREEN_LEAD)
+    strength = STRENGTH[0] + STRENGTH[1] * u("strength")
     cy, cx = u("cy") * height, u("cx") * width
-    ry, rx = max(height * 0.3, 1.0), max(width * 0.35, 1.0)
+    ry, rx = max(height * SHADOW_RADII[0], 1.0), max(width * SHADOW_RADII[1], 1.0)
     distance = ((F.col("y") - cy) / ry) ** 2 + ((F.col("x") - cx) / rx) ** 2
-    shade = 1 - F.exp(-distance / 2) * (0.25 + 0.25 * u("dark"))
-    th, tw = max(1, height // 16), max(1, width // 12)
+    shade = 1 - F.exp(-distance / 2) * (SHADOW_DARKNESS[0] + SHADOW_DARKNESS[1] * u("dark"))
+    th, tw = max(1, height // PATCH_PARTS[0]), max(1, width // PATCH_PARTS[1])
     py, px = F.floor(u("py") * (height - th + 1)), F.floor(u("px") * (width - tw + 1))
     patch = (F.col("y") >= py) & (F.col("y") < py + th) & (F.col("x") >= px) & (F.col("x") < px + tw)
 
     def channel(i: int, c: str) -> Column:
         v = F.col(c).cast("double")
-        out = F.when(F.col("kind") == "brightness", _byte(v * (0.7 + 0.6 * u("gain"))))
+        out = F.when(F.col("kind") == "brightness", _byte(v * (GAIN[0] + GAIN[1] * u("gain"))))
         for kind, gains in COLOUR_GAINS.items():
             inside = green if kind == "vegetation_appearance" else F.lit(True)
             out = out.when((F.col("kind") == kind) & inside, _byte(v * (1 + (gains[i] - 1) * strength)))
         out = out.when(F.col("kind") == "shadows", _byte(v * shade))
-        out = out.when((F.col("kind") == "temporary_objects") & patch, F.floor(90 + 141 * u(f"colour{c}")).cast("double"))
+        out = out.when((F.col("kind") == "temporary_objects") & patch, F.floor(PATCH_COLOURS[0] + PATCH_COLOURS[1] * u(f"colour{c}")).cast("double"))
         return F.when(F.col("_roi"), out.otherwise(v)).otherwise(v)
 
     point = t.filter(~F.col("kind").isin("blur", "slight_shift")).select("id", "kind", "y", "x", *[channel(i, c).alias(c) for i, c in enumerate("rgb")], F.lit(True).alias("valid"))
@@ -107,7 +111,7 @@ def negative_rows(images: DataFrame, kinds: list[str], seed: int, height: int, w
         kept = (F.col("y") - F.col("_s.dy")).between(0, height - 1) & (F.col("x") - F.col("_s.dx")).between(0, width - 1)
         parts.append(s.join(plain, ["id", "sy", "sx"]).select("id", "kind", "y", "x", *[F.col(f"s_{c}").cast("double").alias(c) for c in "rgb"], kept.alias("valid")))
     if "blur" in kinds:
-        sigma = 0.6 + 0.7 * u("sigma")
+        sigma = BLUR_SIGMA[0] + BLUR_SIGMA[1] * u("sigma")
         side = F.exp(-1.0 / (2 * sigma * sigma))
         tap = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         b = t.filter("kind = 'blur'").withColumn("_t", tap).withColumn("_w", F.pow(side / (1 + 2 * side), F.abs("_t.a") + F.abs("_t.b")) * F.pow(1 / (1 + 2 * side), 2 - F.abs("_t.a") - F.abs("_t.b")))

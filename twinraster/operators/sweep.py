@@ -279,6 +279,7 @@ def promotion_gate(candidate: DataFrame, baseline: DataFrame, by: list[str]) ->
     return j.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))).alias("reasons")).withColumn("passed", F.size("reasons") == 0)
 
 
+# The names of the transitions and the gate texts above are fixed values.
 def transition(truth: Column, old: Column, new: Column) -> Column:
     return (
         F.when(truth & old & new, "TP_preserved").when(truth & old, "TP_lost").when(~truth & old & new, "FP_still").when(~truth & old, "FP_fixed")

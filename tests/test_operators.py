@@ -215,3 +215,22 @@ def test_held_out_images_are_one_namespace(spark):
     held = spark.createDataFrame([("h", "img/2", "img/3", None)], schema)
     found = splits.heldout_violations(train, held, {"image": ["pre", "post"], "source": [splits.own_source()]})
     assert {tuple(r) for r in found.collect()} == {("a", "shared image"), ("b", "shared source")}
+
+
+def test_adjacency_of_one_giant_box(spark):
+    """A box of 200 km takes a few cells, and meets the small boxes that it touches."""
+    rng = np.random.default_rng(5)
+    rows = [(0, 0.0, 0.0, 200_000.0, 200_000.0, "A")]
+    for i in range(1, 120):
+        w, s = rng.uniform(-30_000, 230_000, 2)
+        side = float(rng.choice([10, 300, 9_000]))
+        rows.append((i, float(w), float(s), float(w + side), float(s + side), "A" if i % 9 else "B"))
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and x[5] == y[5]:
+                dx, dy = max(0, y[1] - x[3], x[1] - y[3]), max(0, y[2] - x[4], x[2] - y[4])
+                if dx * dx + dy * dy <= 25:
+                    want.add((x[0], y[0]))
+    df = spark.createDataFrame(rows, "id int, w double, s double, e double, n double, crs string")
+    assert {tuple(r) for r in graph.box_adjacency(df, 5.0).collect()} == want and len(want) > 50

@@ -1,6 +1,8 @@
 """Shared-key edges, spatial adjacency and connected components over DataFrames."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,31 +80,37 @@ def label_groups(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 
 
 def box_adjacency(boxes: DataFrame, buffer: float = 0.0, cell: float = 64.0, id_col: str = "id") -> DataFrame:
-    """Edges between boxes that touch, overlap or lie within ``buffer`` of each other.
+    """Edges (src < dst) between boxes that touch, overlap or lie within ``buffer`` of each other.
 
     Copies of one box are linked to their smallest id, so a pile of copies costs one
-    edge each; distinct boxes meet by equality of the grid cells they reach, and a
-    pair is kept only in the first cell both share, so no de-duplicating shuffle follows.
+    edge each. Cells double in size from level to level and a box lives on the first
+    level whose cells are as large as it is, so it reaches four cells there at most,
+    however large it is. Boxes meet on the level of the larger one, and a pair is kept
+    only in the first cell both share. With a ``crs`` column only boxes of one meet.
     """
-    sides = ["w", "s", "e", "n"]
+    own = ["crs"] if "crs" in boxes.columns else []
+    sides = ["w", "s", "e", "n", *own]
     distinct = boxes.groupBy(*sides).agg(F.min(id_col).alias("id"))
     copies = (
         boxes.select(F.col(id_col).alias("dst"), *sides).join(distinct.withColumnRenamed("id", "src"), sides)
         .filter("src <> dst").select("src", "dst")
     )
-    low, high = (lambda c: F.floor((F.col(c) - buffer) / cell)), (lambda c: F.floor((F.col(c) + buffer) / cell))
-    reach = distinct.select("id", *sides, low("w").alias("cx0"), high("e").alias("cx1"), low("s").alias("cy0"), high("n").alias("cy1"))
-    spread = reach.withColumn("cx", F.explode(F.sequence("cx0", "cx1"))).withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
-    a, b = spread.alias("a"), spread.alias("b")
+    reach = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s")) + 2 * buffer
+    placed = distinct.withColumn("home", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(reach, F.lit(cell)) / cell))).cast("int"))
+    # One row per level: their number is bounded by the exponents of a double.
+    levels = sorted(r.home for r in placed.select("home").distinct().collect())
+    step = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c, sign: F.floor((F.col(c) + sign * buffer) / step)
+    cells = (
+        placed.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("home"))))
+        .withColumns({"cx0": at("w", -1), "cx1": at("e", 1), "cy0": at("s", -1), "cy1": at("n", 1)})
+        .withColumn("cx", F.explode(F.sequence("cx0", "cx1"))).withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
+    )
+    a, b = cells.filter("level = home").alias("a"), cells.alias("b")
     dx = F.greatest(F.lit(0.0), F.col("b.w") - F.col("a.e"), F.col("a.w") - F.col("b.e"))
     dy = F.greatest(F.lit(0.0), F.col("b.s") - F.col("a.n"), F.col("a.s") - F.col("b.n"))
-    near = (
-        a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")))
-        .filter(
-            (F.col("a.cx") == F.greatest("a.cx0", "b.cx0"))
-            & (F.col("a.cy") == F.greatest("a.cy0", "b.cy0"))
-            & (dx * dx + dy * dy <= buffer * buffer)
-        )
-        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-    )
-    return near.unionByName(copies)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("level", "cx", "cy")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own]
+    once = (F.col("b.home") < F.col("a.home")) | (F.col("b.home") == F.col("a.home")) & (F.col("a.id") < F.col("b.id"))
+    first = (F.col("a.cx") == F.greatest("a.cx0", "b.cx0")) & (F.col("a.cy") == F.greatest("a.cy0", "b.cy0"))
+    near = a.join(b, reduce(lambda p, q: p & q, same) & once).filter(first & (dx * dx + dy * dy <= buffer * buffer))
+    return near.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).unionByName(copies)

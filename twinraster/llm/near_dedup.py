@@ -6,8 +6,11 @@ coordinates; the dart of lowest rank per coordinate is the signature, and two si
 probability of the weighted Jaccard similarity. Bands of coordinates give candidates:
 
 1. equal texts collapse to one representative before any banding;
-2. in each bucket, members are compared with its smallest member (a star: linear in the bucket, however large);
-3. members of one bucket that are still in different classes are compared with each other, so no link is lost to the stars;
+2. in each bucket, members are compared with the member that shares most buckets with most others (a star: linear in the
+   bucket, however large); among edited copies of one text that member is the text itself;
+3. members that their centre isn't linked to are compared with the other members of the bucket, so no link is lost to the
+   stars. An exact bound on the difference of two texts (bits of their shingles that only one has) spares the pairs
+   that can't reach the threshold, such as two copies with many edits each;
 4. candidates are verified on the exact weighted similarity of the whole texts, and links become connected components.
 """
 from __future__ import annotations
@@ -25,8 +28,10 @@ _U = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
 #: Coordinates, and bands of as many coordinates each: a pair at 0.8 shares a band with probability 0.9998.
 K, BANDS = 64, 16
-#: A pair is verified if at least this many coordinates agree; at similarity 0.8 fewer do with probability 1e-7.
-AGREE = 32
+#: A pair is verified if at least this many coordinates agree; at similarity 0.8 fewer do with probability 1e-5.
+AGREE = 36
+#: Bits per text in the bound that spares far pairs their verification.
+BITS = 2048
 #: Rank bands end at 2^-12, 2^-11, ... 1 and then at every whole number.
 _FINE = 12
 
@@ -133,6 +138,24 @@ def verified(pairs: DataFrame, size: int = SHINGLE, threshold: float = SIMILARIT
     return pairs.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}")
 
 
+def _bitmaps(bodies: DataFrame, size: int) -> DataFrame:
+    """(id, units, bits) per text: its number of units, and a bit for every place of ``BITS`` that a unit hashes to. A bit
+    that only one of two texts has set is a unit that only one has, so the bits that differ bound their difference."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, bits = [], []
+            for text in texts(batch.column(1)):
+                units = occurrence_hashes(text, size)
+                held = np.zeros(BITS, dtype=np.uint8)
+                held[(mix(units) % _U(BITS)).astype(np.int64)] = 1
+                sizes.append(len(units))
+                bits.append(np.packbits(held).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "units", "bits"])
+
+    return bodies.select("id", "text").mapInArrow(run, f"id {bodies.schema['id'].dataType.simpleString()}, units int, bits array<bigint>")
+
+
 def _agree(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) >= AGREE
 
@@ -156,10 +179,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "distinct",
     )
     members = distinct.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = cut(
-        members.groupBy("band", "key").agg(F.min("id").alias("centre"), F.max("id").alias("last"))
-        .filter(F.col("centre") != F.col("last")).drop("last"))
-    bucketed = cut(members.join(buckets, ["band", "key"]))
+    buckets = cut(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sized = cut(members.join(buckets, ["band", "key"]))
+    met = cut(sized.groupBy("id").agg(F.sum("n").alias("met")))
+    centres = cut(sized.join(met, "id").groupBy("band", "key").agg(F.max(F.struct("met", "id")).getField("id").alias("centre")))
+    bucketed = cut(sized.drop("n").join(centres, ["band", "key"]))
 
     wanted = bucketed.select("id").distinct()  # both ends of every candidate of either round are in a bucket
     bodies = stored(
@@ -176,25 +200,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut(verified(both.select("a", "b", "text_a", "text_b"), size, threshold))
 
     stars = links(bucketed.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    twins = signed.select("id", "content").join(distinct.select("content", F.col("id").alias("rep")), "content").filter(F.col("id") != F.col("rep"))
-    edges = cut(stars.toDF("src", "dst").union(twins.select("rep", "id")))
-    classes = connected_components(edges)
-
-    # members of one bucket in different classes: compared with each other, inside the join
-    labelled = bucketed.join(classes.toDF("id", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = cut(
-        labelled.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        .filter(F.col("low") != F.col("high")).select("band", "key"))
-    side = labelled.join(mixed, ["band", "key"]).join(coords, "id").filter(F.col("id") != F.col("centre"))
+    # members that their bucket's centre isn't linked to are compared with the bucket's others, inside the join
+    linked = stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.lit(True).alias("linked"))
+    others = cut(bucketed.filter(F.col("id") != F.col("centre")).join(linked, ["centre", "id"], "left").select(
+        "band", "key", "id", F.col("linked").isNull().alias("loose")))
+    open_buckets = cut(
+        others.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.max("loose").alias("loose")).filter("loose and n > 1").select("band", "key"))
+    side = cut(others.join(open_buckets, ["band", "key"]))
+    facts = side.join(cut(_bitmaps(bodies.join(side.select("id").distinct(), "id", "left_semi"), size).join(distinct.select("id", "coords", "keys"), "id")), "id")
+    left, right = (facts.select("band", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "loose", "units", "bits", "coords", "keys")]) for x in "ab")
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, v: n + v)
+    bound = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("a_units") + F.col("b_units")) + 1e-6
+    once = ~F.col("b_loose") & (F.col("a_id") != F.col("b_id")) | (F.col("a_id") < F.col("b_id"))
+    # a pair is compared in the first bucket it shares: there one of the two is loose, or both are linked to its centre
+    shared = F.zip_with("a_keys", "b_keys", lambda x, y: x == y)
+    new = ~F.exists(F.slice(shared, F.lit(1), F.col("band")), lambda v: v)
     open_pairs = (
-        side.select("band", "key", F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("coords").alias("coords_a"))
-        .join(side.select("band", "key", F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("coords").alias("coords_b")), ["band", "key"])
-        .filter((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & _agree(F.col("coords_a"), F.col("coords_b")))
-        .select("a", "b").distinct()
+        left.filter("a_loose").join(right, ["band", "key"]).filter(once & new & bound & _agree(F.col("a_coords"), F.col("b_coords")))
+        .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     )
-    rest = links(open_pairs)
-    if not rest.isEmpty():
-        classes = connected_components(cut(edges.union(rest)))
+    twins = signed.select("id", "content").join(distinct.select("content", F.col("id").alias("rep")), "content").filter(F.col("id") != F.col("rep"))
+    classes = connected_components(stars.union(links(open_pairs)).toDF("src", "dst").union(twins.select("rep", "id")))
     return (
         docs.select("id").distinct().join(classes.toDF("id", "class"), "id", "left")
         .select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))

@@ -89,27 +89,12 @@ def sample_folders(spark, sf):
 @query("s03_pair_list", WITH + " SELECT id, 'images/'||id||'/pre.png' AS pre, 'images/'||id||'/post.png' AS post FROM manifest")
 def pair_list(spark, sf):
     folder = scratch_path(spark, "pairs")
-    _single_csv(V.manifest(spark, sf).select("id"), f"{folder}/pairs.csv")
+    V.manifest(spark, sf).select("id").write.option("header", True).csv(f"{folder}/pairs.csv")
     rows = S.read_pairs(spark, folder)
     cut = r"^.*/(images/)"
     return rows.select("id", *[F.regexp_replace(r, cut, "$1").alias(r) for r in ("pre", "post")])
 
 
-def _single_csv(rows, path):
-    """Spark writes a folder named like the file; its part files carry the name's contents."""
-    import pyspark.sql.functions as fn
-    part = path.rsplit("/", 1)[0] + "-parts"
-    rows.repartition(1).write.option("header", True).csv(part)
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    source = jvm.org.apache.hadoop.fs.Path(part)
-    fs = source.getFileSystem(conf)
-    for status in fs.listStatus(source):
-        if status.getPath().getName().startswith("part-"):
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            fs.mkdirs(target.getParent())
-            fs.rename(status.getPath(), target)
-
-
 @query("s06_truth_kind", "SELECT 'polygons' AS kind, id, cell AS new_building, '-' AS tree_removal FROM (SELECT 'd'||doc_id AS id, '[[['||doc_id||',0],['||doc_id||',9],['||(doc_id+5)||',9]]]' AS cell FROM documents)")
 def truth_load(spark, sf):
     path = scratch_path(spark, "truth")

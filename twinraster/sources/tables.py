@@ -97,17 +97,17 @@ def folder_violations(folders: DataFrame) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Ids of the single pairs.csv below ``root`` with their image paths."""
-    raw = (spark.read.option("header", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "pairs.csv").csv(root))
-    rows = require_columns(raw, ["id"]).select(F.trim("id").alias("id"), F.input_file_name().alias("file"))
-    if rows.select("file").distinct().limit(2).count() != 1:
+    """Ids of the single ``pairs.csv`` below ``root`` (a file, or a folder that Spark wrote) with their image paths."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.regexp_extract("path", r"^(.*)/pairs\.csv(/[^/]*)?$", 1).alias("base"))
+    bases = [r.base for r in listed.filter("base <> ''").distinct().limit(2).collect()]
+    if len(bases) != 1:
         raise ContractError("expected exactly one pairs.csv")
-    rows = rows.filter(~is_blank(F.col("id")))
+    raw = spark.read.option("header", True).csv(f"{bases[0]}/pairs.csv")
+    rows = require_columns(raw, ["id"]).select(F.trim("id").alias("id")).filter(~is_blank(F.col("id")))
     reject_any(id_violations(rows), "pair ids must be safe and unique")
-    base = F.regexp_replace("file", "/[^/]*$", "")
-    return rows.select(
-        "id", *[F.concat(base, F.lit("/images/"), F.col("id"), F.lit(f"/{r}.png")).alias(r) for r in ("pre", "post")])
+    image = lambda role: F.concat(F.lit(f"{bases[0]}/images/"), F.col("id"), F.lit(f"/{role}.png")).alias(role)
+    return rows.select("id", image("pre"), image("post"))
 
 
 def truth_kind(columns: list[str]) -> str:

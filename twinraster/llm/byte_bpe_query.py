@@ -1,7 +1,6 @@
 """op5: byte-level BPE over all documents, encoded and decoded again."""
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import register
@@ -17,6 +16,9 @@ def op5_byte_bpe(spark, sf_dir):
 
 
 def round_trip(docs):
+    """Counts and digests of the whole texts of ``docs`` (doc_id, text), encoded and decoded with the public vocabulary."""
+    import public_tokenizers  # its files are needed to run this query, not to list it
+
     path = public_tokenizers.path(VOCABULARY)
     encoded = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
     return decode(encoded, path).select(

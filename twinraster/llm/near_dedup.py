@@ -164,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id): one row per distinct id; ``class_id`` is the smallest id of the documents linked to it by a chain of
     pairs whose weighted Jaccard similarity on ``size``-word shingles is at least ``threshold``.
 
-    Words are runs without ASCII blanks, unchanged. Defined cases: a text with 1 to ``size`` - 1 words is one shingle; texts
-    without a word (null, empty, blank) are in a class of their own each; rows with a null id are left out; rows that
+    Words are runs without ASCII blanks, unchanged. Defined cases: equal texts are always one class, null counting as empty;
+    a text with 1 to ``size`` - 1 words is one shingle; different texts without a word are not linked; rows with a null id are left out; rows that
     repeat an id are one document, linked to what any of its texts is linked to; an empty table gives no rows; other
     columns of ``docs`` are not read.
     """
@@ -174,8 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(signatures(docs.select("id", content, "text"), "text", size), "signatures")
     # equal texts: the signature follows the content, so the aggregate keeps one of each before the shuffle
     distinct = stored(
-        signed.filter(F.col("keys").isNotNull()).groupBy("content")
-        .agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("keys").alias("keys")),
+        signed.groupBy("content").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("keys").alias("keys")),
         "distinct",
     )
     members = distinct.select("id", F.posexplode("keys").alias("band", "key"))

@@ -110,8 +110,9 @@ def polygon_cells(spark, sf):
     return rings.groupBy(*R.TILE).agg(F.count(F.lit(1)).alias("polygons"), F.sum(G.ring_area(F.col("ring"))).alias("area"), F.sum(F.size("ring")).alias("vertices"))
 
 
-@query("v11_polygon_cells", """SELECT p_partkey AS id, CASE p_partkey%6 WHEN 0 THEN 'fewer than three points' WHEN 1 THEN 'self-crossing' WHEN 2 THEN 'no area' WHEN 3 THEN 'invalid polygon JSON' END AS reason,
- CASE WHEN p_partkey%6>3 THEN round(p_size*10.0::DOUBLE,6) END AS area FROM part WHERE p_size>0""")
+@query("v11_polygon_cells", """SELECT p_partkey AS id, CASE p_partkey%6 WHEN 0 THEN 'fewer than three points' WHEN 1 THEN CASE WHEN p_size=0 THEN 'no area' ELSE 'self-crossing' END WHEN 2 THEN 'no area' WHEN 3 THEN 'invalid polygon JSON'
+ ELSE CASE WHEN p_size=0 THEN 'no area' END END AS reason,
+ CASE WHEN p_partkey%6>3 AND p_size>0 THEN round(p_size*10.0::DOUBLE,6) END AS area FROM part""")
 def polygon_validation(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size").cast("string")
     cell = (
@@ -121,7 +122,7 @@ def polygon_validation(spark, sf):
         .when(k % 6 == 3, F.lit("[[oops"))
         .when(k % 6 == 4, F.concat(F.lit("[[[0,0],["), s, F.lit(",0],["), s, F.lit(",10],[0,10]]]")))
         .otherwise(F.concat(F.lit("[[[0,0],["), s, F.lit(",0],["), s, F.lit(",10],[0,10],[0,0]]]"))))
-    rows = V.table(spark, sf, "part").filter("p_size > 0").select(k.alias("id"), cell.alias("cell"))
+    rows = V.table(spark, sf, "part").select(k.alias("id"), cell.alias("cell"))
     out = G.rings(rows, "cell", ["id"])
     return out.select("id", "reason", F.when(F.col("reason").isNull(), F.round(G.ring_area(F.col("ring")), 6)).alias("area"))
 

@@ -66,3 +66,15 @@ def test_empty_table_and_bound(spark):
     assert M.mix_sources(empty, TARGETS).collect() == []
     with pytest.raises(ValueError):
         M.mix_sources(empty, {"source": {str(i): 1.0 for i in range(300)}, "lang": {str(i): 1.0 for i in range(300)}})
+
+
+def plain_docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def test_null_and_unnamed_languages_survive_the_default_mix(spark):
+    """A third of the rows has a language that nothing names, or none."""
+    rows = [(i, "w " * 150, "src1", ("en", "de", "fr", "es", None, "zz")[i % 6]) for i in range(600)]
+    found = M.mix_sources(plain_docs(spark, rows)).collect()
+    kept = [sum(r.sampled for r in found if r.lang == lang) for lang in ("en", "de", "fr", "es", None, "zz")]
+    assert min(kept) == 100

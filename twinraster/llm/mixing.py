@@ -19,6 +19,13 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11},
     "topic": {"note": 0.05, "article": 0.30, "essay": 0.45, "book": 0.20},
 }
+#: Targets relative to the corpus: per margin, the factor on the share a value has in the tokens there are. Every other value, null
+#: included, has factor 1.
+RELATIVE: dict[str, dict[str, float]] = {
+    "source": {"src0": 1.25},
+    "lang": {},
+    "topic": {"note": 1.1, "book": 1.1},
+}
 #: Cells that the targets may span, and raking sweeps.
 MAX_CELLS, SWEEPS = 65_536, 40
 REST = "*"
@@ -56,9 +63,11 @@ def rake(counts: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) ->
     return weights
 
 
-def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> list[tuple]:
+def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, relative: bool = False) -> list[tuple]:
     """(margin values..., probability) per cell from the token counts of ``cells``.
 
+    With ``relative``, ``targets`` are factors on the shares that ``cells`` have (1 where none is given).
+
     A cell's probability is its raked share over its share now, divided by the largest such ratio: the largest mix that
     has the target margins and repeats no document. Cells without tokens keep all their documents.
     """
@@ -70,7 +79,11 @@ def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], s
     counts = np.zeros([len(vs) for vs in values])
     for row in cells.collect():
         counts[tuple(place[k][row[n]] for k, n in enumerate(names))] = row["tokens"]
-    shares = [np.array([float(targets[n].get(v, 0.0)) for v in vs]) for n, vs in zip(names, values)]
+    shares = [np.array([float(targets[n].get(v, 1.0 if relative else 0.0)) for v in vs]) for n, vs in zip(names, values)]
+    if relative:
+        for axis, factors in enumerate(shares):
+            wanted = factors * counts.sum(axis=tuple(a for a in range(counts.ndim) if a != axis))
+            shares[axis] = wanted / max(wanted.sum(), 1e-300)
     weights = rake(counts, shares, sweeps)
     ratio = np.divide(weights, counts, out=np.zeros_like(counts), where=counts > 0)
     top = ratio.max() if ratio.size else 0.0
@@ -85,25 +98,28 @@ def draw(id_col: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text",
     seed: int = 11, out: tuple[str, str, str] = ("tokens", "keep_probability", "sampled"),
 ) -> DataFrame:
     """``docs`` with its tokens, the probability of its cell and whether the draw keeps it, in columns named ``out``.
 
-    ``targets`` maps a column to shares of tokens; the margin ``topic`` is derived from the text where ``docs`` has no such
-    column. Defined cases: values that no target names, null included, count under ``*``; where ``*`` has no share (or
+    ``targets`` maps a column to shares of tokens; without it the mix follows ``RELATIVE``, which takes no value to 0: values that it
+    doesn't name, null included, keep the share they have. The margin ``topic`` is derived from the text where ``docs`` has no such
+    column. Defined cases: values that no target names, null included, count under ``*``; where given targets leave ``*`` no share (or
     a share of 0), such documents are not sampled; a document without tokens has no weight and is kept if its cell is;
     rows with equal ids are drawn alike (null ids as the empty string); an empty table gives an empty table; columns of
     ``docs`` with one of the ``out`` names are replaced.
     """
     n_tokens, keep_p, sampled = out
+    relative = targets is None
+    targets = RELATIVE if relative else targets
     named = {m: f"__margin_{m}" for m in targets}
     counted = docs.withColumn("__tokens", tokens(F.col(text_col)))
     for m, values in targets.items():
         source = F.col(m) if m in docs.columns else topic(F.col("__tokens"))
         counted = counted.withColumn(named[m], _margin(source.cast("string"), values))
     cells = counted.groupBy(*[F.col(c).alias(m) for m, c in named.items()]).agg(F.sum("__tokens").alias("tokens"))
-    rows = cell_probabilities(cells, targets)
+    rows = cell_probabilities(cells, targets, relative=relative)
     schema = ", ".join([f"{c} string" for c in named.values()] + ["__p double"])
     factors = docs.sparkSession.createDataFrame(rows, schema)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in out]

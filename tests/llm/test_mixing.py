@@ -78,3 +78,13 @@ def test_null_and_unnamed_languages_survive_the_default_mix(spark):
     found = M.mix_sources(plain_docs(spark, rows)).collect()
     kept = [sum(r.sampled for r in found if r.lang == lang) for lang in ("en", "de", "fr", "es", None, "zz")]
     assert min(kept) == 100
+
+
+@pytest.mark.parametrize("scarce", [1, 10])
+def test_a_scarce_value_does_not_thin_the_corpus(spark, scarce):
+    """One row or 1 in 100 of source src0, all books, among articles of the other sources."""
+    rows = [(i, "w " * (2500 if i < scarce else 150), "src0" if i < scarce else "src1", "en") for i in range(1000)]
+    rows.append((2000, "w " * 150, "src0", "en"))
+    found = M.mix_sources(plain_docs(spark, rows)).collect()
+    assert sum(r.sampled for r in found) > 0.7 * len(rows)
+    assert all(r.keep_probability > 0.7 for r in found)

@@ -26,6 +26,9 @@ RELATIVE: dict[str, dict[str, float]] = {
     "lang": {},
     "topic": {"note": 1.1, "book": 1.1},
 }
+#: Relative targets raise no cell against the whole corpus by more than this. A cell that would need more is kept whole, so a scarce
+#: value can't thin everything else.
+MAX_RAISE = 1.25
 #: Cells that the targets may span, and raking sweeps.
 MAX_CELLS, SWEEPS = 65_536, 40
 REST = "*"
@@ -66,7 +69,8 @@ def rake(counts: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) ->
 def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, relative: bool = False) -> list[tuple]:
     """(margin values..., probability) per cell from the token counts of ``cells``.
 
-    With ``relative``, ``targets`` are factors on the shares that ``cells`` have (1 where none is given).
+    With ``relative``, ``targets`` are factors on the shares that ``cells`` have (1 where none is given), and the divisor below is
+    ``MAX_RAISE`` at most, with probabilities cut at 1.
 
     A cell's probability is its raked share over its share now, divided by the largest such ratio: the largest mix that
     has the target margins and repeats no document. Cells without tokens keep all their documents.
@@ -87,7 +91,9 @@ def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], s
     weights = rake(counts, shares, sweeps)
     ratio = np.divide(weights, counts, out=np.zeros_like(counts), where=counts > 0)
     top = ratio.max() if ratio.size else 0.0
-    keep = np.where(counts > 0, ratio / top if top > 0 else 0.0, 1.0)
+    if relative:
+        top = min(top, MAX_RAISE / max(counts.sum(), 1e-300))
+    keep = np.where(counts > 0, np.minimum(ratio / top, 1.0) if top > 0 else 0.0, 1.0)
     return [(*vs, round(float(keep[at]), 9)) for vs, at in zip(product(*values), np.ndindex(counts.shape))]
 
 

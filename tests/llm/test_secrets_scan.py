@@ -68,3 +68,17 @@ def test_nothing_to_learn(spark):
     assert sorted((r.doc_id, r.label, r.probability, r.is_secret) for r in found[:]if r.doc_id == 1) == [(1, 0, 0.0, False)] * 2
     assert [(r.label, r.probability, r.is_secret) for r in found if r.doc_id == 2] == [(None, 0.5, True)]
     assert S.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_short_and_digitless_secrets_are_scanned(spark):
+    long, bearer = "MIIEvQIBADANBgkqhkiG9w0B" + "aB3+/" * 320, "x9Y" * 300
+    rows = [(0, f'private_key = "{long}" end', long), (1, f"Authorization: Bearer {bearer}", bearer), (2, "password: p@s,s!;", "p@s,s!"),
+            (3, "pwd='my pass phrase'", "my pass phrase"), (4, 'db_password="é"', "é"), (5, "SECRET_TOKEN=onlyLettersHere", "onlyLettersHere"), (6, f"data {long}", long),
+            (7, 'auth: token=abc', "abc")]
+    found = S.scan(spark.createDataFrame([(i, t, "p", "") for i, t, _ in rows], SCHEMA)).collect()
+    shown = {(r.doc_id, r.n_chars, r.value_sha256) for r in found}
+    assert {(i, len(v), hashlib.sha256(v.encode()).hexdigest()) for i, _, v in rows} <= shown
+    assert len(shown) == len(found) and not S.spans("the token of a secret password, and no more:\nnext") and not S.spans("password = ''")
+    nested = "token=" * 20_000 + "x"
+    assert len(S.spans(nested)) == 2 and S.spans('{"auth": {"token": "x"}}')[-1] == (20, 21) and (12, 15) in S.spans('password = "abc')
+    assert S.spans('secret: "' + "a " * 100_000)

@@ -1,6 +1,6 @@
 """Secret scans: a random forest over candidate strings removes false positives.
 
-Runs of key-like characters are candidates. What a forest can tell them apart by is their length, their character classes and
+Runs of key-like characters with a digit are candidates, however long, and so is whatever is assigned to a name that says credential. What a forest can tell them apart by is their length, their character classes and
 the transitions between them, how well the letter triples of the corpus cover them, the path they stand in and the words
 beside them. The forest is trained on labelled findings; where none are given, findings are labelled by two narrow rules,
 and everything between the rules is left to the forest.
@@ -20,23 +20,59 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A candidate: at least 16 key-like characters in a row with a digit among them; longer than 512 is data, not a secret.
+#: A run: at least 16 key-like characters in a row with a digit among them. ``scan`` also takes the longer ones (``WHOLE_RUN``).
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,512}(?![A-Za-z0-9+/_=\-])")
 #: Words that name a credential, for the rules that label findings.
 CREDENTIAL = re.compile(r"(?:^|[^a-z])(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)s?(?:[^a-z]|$)", re.I)
+WHOLE_RUN = re.compile(CANDIDATE.pattern.replace("{16,512}", "{16,}"))
+#: A value assigned to a name that says credential, whatever its length and characters: up to the closing quote, or to the next blank.
+ASSIGNED = re.compile(
+    r"""(?:(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)s?(?![A-Za-z])[\w.\-\]]{0,32}|authorization)["']?"""
+    r"""[^\S\r\n]*(?::=|=>|={1,3}|:)[^\S\r\n]*(?:(?:bearer|basic|token)[^\S\r\n]+)?(?:"(?!\s*")([^"\r\n]+)"|'(?!\s*')([^'\r\n]+)'|["']?(?=([^\s"'])))""", re.I)
+_BLANK = re.compile(r"\s|$")
+_NAMES = ("token", "secret", "passw", "pwd", "apikey", "api_key", "accesskey", "access_key", "privatekey", "private_key", "auth", "bearer", "credential")
 #: Bounds of the fit: labelled findings used, trees, their depth, and hashed places for path parts and neighbouring words.
 MAX_LABELLED, TREES, DEPTH, PATH_PLACES, WORD_PLACES = 20_000, 40, 6, 8, 24
 #: Characters of context kept on either side.
 CONTEXT = 48
 COMMON_SHARE = 2e-5
 
-_CLASS = np.full(128, 4, dtype=np.int8)
+_CLASS = np.full(256, 4, dtype=np.int8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 0, 1, 2
 _CLASS[[43, 47, 61, 45, 95]] = 3
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, path, start, value, before, after): every candidate of the whole text, ``start`` in code points from 0."""
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the whole runs and the assigned values of a text, each span once. Spans may overlap; of unquoted
+    assignments within one another and with one end, only the outermost and the innermost count, so the spans of a text
+    are a few times its length in all, and so is the time."""
+    found, at, end, inner = {m.span() for m in WHOLE_RUN.finditer(text)}, 0, -1, None
+    assigned, low = set(), text.lower()
+    if not any(name in low for name in _NAMES):
+        return sorted(found)
+    while m := ASSIGNED.search(text, at):
+        at = m.start(m.lastindex)  # a value may itself hold an assignment
+        if m.lastindex < 3:
+            assigned.add(m.span(m.lastindex))
+            continue
+        if at >= end:
+            end, inner = _BLANK.search(text, at).start(), None
+            stop = end
+            while stop - 1 > at and text[stop - 1] in ",;\"'":
+                stop -= 1
+            assigned.add((at, stop))
+        else:
+            if inner is not None:
+                assigned.discard(inner)
+            inner = (at, max(stop, at + 1))
+            assigned.add(inner)
+    return sorted(found | assigned)
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", whole: bool = False) -> DataFrame:
+    """(id, path, start, value, before, after): every run of the whole text, or with ``whole`` all that ``spans`` finds; ``start`` in
+    code points from 0."""
+    places = spans if whole else lambda text: [m.span() for m in CANDIDATE.finditer(text)]
 
     def run(batches):
         for batch in batches:
@@ -44,9 +80,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = batch.slice(at, 512)
                 rows, out = [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
-                    for m in CANDIDATE.finditer(text or ""):
+                    for start, end in places(text or ""):
                         rows.append(row)
-                        out.append((m.start(), m.group(), text[max(0, m.start() - CONTEXT): m.start()], text[m.end(): m.end() + CONTEXT]))
+                        out.append((start, text[start:end], text[max(0, start - CONTEXT): start], text[end: end + CONTEXT]))
                 where = pa.array(rows, pa.int64())
                 columns = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
@@ -82,13 +118,13 @@ def letter_triples(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def features(value: str, path: str | None, before: str, after: str, common: np.ndarray) -> list[float]:
     """Numbers that describe one candidate; ``common`` marks the letter triples that the corpus uses."""
-    raw = np.frombuffer(value.encode("ascii"), dtype=np.uint8)
+    raw = np.frombuffer(value.encode(), dtype=np.uint8)
     kind = _CLASS[raw]
     n = len(raw)
     shares = [float((kind == c).mean()) for c in range(4)]
     changes = kind[1:] != kind[:-1]
     pairs = kind[:-1] * 4 + kind[1:]
-    moves = np.bincount(pairs, minlength=16)[:16] / (n - 1)
+    moves = np.bincount(pairs, minlength=16)[:16] / max(1, n - 1)
     _, counts = np.unique(raw, return_counts=True)
     entropy = float(-(counts / n * np.log2(counts / n)).sum())
     letters = np.where((raw >= 97) & (raw <= 122), raw - 97, np.where((raw >= 65) & (raw <= 90), raw - 65, 255)).astype(np.int64)
@@ -104,7 +140,7 @@ def features(value: str, path: str | None, before: str, after: str, common: np.n
         for word in words:
             beside[side * WORD_PLACES + crc32(word.lower().encode()) % WORD_PLACES] = 1.0
     signs = [float(c in before[-4:]) for c in "\"'=:@/."] + [float(CREDENTIAL.search(before[-24:]) is not None)]
-    return [math.log2(n), *shares, float(changes.mean()), entropy, covered, hexadecimal, *moves.tolist(), *where, *beside, *signs]
+    return [math.log2(n), *shares, float(changes.mean()) if n > 1 else 0.0, entropy, covered, hexadecimal, *moves.tolist(), *where, *beside, *signs]
 
 
 def weak_label(value: str, before: str) -> int | None:
@@ -159,7 +195,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     """
     common = letter_triples(docs, text_col)
     common = (common > COMMON_SHARE * max(1, common.sum())).astype(np.float64)
-    found = stored(described(candidates(docs, id_col, text_col, path_col), common), "candidates")
+    found = stored(described(candidates(docs, id_col, text_col, path_col, whole=True), common), "candidates")
     known = found
     if labelled is not None:
         known = described(labelled.withColumnRenamed("label", "given"), common).withColumn("label", F.col("given").cast("int"))

@@ -49,3 +49,24 @@ def test_odd_rows(spark):
     assert found[None].lang_pred == "en" and found[None].held_out is False and found[103].lang_pred == "fr" and found[7].lang_pred == "en"
     assert predicted(docs.limit(0)).collect() == []
     assert {r.lang_pred for r in predicted(docs.drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_more_languages_than_are_folded(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang in range(130):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)
+        words = ["".join(rng.choice(letters, 5)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 40)), f"l{lang:03d}") for i in range(8)]
+    found = {r.doc_id: r.lang_pred for r in predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {*found.values()} == {r[2] for r in rows}
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.97
+
+
+def test_scores_through_landmarks_equal_folded_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    sample = [(lang, " ".join(rng.choice(words, 30))) for lang, words in {"a": ["alpha", "beta", "x"], "b": ["uno", "dos", "y"]}.items() for _ in range(20)]
+    places, labels = [L.present(t.encode()) for _, t in sample], [lang for lang, _ in sample]
+    folded = L.fit(places, labels).scores(places)
+    monkeypatch.setattr(L, "MAX_FOLDED", 1)
+    assert L.fit(places, labels).weights is None and np.allclose(L.fit(places, labels).scores(places), folded, atol=1e-4)

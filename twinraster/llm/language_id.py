@@ -22,8 +22,9 @@ _OFFSET = {1: 0, 2: 256, 3: 256 + 65_536, 4: 256 + 2 * 65_536}
 WIDTH = 256 + 3 * 65_536
 #: Bounds of the fit: labelled rows per language and in all, landmarks over all languages, ridge.
 ROWS_PER_LANGUAGE, MAX_ROWS, LANDMARKS, RIDGE = 400, 8000, 240, 1e-2
-#: Languages that the fit tells apart at most (the most frequent first in the training rows); a bound on what is broadcast.
-MAX_LANGUAGES = 100
+#: Languages whose n-gram weights are folded into one table; with more, texts are scored through the landmarks, which gives the same
+#: outputs without a table of all n-grams by all languages.
+MAX_FOLDED = 100
 UNDETERMINED = "und"
 
 _KEEP = np.zeros(256, dtype=np.uint8)
@@ -54,13 +55,39 @@ def present(text: bytes) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+class Landmarks:
+    """Landmark texts by the n-grams they hold: a sparse presence matrix."""
+
+    def __init__(self, places: list[np.ndarray]):
+        every = np.concatenate(places)
+        order = np.argsort(every, kind="stable")
+        self.of = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])[order]
+        self.first = np.searchsorted(every[order], np.arange(WIDTH + 1)).astype(np.int64)
+        self.roots = np.sqrt(np.array([len(p) for p in places]))
+
+    def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
+        """One row per text: the n-grams it shares with each landmark, over the geometric mean of their numbers."""
+        out = np.zeros((len(texts), len(self.roots)))
+        for row, places in enumerate(texts):
+            sizes = self.first[places + 1] - self.first[places]
+            skip = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            held = self.of[np.repeat(self.first[places] - skip, sizes) + np.arange(sizes.sum())]
+            out[row] = np.bincount(held, minlength=len(self.roots)) / self.roots / np.sqrt(len(places))
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # WIDTH x languages
+    weights: np.ndarray | None  # WIDTH x languages
+    landmarks: Landmarks | None = None
+    alpha: np.ndarray | None = None  # landmarks x languages
 
     def scores(self, places: list[np.ndarray]) -> np.ndarray:
-        """One row of ridge outputs per text: the product of the scaled presence matrix with the folded weights."""
+        """One row of ridge outputs per text: the product of the scaled presence matrix with the folded weights, or of the
+        kernel to the landmarks with theirs."""
+        if self.weights is None:
+            return self.landmarks.kernel(places) @ self.alpha
         sizes = np.array([len(p) for p in places])
         gathered = self.weights[np.concatenate(places)]
         sums = np.add.reduceat(gathered, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
@@ -72,18 +99,13 @@ def fit(places: list[np.ndarray], labels: list[str]) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    of = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    of = np.array([number[x] for x in labels])
     share = max(1, LANDMARKS // len(languages))
     chosen = np.concatenate([np.flatnonzero(of == c)[:share] for c in range(len(languages))])
 
-    def kernel(rows):
-        held = np.zeros((WIDTH, len(chosen)), dtype=bool)
-        for r, c in enumerate(chosen):
-            held[places[c], r] = True
-        sizes = np.sqrt(np.array([len(places[c]) for c in chosen]))
-        return np.stack([np.count_nonzero(held[places[i]], axis=0) / sizes / np.sqrt(len(places[i])) for i in rows])
-
-    every = kernel(range(len(places)))
+    landmarks = Landmarks([places[c] for c in chosen])
+    every = landmarks.kernel(places)
     between = every[chosen]
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     good = values > 1e-6 * values.max()
@@ -93,6 +115,8 @@ def fit(places: list[np.ndarray], labels: list[str]) -> Model | None:
     balance = 1.0 / np.bincount(of)[of]  # each language weighs the same
     gram = (features * balance[:, None]).T @ features + RIDGE * np.eye(features.shape[1]) / len(languages)
     alpha = root @ np.linalg.solve(gram, (features * balance[:, None]).T @ targets)
+    if len(languages) > MAX_FOLDED:
+        return Model(languages, None, landmarks, alpha)
     weights = np.zeros((WIDTH, len(languages)))
     for c, row in zip(chosen, alpha):
         weights[places[c]] += row / np.sqrt(len(places[c]))
@@ -100,16 +124,17 @@ def fit(places: list[np.ndarray], labels: list[str]) -> Model | None:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from ``ROWS_PER_LANGUAGE`` rows of each language (fewer if they would pass ``MAX_ROWS``) in hash order of their ids (rows without id, letters or
+    """A model of every language from ``ROWS_PER_LANGUAGE`` rows of each (fewer if they would pass ``MAX_ROWS``, one at least) in hash order of their ids (rows without id, letters or
     language are passed over); None if there are none. Each id is drawn once; the text read is the smallest it has."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna().groupBy("id").agg(F.min("lang").alias("lang"))
-    common = [r.lang for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not common:
+    usable = labelled.filter(F.col(text_col).rlike(r"\p{L}"))
+    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna().groupBy("id").agg(F.min("lang").alias("lang"))
+    languages = ids.select("lang").distinct().count()
+    if not languages:
         return None
-    drawn = ids.filter(F.col("lang").isin(common)).withColumn("r", F.row_number().over(order)).filter(
-        F.col("r") <= min(ROWS_PER_LANGUAGE, MAX_ROWS // len(common))).select("id", "lang")
-    bodies = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    drawn = ids.withColumn("r", F.row_number().over(order)).filter(
+        F.col("r") <= min(ROWS_PER_LANGUAGE, max(1, MAX_ROWS // languages))).select("id", "lang")
+    bodies = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -148,7 +149,8 @@ def test_empty_table(spark):
 def test_units_join_to_the_text_and_the_memory_forgets():
     for text in ["a b", " a  b ", "x \n y", "  ", "a", " ", "a  b", "a \x1cb c"]:
         assert "".join(" " + k for k in unit_keys(text, True)) == " " + text
-    memory = UnitMemory(lambda keys: [[len(k)] * (len(k) % 3) for k in keys], entries=4, longest=3)
+    sized = lambda keys: (np.array([len(k) for k in keys for _ in range(len(k) % 3)]), np.array([len(k) % 3 for k in keys]))
+    memory = UnitMemory(sized, entries=4, longest=3)
     for keys in (["a", "bb", "cccc", "a"], ["dddd", "e", "ff"], ["g", "h", "bb", "cccc"], [], ["xxx"], ["i", "dddd"]):
         ids, sizes = memory.ids(keys)
         assert sizes.tolist() == [len(k) % 3 for k in keys]

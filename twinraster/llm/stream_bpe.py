@@ -25,13 +25,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import extended, with_arrays
+from .common import extended, mix, with_arrays
 from .units import BARE, UnitMemory, unit_keys
 
 #: The pattern of the byte-level pre-tokenizer: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters fed at once, and the length from which an unfinished match goes to the byte transducer while it is read.
 CHUNK, OPEN = 1 << 16, 1 << 12
+#: Bytes of a word up to which words are merged together: four for each character that a remembered word may have.
+SHORT = 192
 #: Characters of text whose units are looked up together.
 BATCH = 1 << 20
 _KINDS = [regex.compile(k) for k in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
@@ -101,9 +103,17 @@ class MergeList:
             if u not in made or v not in made or u + v in made:
                 raise ValueError(f"the merge list is not proper at {u + v!r}")
             made.add(u + v)
-        self.single = [number[bytes([b])] for b in range(256)]
+        self.single = np.array([number[bytes([b])] for b in range(256)], dtype=np.int32)
         #: pair of ids -> rank and id of the two together
         self.joined = {(number[u], number[v]): (rank, number[u + v]) for rank, (u, v) in enumerate(merges)}
+        self.made = np.array([number[u + v] for u, v in merges], dtype=np.int32)
+        # the same pairs as a hash table with linear probing, for whole arrays of pairs
+        self.slots, self.slot_rank = np.full(max(16, 4 * len(merges)), -1, dtype=np.int64), np.zeros(max(16, 4 * len(merges)), dtype=np.int64)
+        keys = np.array([a << 32 | b for a, b in self.joined], dtype=np.int64)
+        for rank, slot in enumerate((mix(keys.astype(np.uint64)) % np.uint64(len(self.slots))).tolist()):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) % len(self.slots)
+            self.slots[slot], self.slot_rank[slot] = keys[rank], rank
         self.lookahead = sufficient_lookahead(merges)
         self.added: dict[str, int] = {}
         for token in spec["added_tokens"]:
@@ -115,25 +125,66 @@ class MergeList:
         self.tokens = [content.get(i) for i in range(max(content) + 1)]
         self.length = np.array([len(t or b"") for t in self.tokens], dtype=np.int64)
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, ``len(made)`` where no rule joins them."""
+        key = a.astype(np.int64) << 32 | b
+        slot = (mix(key.astype(np.uint64)) % np.uint64(len(self.slots))).astype(np.int64)
+        found = self.slots[slot]
+        out = np.where(found == key, self.slot_rank[slot], len(self.made))
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.slots)
+            found = self.slots[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.slot_rank[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short runs of bytes in one array, and how many each run has. Every round merges the pair of lowest
+        rank of each run, at all its places from the left."""
+        n, none = len(words), len(self.made)
+        part = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word = np.repeat(np.arange(n), np.fromiter(map(len, words), dtype=np.int64, count=n))
+        rank = np.full(len(part), none, dtype=np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = self._rank(part[inner], part[inner + 1])
+        done_word, done_part = [], []
+        while len(part):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(part)))
+            ready = low == none
+            if ready.any():
+                done_word.append(word[ready])
+                done_part.append(part[ready])
+                part, word, rank, low = part[~ready], word[~ready], rank[~ready], low[~ready]
+            at = np.flatnonzero(rank == low)
+            if not len(at):
+                break
+            if (np.diff(at) == 1).any():  # of overlapping places every other one counts, from the left
+                fresh = np.diff(at, prepend=-2) != 1
+                at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))) % 2 == 0]
+            part[at] = self.made[rank[at]]
+            keep = np.ones(len(part), dtype=bool)
+            keep[at + 1] = False
+            rank[at] = rank[at + 1]  # where a word ends no pair begins
+            new = (np.cumsum(keep) - 1)[at]
+            part, word, rank = part[keep], word[keep], rank[keep]
+            changed = np.zeros(len(part) + 1, dtype=bool)
+            changed[new] = changed[new - 1] = True  # before the first stands the last, which is left out
+            near = np.flatnonzero(changed[: len(part) - 1])
+            same = word[near] == word[near + 1]
+            near, last = near[same], near[~same]
+            rank[last] = none
+            rank[near] = self._rank(part[near], part[near + 1])
+        if not done_word:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        word, part = np.concatenate(done_word), np.concatenate(done_part)
+        return part[np.argsort(word, kind="stable")], np.bincount(word, minlength=n)
+
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a run of bytes: the pair of lowest rank, the leftmost first, becomes one, until none is left."""
-        joined, parts = self.joined.get, [self.single[b] for b in data]
-        if len(parts) < 48:  # a scan is quicker than a heap here
-            while len(parts) > 1:
-                ranks = [r for r in map(joined, zip(parts, parts[1:])) if r]
-                if not ranks:
-                    break
-                best = min(ranks)
-                out, at, last = [], 0, len(parts) - 1
-                while at <= last:
-                    if at < last and joined((parts[at], parts[at + 1])) == best:
-                        out.append(best[1])
-                        at += 2
-                    else:
-                        out.append(parts[at])
-                        at += 1
-                parts = out
-            return parts
+        """Ids of a long run of bytes: the pair of lowest rank, the leftmost first, becomes one, until none is left."""
+        joined, parts = self.joined.get, self.single[np.frombuffer(data, dtype=np.uint8)].tolist()
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
         heap = [(r[0], i) for i, r in enumerate(map(joined, zip(parts, parts[1:]))) if r]
         heapify(heap)
@@ -184,23 +235,31 @@ class Encoder:
     def __init__(self, merges: MergeList, chunk: int = CHUNK, open_from: int = OPEN, window: int | None = None):
         self.merges, self.chunk, self.open_from, self.window = merges, chunk, open_from, window
         self.find = regex.compile(PATTERN)
-        self.words = UnitMemory(lambda words: [self._whole(w.encode("utf-8")) for w in words])
+        self.words = UnitMemory(self._merge_words)
         self.units = UnitMemory(self._learn)
         names = sorted(merges.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.reach = max(map(len, names), default=1) - 1  # characters that may begin an added token
 
-    def _whole(self, word: bytes) -> list[int]:
-        if len(word) <= 4096:
-            return self.merges.merge(word)
-        machine = ByteTransducer(self.merges, self.window)
-        return machine.feed(word) + machine.close()
+    def _merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Short words all at once; the long ones, which stand last, one by one through the byte transducer."""
+        data = [w.encode("utf-8") for w in words]
+        short = next((k for k, w in enumerate(data) if len(w) > SHORT), len(data))
+        ids, sizes = self.merges.merge_words(data[:short])
+        rest = []
+        for word in data[short:]:
+            machine = ByteTransducer(self.merges, self.window)
+            rest.append(machine.feed(word) + machine.close())
+        if rest:
+            ids = np.concatenate([ids, *[np.array(r, dtype=np.int32) for r in rest]])
+            sizes = np.concatenate([sizes, [len(r) for r in rest]])
+        return ids, sizes
 
-    def _learn(self, keys: list[str]) -> list[np.ndarray]:
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.find.findall(k[1:] if k[0:1] == BARE else " " + k) for k in keys]
         ids, sizes = self.words.ids([w for words in found for w in words])
         stops = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, found)])]
-        return [ids[a:b] for a, b in zip(stops, stops[1:])]
+        return ids, np.diff(stops)
 
     def parts(self, chunks: Iterator[str]) -> Iterator[list[str] | list[int]]:
         """Lists of unit keys or of ids, in order, for the text that the chunks make up."""

@@ -7,6 +7,7 @@ vocabulary whose space marks stand only at the start of pieces does. A text is t
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -33,13 +34,14 @@ def unit_keys(text: str, spaced: bool) -> list[str]:
 
 
 class UnitMemory:
-    """Ids of units: ``learn`` encodes the units not seen before; results are kept as rows of one flat array.
+    """Ids of units: ``learn`` encodes the units not seen before (all ids in one array, and how many each has); results are
+    kept as rows of one flat array.
 
     At most ``entries`` units of at most ``longest`` characters are remembered; then the memory starts anew. Longer units are
     encoded every time.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list], entries: int = 1 << 18, longest: int = 48):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 1 << 18, longest: int = 48):
         self.learn, self.entries, self.longest = learn, entries, longest
         self._forget()
 
@@ -49,14 +51,13 @@ class UnitMemory:
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.used = self.rows = 0
 
-    def _add(self, ids: list) -> np.ndarray:
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total, rows = self.used + int(sizes.sum()), self.rows + len(ids)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        total, rows = self.used + len(ids), self.rows + len(sizes)
         if total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * total, dtype=np.int32)])
         if rows + 1 > len(self.start):
             self.start = np.concatenate([self.start[: self.rows + 1], np.zeros(2 * rows, dtype=np.int64)])
-        self.flat[self.used: total] = np.concatenate([np.asarray(one, dtype=np.int32) for one in ids])
+        self.flat[self.used: total] = ids
         self.start[self.rows + 1: rows + 1] = self.used + np.cumsum(sizes)
         numbers = np.arange(self.rows, rows)
         self.used, self.rows = total, rows
@@ -68,28 +69,22 @@ class UnitMemory:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(self.row) > self.entries:
             self._forget()
-        rows = list(map(self.row.get, keys))
-        if None in rows:
-            mark_flat, mark_rows = self.used, self.rows
-            new = list(dict.fromkeys(k for k, r in zip(keys, rows) if r is None))
-            new.sort(key=lambda k: len(k) > self.longest)
-            numbers = self._add(self.learn(new)).tolist()
-            known = dict(zip(new, numbers))
-            rows = [known[k] if r is None else r for k, r in zip(keys, rows)]
-            short = [k for k in new if len(k) <= self.longest]
-            self.row.update(zip(short, numbers))
-            out = self._gather(rows)
-            if len(short) < len(new):  # the long units stand last and are dropped again
-                self.rows = mark_rows + len(short)
-                self.used = int(self.start[self.rows]) if self.rows else 0
-                assert self.used >= mark_flat
-                if len(self.flat) > 1 << 24:
-                    self.flat = self.flat[: max(2 * self.used, 1 << 16)].copy()
-            return out
-        return self._gather(rows)
+        new = list(set(keys).difference(self.row))
+        mark = self.rows
+        if new:
+            new.sort(key=len)  # the long ones stand last
+            self.row.update(zip(new, self._add(*self.learn(new)).tolist()))
+        out = self._gather(np.fromiter(map(self.row.__getitem__, keys), dtype=np.int64, count=len(keys)))
+        short = bisect_right(new, self.longest, key=len)
+        for key in new[short:]:
+            del self.row[key]
+        self.rows = mark + short
+        self.used = int(self.start[self.rows])
+        if len(self.flat) > max(1 << 24, 4 * self.used):
+            self.flat = self.flat[: 2 * self.used + 1].copy()
+        return out
 
-    def _gather(self, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.array(rows, dtype=np.int64)
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self.start[rows]
         sizes = self.start[rows + 1] - starts
         ends = np.cumsum(sizes)

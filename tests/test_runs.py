@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinraster.operators import evidence as E
 from twinraster.operators import polygons as G
+from twinraster.operators import rings
 from twinraster.operators import runs as R
 from twinraster.operators import scoring as S
 
@@ -167,3 +168,63 @@ def test_hull_and_rectangle(spark):
     box = spark.createDataFrame([(1, "new_building", 0, y, 2, 7) for y in range(3)], "pair_id long, class_name string, component_id long, y int, x0 int, x1 int")
     b = E.hull_geometry(box).first()
     assert (b.convex_hull_area, b.min_area_rect_width, b.min_area_rect_height, b.solidity, b.rectangularity) == pytest.approx((15, 3, 5, 1, 1))
+
+
+def _flooded(cells, h, w):
+    """Cells of a component and of all background that can't be reached from outside through edges."""
+    alone = np.zeros((h + 2, w + 2), bool)
+    for y, x in cells:
+        alone[y + 1, x + 1] = True
+    outer = next(p for p in components(~alone) if (0, 0) in p)
+    return {(y - 1, x - 1) for y in range(h + 2) for x in range(w + 2) if (y, x) not in outer}
+
+
+def _shapes(h, w):
+    rng = np.random.default_rng(8)
+    found = {k: rng.random((h, w)) < p for k, p in enumerate((0.35, 0.5, 0.62, 0.7, 0.85))}
+    donut = np.zeros((h, w), bool)
+    donut[1:9, 1:9] = True
+    donut[3:7, 3:7] = False
+    island = donut.copy()
+    island[4:6, 4:6] = True
+    pinched = np.zeros((h, w), bool)
+    pinched[0:3, 0:3] = True
+    pinched[1, 1] = pinched[2, 2] = False
+    snake = np.zeros((h, w), bool)
+    snake[::2, :] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    return list(found.values()) + [donut, island, pinched, snake, np.ones((h, w), bool), np.zeros((h, w), bool)]
+
+
+@pytest.mark.parametrize("height,band", [(17, 256), (None, 4), (None, 1)])
+def test_exteriors_cover_filled_components(spark, height, band):
+    """Rings closed in one band, over many bands, and with a band per row equal a flood from outside."""
+    h, w = 17, 12
+    masks = _shapes(h, w)
+    runs = R.to_runs(frame(spark, dict(enumerate(masks))))
+    lab = R.label_components(runs, w, height, band_rows=band)
+    edges = rings.exterior_edges(lab, w, height, band_rows=band)
+    got = {}
+    for r in R.to_pixels(rings.exterior_runs(edges)).collect():
+        got.setdefault((r.pair_id, r.component_id), set()).add((r.y, r.x))
+    want = {(k, min(y * w + x for y, x in c)): _flooded(c, h, w) for k, m in enumerate(masks) for c in components(m)}
+    assert got == want
+
+
+def test_exported_rings_are_the_boundaries(spark):
+    h, w = 17, 12
+    masks = _shapes(h, w)
+    lab = R.label_components(R.to_runs(frame(spark, dict(enumerate(masks)))), w, h)
+    cells = {r.pair_id: json.loads(r.cell) for r in G.polygon_cells(lab, w, h).collect()}
+    for k, m in enumerate(masks):
+        parts = sorted((_flooded(c, h, w) for c in components(m)), key=min)
+        assert len(cells.get(k, [])) == len(parts)
+        for part in parts:
+            area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2 == len(part) and min((y, x) for x, y in r) == min(part) for r in cells[k])
+            assert area >= 1
+        for ring in cells[k] if k in cells else []:
+            steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1])]
+            assert all((dx == 0) != (dy == 0) for dx, dy in steps)
+            assert all((a[0] == 0) != (b[0] == 0) for a, b in zip(steps, steps[1:] + steps[:1]))
+    donut = cells[5]
+    assert donut == [[[1, 1], [9, 1], [9, 9], [1, 9]]]

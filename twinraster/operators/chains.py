@@ -9,6 +9,7 @@ from ..sources import tables as S
 from . import graph as G
 from . import integrity as I
 from . import manifest as M
+from . import rings as N
 from . import runs as R
 from . import scoring as Q
 from . import splits as P
@@ -49,11 +50,16 @@ def decide(maps: DataFrame, presence: DataFrame, *, width: int, height: int, pix
     return lab.withColumn("_t", total).filter(F.col("_t") >= min_pos_area).select(*R.TILE, "component_id", "y", "x0", "x1")
 
 
-def validate(pred: DataFrame, truth: DataFrame, population: DataFrame, objective=None) -> DataFrame:
-    """Guards, outcomes and the report; ``objective`` is any DataFrame -> DataFrame over outcomes."""
+def validate(pred: DataFrame, truth: DataFrame, population: DataFrame, width: int, height: int | None = None, objective=None) -> DataFrame:
+    """Guards, outcomes and the report over exported exteriors; ``objective`` is any DataFrame -> DataFrame over outcomes.
+
+    ``pred`` holds labelled runs, ``truth`` runs. Both are scored as the polygons that an export would hold: every component with its holes
+    filled, and none of the truth too small to count.
+    """
     S.reject_any(population.groupBy(*R.TILE).count().filter("count > 1"), "population rows must be unique")
     S.reject_any(W.alignment_mismatch(pred.select(F.col("pair_id").alias("id")), population.select(F.col("pair_id").alias("id"))).filter("side = 'extra'"), "predictions outside the population")
-    out = Q.tile_outcomes(pred, truth, population)
+    exteriors = [N.fill_exteriors(c, width, height).select(*R.TILE, "y", "x0", "x1") for c in (pred, R.label_components(truth, width, height))]
+    out = Q.tile_outcomes(*exteriors, population)
     return out.transform(objective) if objective is not None else Q.final_score(Q.class_scores(Q.confusion(out, ["class_name"])))
 
 

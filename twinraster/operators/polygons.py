@@ -1,9 +1,6 @@
 """Polygon cells: export from filled components, parsing and validation."""
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,53 +9,15 @@ from ..sources.tables import reject_any
 from . import runs as R
 from . import scoring as Q
 from .geo import footprint_runs
+from .rings import exterior_edges, ring_cells
 from .sweep import alignment_mismatch
 
 RING_TYPE = "array<array<array<double>>>"
 
 
-def _trace(cells: set) -> list[list[int]]:
-    """Corner list of the only boundary cycle of a hole-free 4-connected cell set."""
-    follow = {}
-    for y, x in cells:
-        if (y - 1, x) not in cells:
-            follow[(x, y)] = (x + 1, y)
-        if (y, x + 1) not in cells:
-            follow[(x + 1, y)] = (x + 1, y + 1)
-        if (y + 1, x) not in cells:
-            follow[(x + 1, y + 1)] = (x, y + 1)
-        if (y, x - 1) not in cells:
-            follow[(x, y + 1)] = (x, y)
-    y0, x0 = min(cells)
-    start = (x0, y0)
-    ring, here, heading = [], start, None
-    while True:
-        step = follow[here]
-        way = (step[0] - here[0], step[1] - here[1])
-        if way != heading:
-            ring.append([here[0], here[1]])
-        here, heading = step, way
-        if here == start:
-            return ring
-
-
-def _export(table: pa.Table) -> pa.Table:
-    table = table.sort_by("component_id")
-    owner, y, x0, x1 = (table.column(c).to_pylist() for c in ("component_id", "y", "x0", "x1"))
-    cells: dict = {}
-    for o, row, a, b in zip(owner, y, x0, x1):
-        cells.setdefault(o, set()).update((row, x) for x in range(a, b))
-    text = json.dumps([_trace(c) for c in cells.values()], separators=(",", ":"))
-    return table.select(R.TILE).slice(0, 1).append_column("cell", pa.array([text]))
-
-
-def polygon_cells(labelled: DataFrame, width: int, height: int) -> DataFrame:
+def polygon_cells(labelled: DataFrame, width: int, height: int | None = None) -> DataFrame:
     """(pair_id, class_name, cell): JSON exteriors of every component, holes filled."""
-    holes = R.component_holes(labelled, width, height)
-    filled = labelled.select(*R.TILE, "component_id", "y", "x0", "x1").unionByName(
-        holes.select(*R.TILE, "component_id", "y", "x0", "x1"))
-    pid = dict(labelled.dtypes)["pair_id"]
-    return filled.groupBy(*R.TILE).applyInArrow(_export, f"pair_id {pid}, class_name string, cell string")
+    return ring_cells(exterior_edges(labelled, width, height))
 
 
 def prediction_rows(cells: DataFrame, population: DataFrame) -> DataFrame:

@@ -179,15 +179,15 @@ def batch_scorer(spark, sf):
     return D.scored_pixels(scored, S.CLASSES, N, N * N).groupBy(*R.TILE).agg(F.count_if(F.col("p") >= 0.55).alias("pixels"), F.round(F.max("p"), 6).alias("peak"))
 
 
-@query("x02_custom_objective", Q.GROW_SQL + " SELECT class_name, round(avg(shape),6) AS mean_shape, CAST(sum(both_area) AS BIGINT) AS overlap FROM outc GROUP BY 1")
+@query("x02_custom_objective", Q.EXTERIOR_SQL + " SELECT class_name, round(avg(shape),6) AS mean_shape, CAST(sum(both_area) AS BIGINT) AS overlap FROM outc GROUP BY 1")
 def custom_objective(spark, sf):
     objective = lambda outcomes: outcomes.groupBy("class_name").agg(F.round(F.avg("shape"), 6).alias("mean_shape"), F.sum("both_area").alias("overlap"))
-    return C.validate(Q.predicted(spark, sf), Q.truth(spark, sf), V.presence(spark, sf), objective)
+    return C.validate(Q.predicted_components(spark, sf), Q.truth(spark, sf), V.presence(spark, sf), V.SIDE, V.SIDE, objective)
 
 
-@query("x04_validation", Q.GROW_SQL + " SELECT round(avg((macro+shp)/2),6) AS score, max(num_samples) AS num_samples FROM cls")
+@query("x04_validation", Q.EXTERIOR_SQL + " SELECT round(avg((macro+shp)/2),6) AS score, max(num_samples) AS num_samples FROM cls")
 def validation(spark, sf):
-    return C.validate(Q.predicted(spark, sf), Q.truth(spark, sf), V.presence(spark, sf)).select(*r6("score"), "num_samples")
+    return C.validate(Q.predicted_components(spark, sf), Q.truth(spark, sf), V.presence(spark, sf), V.SIDE, V.SIDE).select(*r6("score"), "num_samples")
 
 
 DECIDE_SQL = EQ.STABILITY_SQL + f""",

@@ -1,8 +1,11 @@
 """Metrics slice: thresholds, runs, components, scores (lineitem tiles)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..operators import rings as N
 from ..operators import runs as R
 from ..operators import scoring as S
 from . import views as V
@@ -20,7 +23,8 @@ big AS (SELECT pair_id, class_name FROM kept GROUP BY ALL HAVING count(*) >= 5),
 pr AS (SELECT kept.* FROM kept JOIN big USING (pair_id, class_name)),
 gt AS (SELECT pair_id, class_name, y, x FROM px WHERE truth)"""
 
-GROW_SQL = PRED_SQL + """,
+# Areas, tolerance shape score and confusion from the relations pr, gt and pop.
+MEASURE_SQL = """,
 off AS (SELECT a.v AS dy, b.v AS dx FROM (VALUES (-1),(0),(1)) a(v), (VALUES (-1),(0),(1)) b(v)),
 prg AS (SELECT DISTINCT pair_id, class_name, y+dy AS y, x+dx AS x FROM pr, off),
 gtg AS (SELECT DISTINCT pair_id, class_name, y+dy AS y, x+dx AS x FROM gt, off),
@@ -40,6 +44,28 @@ conf AS (SELECT class_name, count(*) FILTER (WHERE t AND q) tp, count(*) FILTER
 cls AS (SELECT class_name, tp, fp, fn, tn, pos AS gt_positive_count, n AS num_samples,
   ((CASE WHEN 2*tp+fp+fn=0 THEN 0 ELSE 2*tp/(2*tp+fp+fn) END)+(CASE WHEN 2*tn+fp+fn=0 THEN 0 ELSE 2*tn/(2*tn+fp+fn) END))/2 AS macro,
   CASE WHEN pos=0 THEN 0 ELSE sh/pos END AS shp FROM conf)"""
+GROW_SQL = PRED_SQL + MEASURE_SQL
+
+# The same over exported exteriors: every component of the prediction and of the truth with all cells that a flood from outside its
+# box, through edges, doesn't reach.
+_EXTERIOR = """,
+{t}b AS (SELECT pair_id, class_name, component_id, min(y)-1 AS y0, max(y)+1 AS y1, min(x)-1 AS x0, max(x)+1 AS x1 FROM {s} GROUP BY ALL),
+{t}o AS (SELECT pair_id, class_name, component_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, yy=y0 AND xx=x0 AS corner
+  FROM (SELECT *, unnest(range(x0, x1+1)) AS xx FROM (SELECT *, unnest(range(y0, y1+1)) AS yy FROM {t}b)) box
+  WHERE NOT EXISTS (SELECT 1 FROM {s} k WHERE k.pair_id=box.pair_id AND k.class_name=box.class_name AND k.component_id=box.component_id AND k.y=yy AND k.x=xx)),
+{t}f AS (SELECT pair_id, class_name, component_id, y, x FROM {t}o WHERE corner UNION SELECT b.pair_id, b.class_name, b.component_id, b.y, b.x FROM {t}f f JOIN {t}o b
+  ON b.pair_id=f.pair_id AND b.class_name=f.class_name AND b.component_id=f.component_id AND abs(b.y-f.y)+abs(b.x-f.x)=1),
+{t} AS (SELECT DISTINCT pair_id, class_name, y, x FROM (
+  SELECT pair_id, class_name, component_id, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x
+  FROM (SELECT *, unnest(range(x0, x1+1)) AS xx FROM (SELECT *, unnest(range(y0, y1+1)) AS yy FROM {t}b))
+  EXCEPT SELECT * FROM {t}f))"""
+
+
+def _exterior_sql(source: str, target: str) -> str:
+    return _EXTERIOR.replace("{s}", source).replace("{t}", target)
+
+
+EXTERIOR_SQL = PRED_SQL + "," + V.components_sql("gt", "gl") + _exterior_sql("pr", "pe") + _exterior_sql("gl", "ge") + re.sub(r"\bgt\b", "ge", re.sub(r"\bpr\b", "pe", MEASURE_SQL))
 
 
 def gated_pixels(spark, sf, threshold=0.5, presence_threshold=0.48):
@@ -53,8 +79,12 @@ def labelled(spark, sf, connectivity=4):
     return R.label_components(runs, V.SIDE, V.SIDE, connectivity)
 
 
+def predicted_components(spark, sf):
+    return R.area_filter(labelled(spark, sf), MIN_AREA, MIN_POS_AREA).select(*R.TILE, "component_id", "y", "x0", "x1")
+
+
 def predicted(spark, sf):
-    return R.area_filter(labelled(spark, sf), MIN_AREA, MIN_POS_AREA).select(*R.TILE, "y", "x0", "x1")
+    return predicted_components(spark, sf).drop("component_id")
 
 
 def truth(spark, sf):
@@ -65,6 +95,12 @@ def outcomes(spark, sf):
     return S.tile_outcomes(predicted(spark, sf), truth(spark, sf), V.presence(spark, sf))
 
 
+def exterior_outcomes(spark, sf):
+    """Outcomes of exported exteriors: both masks as components with their holes filled."""
+    pred, true = predicted_components(spark, sf), R.label_components(truth(spark, sf), V.SIDE, V.SIDE)
+    return S.tile_outcomes(*[N.fill_exteriors(c, V.SIDE, V.SIDE).select(*R.TILE, "y", "x0", "x1") for c in (pred, true)], V.presence(spark, sf))
+
+
 @query("r01_presence_gated_mask", "WITH RECURSIVE " + V.TILE_SQL + f"""
 SELECT {KEY}, y, x, round(p,6) AS p FROM px JOIN pop USING (pair_id, class_name) WHERE p >= 0.5::DOUBLE AND presence >= 0.48::DOUBLE""")
 def presence_gated_mask(spark, sf):
@@ -121,13 +157,13 @@ def shape(spark, sf):
     return outcomes(spark, sf).filter("truth_positive").select(*R.TILE, "pred_area", "truth_area", F.round("shape", 6).alias("shape"))
 
 
-@query("a04_final_score", GROW_SQL + """
+@query("a04_final_score", EXTERIOR_SQL + """
 SELECT round(avg((macro+shp)/2),6) AS score, max(num_samples) AS num_samples,
  round(max(CASE WHEN class_name='new_building' THEN (macro+shp)/2 END),6) AS building_score,
  round(max(CASE WHEN class_name='tree_removal' THEN (macro+shp)/2 END),6) AS tree_score,
  CAST(sum(gt_positive_count) AS BIGINT) AS gt_positive_count FROM cls""")
 def final_score(spark, sf):
-    report = S.final_score(S.class_scores(S.confusion(outcomes(spark, sf), ["class_name"])))
+    report = S.final_score(S.class_scores(S.confusion(exterior_outcomes(spark, sf), ["class_name"])))
     b, t = F.col("classes")["new_building"], F.col("classes")["tree_removal"]
     return report.select(
         F.round("score", 6).alias("score"), "num_samples",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import rings as N
 from ..operators import runs as R
 from ..operators import scoring as S
+from ..operators.order_stats import order_stats, sort_groups
 from . import views as V
 from .registry import query
 
@@ -301,7 +302,8 @@ def sample_errors(spark, sf):
     kept = R.area_filter(labelled(spark, sf), MIN_AREA, MIN_POS_AREA)
     out = S.tile_outcomes(kept, truth(spark, sf), V.presence(spark, sf))
     pieces = kept.groupBy(*R.TILE).agg(F.countDistinct("component_id").alias("polygon_count"))
-    conf = V.tile_pixels(spark, sf).groupBy(*R.TILE).agg(F.avg("p").alias("m"), F.percentile("p", F.lit(0.95)).alias("q"))
+    px = sort_groups(V.tile_pixels(spark, sf), R.TILE, "p", ["y", "x"])
+    conf = px.groupBy(*R.TILE).agg(F.avg("p").alias("m")).join(order_stats(px, R.TILE, "p", {"q": 0.95}), R.TILE)
     union = F.col("pred_area") + F.col("truth_area") - F.col("both_area")
     return out.join(conf, R.TILE).join(pieces, R.TILE, "left").select(
         *R.TILE, F.col("pred_area").alias("prediction_area"), F.col("truth_area").alias("gt_area"),

@@ -71,3 +71,23 @@ def test_automaton_counts():
     other = [rng.randrange(4) for _ in range(200)]
     for s in [*sequences, other]:
         assert list(automaton.occurrences(s, 4)) == [count[tuple(s[i: i + 4])] for i in range(len(s) - 3)]
+
+
+def test_words_in_thue_morse_order_differ(spark):
+    """Two words that a hash linear in the bytes can't tell apart: the windows around them are different."""
+    order = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = "".join("ab"[b] for b in order), "".join("ba"[b] for b in order)
+    rest = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest]))]
+    found = S.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in found) == [(1, 35, 0, rows[0][1]), (2, 35, 0, rows[1][1])]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    words = [f"u{rng.randrange(10**9)}" for _ in range(200_000)]
+    words[150_000:150_000] = passage
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *passage, "y"])), (3, "z" * 300_000)]
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 200_060, 60), (2, 62, 60), (3, 1, 0)]

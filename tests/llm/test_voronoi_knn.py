@@ -8,17 +8,14 @@ from twinraster.llm import voronoi_knn as V
 
 
 def brute(rows, k, every):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            v = [math.floor(256 * x) for x in v]
-            usable[i] = min(v, usable.get(i, v))
+    """Every row is a candidate, and a query if its id says so; only the query's own row is left out."""
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in usable:
-        if q % every == 0:
-            ranked = sorted((-sum(x * y for x, y in zip(usable[q], v)), c) for c, v in usable.items() if c != q)[:k]
-            out += [(q, n, c, -s) for n, (s, c) in enumerate(ranked, 1)]
-    return sorted(out)
+    for n, (q, w) in enumerate(usable):
+        if q is not None and q % every == 0:
+            ranked = sorted((-sum(x * y for x, y in zip(w, v)), c is None, c or 0) for m, (c, v) in enumerate(usable) if m != n)[:k]
+            out += [(q, r, None if none else c, -s) for r, (s, none, c) in enumerate(ranked, 1)]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("kind", ["clusters", "copies", "mixed"])
@@ -39,7 +36,7 @@ def test_equals_brute_force(spark, monkeypatch, kind):
                  (1004, []), (1005, [9.0, 9.0]), (1010, [0.0] * 6), rows[0], rows[1]] + [(20, [50.0 - i] * 6) for i in range(9)] + [(21, [40.0] * 6)] * 9
     docs = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, cell int").repartition(4)
     found = V.top_products(docs, F.col("vec_id") % 10 == 0, pivots=7)
-    assert sorted(map(tuple, found.collect())) == brute(rows, 5, 10)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 5, 10)
 
 
 def test_few_rows_and_none(spark):
@@ -49,3 +46,11 @@ def test_few_rows_and_none(spark):
     assert V.top_products(spark.createDataFrame([(10, [1.0])], schema), F.col("vec_id") % 10 == 0).collect() == []
     two = V.top_products(spark.createDataFrame([(10, [1.0]), (3, [-2.0])], schema), F.col("vec_id") % 10 == 0).collect()
     assert [tuple(r) for r in two] == [(10, 1, 3, -256 * 512)]
+
+
+def test_repeated_and_null_ids_are_candidates(spark):
+    rows = [(50, [1.0]), (1, [2.0]), (1, [9.0]), (2, [3.0]), (None, [4.0]), (50, [5.0])]
+    found = V.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    one = [(50, 1, 1, 589824), (50, 2, 50, 327680), (50, 3, None, 262144), (50, 4, 2, 196608), (50, 5, 1, 131072)]
+    five = [(50, 1, 1, 2949120), (50, 2, None, 1310720), (50, 3, 2, 983040), (50, 4, 1, 655360), (50, 5, 50, 327680)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(one + five, key=str)

@@ -66,9 +66,12 @@ def test_stages_keep_clean_rows_and_columns(spark, tmp_path):
             texts[r.doc_id] = "\n".join(x for x in r.text.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == r.doc_id)
     assert {r.doc_id: r.text for r in kept["line_dedup"] if r.doc_id is not None} == texts
     assert all(r.n_chars == len(r.text) for r in kept["line_dedup"])
-    # one document of each class stays, and the others are all there
-    classes = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(kept["line_dedup"])).collect()}
-    assert {r.doc_id for r in kept["near_dedup"]} == {i for i, c in classes.items() if i == c} | {None}
+    # one row of each class stays, and the others are all there
+    before = sorted(kept["line_dedup"], key=lambda r: (r.doc_id is None, r.doc_id))
+    numbered = spark.createDataFrame([(k, r.text) for k, r in enumerate(before)], "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in near_duplicates(numbered).collect()}
+    assert sorted(map(str, kept["near_dedup"])) == sorted(str(before[k]) for k, c in classes.items() if k == c)
+    assert [r.doc_id for r in kept["near_dedup"]].count(3) == 1 and None not in {r.doc_id for r in kept["near_dedup"]}
     probability = {r.doc_id: r.keep_probability for r in mix_sources(spark.createDataFrame(kept["near_dedup"])).collect()}
     drawn = {i: int(hashlib.md5(f"11|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52 < p for i, p in probability.items()}
     assert {r.doc_id for r in kept["mixing"]} == {i for i, d in drawn.items() if d} and 0 < len(kept["mixing"]) < len(kept["near_dedup"])
@@ -88,3 +91,11 @@ def test_draw_is_even(spark, seed):
     from pyspark.sql import functions as F
     values = [r.u for r in spark.range(2000).select(draw(F.col("id"), seed).alias("u")).collect()]
     assert 0 <= min(values) and max(values) < 1 and abs(sum(values) / 2000 - .5) < .03
+
+
+def test_copies_with_null_and_repeated_ids_go(spark):
+    text = " ".join(WORDS)
+    rows = [(3, text), (3, text), (None, text), (4, text), (None, None), (None, "a text of its own"), (7, "another one altogether, and longer")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert found == sorted([(3, text), (None, None), (None, "a text of its own"), (7, "another one altogether, and longer")], key=str)

@@ -1,6 +1,8 @@
 """Footprints, catalogues, tile grids, vegetation and forest-loss proposals."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +115,14 @@ def split_by_tile(runs: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 
 def common_grid(pairs: DataFrame, resolution: float) -> DataFrame:
-    """Adds the inward-snapped common extent of two boxes (a_*, b_*) and its pixel size."""
-    up = lambda a, b: F.ceil(F.greatest(a, b) / resolution) * resolution
-    down = lambda a, b: F.floor(F.least(a, b) / resolution) * resolution
-    g = pairs.withColumns({"west": up("a_w", "b_w"), "south": up("a_s", "b_s"), "east": down("a_e", "b_e"), "north": down("a_n", "b_n")})
+    """Adds the inward-snapped common extent of two boxes (a_*, b_*) and its pixel size.
+
+    Where the rows have columns aoi_*, the extent also stays within that area of interest; a null side doesn't limit it.
+    """
+    boxes = ["a", "b", "aoi"] if "aoi_w" in pairs.columns else ["a", "b"]
+    up = lambda side: F.ceil(F.greatest(*[f"{b}_{side}" for b in boxes]) / resolution) * resolution
+    down = lambda side: F.floor(F.least(*[f"{b}_{side}" for b in boxes]) / resolution) * resolution
+    g = pairs.withColumns({"west": up("w"), "south": up("s"), "east": down("e"), "north": down("n")})
     g = g.filter((F.col("east") > F.col("west")) & (F.col("north") > F.col("south")))
     return g.withColumn("width", F.round((F.col("east") - F.col("west")) / resolution).cast("int")).withColumn("height", F.round((F.col("north") - F.col("south")) / resolution).cast("int"))
 
@@ -131,6 +137,22 @@ def grid_tiles(grids: DataFrame, size: int, max_tiles: int | None = None, max_pi
     return g.withColumn("row", F.explode(F.expr(f"sequence(0, height - {size}, {size})"))).withColumn("col", F.explode(F.expr(f"sequence(0, width - {size}, {size})")))
 
 
+def valid_tiles(tiles: DataFrame, valid: list[DataFrame], size: int, min_valid: float = 1.0, key: str = "id") -> DataFrame:
+    """``tiles`` of ``grid_tiles`` with ``valid_fraction``, the share of pixels that are valid in every raster, where it is at least ``min_valid``.
+
+    Each raster's valid pixels are runs (key, y, x0, x1) on the grid. Runs are cut at tile borders and summed, so a tile costs its
+    runs, not its pixels; a tile without a valid run has fraction 0.
+    """
+    if not 0 <= min_valid <= 1:
+        raise ValueError("the valid fraction lies between 0 and 1")
+    layers = {f"v{k}": runs.select(key, "y", "x0", "x1") for k, runs in enumerate(valid)}
+    everywhere = reduce(lambda a, b: a & b, [F.col(name) > 0 for name in layers])
+    shared = R.sweep(layers, [key]).filter(everywhere)
+    counts = split_by_tile(shared, [key], size).groupBy(key, (F.col("tile_y") * size).alias("row"), (F.col("tile_x") * size).alias("col")).agg(F.sum(F.col("x1") - F.col("x0")).alias("_n"))
+    share = F.coalesce(F.col("_n"), F.lit(0)) / F.lit(size * size)
+    return tiles.join(counts, [key, "row", "col"], "left").withColumn("valid_fraction", share).filter(F.col("valid_fraction") >= min_valid).drop("_n")
+
+
 def to_pixel(x: Column, y: Column, a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> tuple[Column, Column]:
     """World to (col, row) by the inverse of x = a*col + b*row + c, y = d*col + e*row + f."""
     det = a * e - b * d

@@ -131,6 +131,30 @@ def tile_grid(spark, sf):
     return G.grid_tiles(grids(spark, sf), 8, 6, 500).select("id", "row", "col", "width", "height", "verdict")
 
 
+AOI_SQL = "WITH " + V.BOXES_SQL + """,
+p AS (SELECT id, ceil(greatest(w, w+1.3::DOUBLE, CASE WHEN id%4=0 THEN w+6.1::DOUBLE END)/0.5)*0.5 AS west, ceil(greatest(s, s-2)/0.5)*0.5 AS south, floor(least(e, e+0.7::DOUBLE, CASE WHEN id%3=0 THEN e-5.2::DOUBLE END)/0.5)*0.5 AS east, floor(least(n, n-0.4::DOUBLE)/0.5)*0.5 AS north FROM boxes),
+g AS (SELECT *, CAST(round((east-west)/0.5) AS INTEGER) AS width, CAST(round((north-south)/0.5) AS INTEGER) AS height FROM p WHERE east>west AND north>south)"""
+
+
+@query("r20_valid_tiles", AOI_SQL + """,
+t AS (SELECT id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, width, height FROM g, range(0,100,8) a(r), range(0,200,8) b(c) WHERE r<=height-8 AND c<=width-8),
+v AS (SELECT t.*, sum(CASE WHEN y%6=5 THEN 0 ELSE greatest(0, least(col+8, width-y%4)-greatest(col, id%5)) END)/64 AS f FROM t, range(0,100) q(y) WHERE y BETWEEN row AND row+7 GROUP BY ALL)
+SELECT id, row, col, f AS valid_fraction FROM v WHERE f>=0.8""")
+def valid_fractions(spark, sf):
+    """Tiles of grids within their area of interest that are valid on four fifths in both rasters: the first lacks a strip on
+    the left and every sixth row, the second a ragged strip on the right."""
+    b = V.boxes(spark, sf)
+    k = F.col("id")
+    pairs = b.select("id", *[F.col(c).alias(f"a_{c}") for c in "wsen"], (F.col("w") + 1.3).alias("b_w"), (F.col("s") - 2).alias("b_s"), (F.col("e") + 0.7).alias("b_e"), (F.col("n") - 0.4).alias("b_n"),
+                     F.when(k % 4 == 0, F.col("w") + 6.1).alias("aoi_w"), F.lit(None).cast("double").alias("aoi_s"), F.when(k % 3 == 0, F.col("e") - 5.2).alias("aoi_e"), F.lit(None).cast("double").alias("aoi_n"))
+    g = G.common_grid(pairs, 0.5)
+    rows = g.select("id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    first = rows.filter("y % 6 <> 5").select("id", "y", (k % 5).cast("int").alias("x0"), F.col("width").alias("x1")).filter("x1 > x0")
+    second = rows.select("id", "y", F.lit(0).alias("x0"), (F.col("width") - F.col("y") % 4).alias("x1")).filter("x1 > x0")
+    found = G.valid_tiles(G.grid_tiles(g, 8), [first, second], 8, 0.8)
+    return found.select("id", "row", "col", "valid_fraction")
+
+
 @query("r21_affine_and_zone", "WITH " + V.BOXES_SQL + """ SELECT id, round((w-10)/0.5,6) AS col, round((3000-s)/0.5,6) AS row, CAST(CASE WHEN s/20-75 BETWEEN -80 AND 84 THEN (CASE WHEN s/20-75>=0 THEN 32600 ELSE 32700 END)+least(60,greatest(1,floor((w/12-170+180)/6)+1)) END AS INTEGER) AS epsg FROM boxes""")
 def affine(spark, sf):
     c = lambda v: F.lit(float(v))

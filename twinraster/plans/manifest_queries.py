@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import manifest as M
 from ..operators import ordering as O
 from ..operators import splits as P
+from ..operators.settings import resolve_settings, setting_conflicts
 from ..session import scratch_path
 from ..sources import tables as S
 from . import views as V
@@ -577,14 +578,41 @@ def nested_reports(spark, sf):
     return report.select("user_id", "n", F.coalesce(F.col("r")["click"]["n"], F.lit(0).cast("long")).alias("clicks"), F.round(F.col("r")["click"]["mean"], 6).alias("click_mean"))
 
 
-@query("v23_settings", """SELECT c_custkey AS id, cls AS class_name, CASE WHEN cls='new_building' AND c_custkey%3=0 THEN 0.7::DOUBLE WHEN c_custkey%2=0 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS threshold,
- CASE WHEN cls='tree_removal' AND c_custkey%5=0 THEN 9 WHEN c_custkey%7=0 THEN 12 ELSE 30 END AS min_area FROM customer, (VALUES ('new_building'),('tree_removal')) v(cls)""")
-def settings(spark, sf):
-    """Per-customer setting layers resolved to one row per class: defaults < common < class override."""
+def setting_layers(spark, sf):
+    """Common, class and direct layers per customer, with aliases, doubled settings and morphology on all levels."""
     k = F.col("c_custkey")
-    common = F.struct(F.when(k % 2 == 0, 0.6).alias("threshold"), F.when(k % 7 == 0, 12).alias("min_component_area"))
-    b = F.struct(F.lit("new_building").alias("class_name"), F.when(k % 3 == 0, 0.7).alias("threshold"), F.lit(None).cast("int").alias("min_area"))
-    t = F.struct(F.lit("tree_removal").alias("class_name"), F.lit(None).cast("double").alias("threshold"), F.when(k % 5 == 0, 9).alias("min_area"))
-    rows = V.table(spark, sf, "customer").select(k.alias("id"), common.alias("c"), F.inline(F.array(b, t)))
-    return rows.select("id", "class_name", F.coalesce("threshold", "c.threshold", F.lit(0.5)).alias("threshold"),
-                       F.coalesce("min_area", "c.min_component_area", F.lit(30)).alias("min_area"))
+
+    def some(**parts):
+        pairs = [F.struct(F.lit(n).alias("k"), F.lit(float(v)).alias("v"), c.alias("given")) for n, (c, v) in parts.items()]
+        return F.map_from_entries(F.transform(F.filter(F.array(*pairs), lambda p: p["given"]), lambda p: F.struct(p["k"], p["v"])))
+
+    layer = lambda settings, morphology: F.struct(settings.alias("settings"), morphology.alias("morphology"))
+    none = F.lit(None).cast("map<string, double>")
+    common = layer(some(threshold=(k % 2 == 0, 0.6), min_component_area=(k % 7 == 0, 12), min_area=(k % 14 == 0, 15), building_threshold=(k % 4 == 1, 0.65), min_total_area=(k % 6 == 0, 40),
+                        min_positive_total_area=(k % 12 == 0, 44), opening=(k % 3 == 1, 1)), some(closing=(k % 5 == 1, 2), opening=(k % 15 == 1, 4)))
+    building = layer(some(threshold=(k % 3 == 0, 0.7), min_component_area=(k % 9 == 0, 8)), none)
+    tree = layer(some(min_area=(k % 5 == 0, 9)), some(opening=(k % 5 == 0, 3)))
+    direct = F.map_from_arrays(F.array(F.lit("new_building"), F.lit("tree_removal")), F.array(
+        layer(some(simplification_tolerance=(k % 10 == 0, 0.25), min_area=(k % 20 == 0, 5), min_component_area=(k % 40 == 0, 6)), none),
+        layer(some(min_positive_total_area=(k % 11 == 0, 77), dilation=(k % 11 == 0, 1)), none)))
+    by_class = F.map_from_arrays(F.array(F.lit("new_building"), F.lit("tree_removal")), F.array(building, tree))
+    return V.table(spark, sf, "customer").select(k.alias("id"), common.alias("common"), by_class.alias("classes"), F.when(k % 13 != 0, direct).alias("direct"))
+
+
+@query("v23_settings", """WITH l AS (SELECT c_custkey AS id, c_custkey AS k, cls, cls='new_building' AS b, c_custkey%13<>0 AS d FROM customer, (VALUES ('new_building'),('tree_removal')) v(cls))
+SELECT id, cls AS class_name, CASE WHEN b AND k%3=0 THEN 0.7::DOUBLE WHEN k%2=0 THEN 0.6::DOUBLE WHEN b AND k%4=1 THEN 0.65::DOUBLE ELSE 0.5::DOUBLE END AS threshold,
+ (CASE WHEN d AND b AND k%20=0 THEN 5 WHEN b AND k%9=0 THEN 8 WHEN NOT b AND k%5=0 THEN 9 WHEN k%14=0 THEN 15 WHEN k%7=0 THEN 12 END)::DOUBLE AS min_area,
+ (CASE WHEN d AND NOT b AND k%11=0 THEN 77 WHEN k%12=0 THEN 44 WHEN k%6=0 THEN 40 END)::DOUBLE AS min_pos_area, (CASE WHEN d AND b AND k%10=0 THEN 0.25 END)::DOUBLE AS simplify_px,
+ (CASE WHEN NOT b AND k%5=0 THEN 3 WHEN k%15=1 THEN 4 WHEN k%3=1 THEN 1 END)::DOUBLE AS opening, (CASE WHEN k%5=1 THEN 2 END)::DOUBLE AS closing, (CASE WHEN d AND NOT b AND k%11=0 THEN 1 END)::DOUBLE AS dilation FROM l""")
+def settings(spark, sf):
+    """Per-customer setting layers resolved to one row per class."""
+    found = resolve_settings(setting_layers(spark, sf), "common", "classes", "direct")
+    return found.select("id", "class_name", *[F.try_element_at("settings", F.lit(n)).alias(n) for n in ("threshold", "min_area", "min_pos_area", "simplify_px")],
+                        *[F.try_element_at("morphology", F.lit(n)).alias(n) for n in ("opening", "closing", "dilation")])
+
+
+@query("v23_setting_conflicts", """SELECT c_custkey AS id, layer, key, dropped, kept_value::DOUBLE AS kept_value, dropped_value::DOUBLE AS dropped_value FROM customer, (VALUES
+ (14, 0, 'common', 'min_area', 'min_component_area', 15, 12), (12, 0, 'common', 'min_pos_area', 'min_total_area', 44, 40), (15, 1, 'common', 'opening', 'opening', 4, 1),
+ (40, 0, 'direct.new_building', 'min_area', 'min_component_area', 5, 6)) c(m, r, layer, key, dropped, kept_value, dropped_value) WHERE c_custkey%m=r AND (layer='common' OR c_custkey%13<>0)""")
+def setting_conflict_rows(spark, sf):
+    return setting_conflicts(setting_layers(spark, sf), "common", "classes", "direct")

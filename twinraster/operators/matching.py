@@ -1,10 +1,11 @@
 """Component matching across views and stability evidence."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
 from . import runs as R
 
 # When two components may be the same object, and the veto rules.
@@ -61,54 +62,67 @@ def match_candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matching in the total order (-iou, drift, i, j).
+def _walk(table: pa.Table) -> pa.Table:
+    """Arrow kernel: the greedy walk over the edges of one tile, class and view."""
+    iou, drift, i, j = (table.column(c).to_numpy() for c in ("iou", "drift", "i", "j"))
+    used_i, used_j, taken = set(), set(), []
+    for k in np.lexsort((j, i, drift, -iou)).tolist():
+        if i[k] not in used_i and j[k] not in used_j:
+            used_i.add(i[k])
+            used_j.add(j[k])
+            taken.append(k)
+    return table.take(pa.array(taken))
 
-    An edge that is first for both of its ends is always taken by the greedy walk,
-    so each round takes all such edges and drops every edge that touches them. The
-    first edge of all is always taken, so every round shrinks what is left.
-    """
-    order = F.struct((-F.col("iou")).alias("a"), F.col("drift").alias("b"), F.col("i").alias("c"), F.col("j").alias("d"))
-    left = cut(edges.withColumn("_o", order))
-    taken = None
-    while True:
-        wi, wj = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "j")
-        ranked = left.withColumn("_bi", F.min("_o").over(wi)).withColumn("_bj", F.min("_o").over(wj))
-        ranked = ranked.withColumn("_take", (F.col("_o") == F.col("_bi")) & (F.col("_o") == F.col("_bj")))
-        marked = ranked.withColumn("_ui", F.max(F.col("_take").cast("int")).over(wi)).withColumn("_uj", F.max(F.col("_take").cast("int")).over(wj))
-        marked = cut(marked.select(*left.columns, "_take", "_ui", "_uj"))
-        won = marked.filter("_take").select(*edges.columns)
-        taken = won if taken is None else taken.unionByName(won)
-        left = marked.filter((F.col("_ui") == 0) & (F.col("_uj") == 0)).select(*left.columns)
-        if left.isEmpty():
-            return taken
+
+def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """One-to-one matching in the total order (-iou, drift, i, j), in one pass over the edges of each group of ``keys``. A group holds
+    the neighbouring components of one tile and class, which the image bounds."""
+    return edges.groupBy(*keys).applyInArrow(_walk, edges.schema)
 
 
 def match_components(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return greedy_match(match_candidates(a, b, keys), keys)
 
 
-def view_stability(identity: DataFrame, auxiliary: DataFrame, views: int) -> DataFrame:
+def view_stability(identity: DataFrame, auxiliary: DataFrame, views: int, appearance: DataFrame | None = None) -> DataFrame:
     """Persistence, overlap, area and drift statistics of identity components over ``views`` auxiliary views.
 
-    ``auxiliary`` holds labelled runs with a ``view`` column (1..views).
+    ``auxiliary`` holds labelled runs with a ``view`` column (1..views). ``appearance`` holds labelled runs of a map of its own: it says which
+    components it shows too (``appearance_matched``, null without it) and counts in no other statistic.
     """
     keys = [*R.TILE, "view"]
-    copies = identity.withColumn("view", F.explode(F.sequence(F.lit(1), F.lit(views))))
-    found = match_components(copies, auxiliary, keys)
-    stats = found.groupBy(*R.TILE, F.col("i").alias("component_id")).agg(
-        F.count(F.lit(1)).alias("_m"), F.sum("iou").alias("_iou"), F.min("iou").alias("_min"), F.max("iou").alias("_max"),
-        F.sum("area_j").alias("_a"), F.sum(F.col("area_j") * F.col("area_j")).alias("_aa"), F.avg("drift").alias("_d"), F.max("drift").alias("_dm"))
+    last = views if appearance is None else views + 1
+    if appearance is not None:
+        columns = [*keys, "component_id", "y", "x0", "x1"]
+        auxiliary = auxiliary.select(columns).unionByName(appearance.withColumn("view", F.lit(last)).select(columns))
+    copies = identity.withColumn("view", F.explode(F.sequence(F.lit(1), F.lit(last))))
+    found = match_components(copies, auxiliary, keys).withColumn("component_id", F.col("i"))
     own = component_shapes(identity, R.TILE)
-    t = own.join(stats, [*R.TILE, "component_id"], "left").fillna(0)
-    n = F.col("_m") + 1
-    mean = (F.col("_a") + F.col("area")) / n
-    std = F.sqrt(F.greatest((F.col("_aa") + F.col("area") * F.col("area")) / n - mean * mean, F.lit(0.0)))
+    # the component itself is one more entry with its area, so that mean and spread come from one merge of central moments
+    entries = found.select(*R.TILE, "component_id", "view", "iou", "drift", F.col("area_j").alias("area")).unionByName(
+        own.select(*R.TILE, "component_id", F.lit(0).alias("view"), F.lit(None).cast("double").alias("iou"), F.lit(None).cast("double").alias("drift"), "area"))
+    counted = F.col("view") <= views
+    only = lambda c: F.when(counted, F.col(c))
+    t = entries.groupBy(*R.TILE, "component_id").agg(
+        F.max(F.when(F.col("view") == 0, F.col("area"))).alias("component_area"), F.count_if(counted).alias("n"), F.coalesce(F.sum(only("iou")), F.lit(0.0)).alias("_iou"),
+        F.min(only("iou")).alias("_min"), F.max(only("iou")).alias("_max"), F.avg(only("area")).alias("mean"), F.stddev_pop(only("area")).alias("std"),
+        F.avg(only("drift")).alias("_d"), F.max(only("drift")).alias("_dm"), F.bool_or(~counted).alias("_shown"))
+    n, zero = F.col("n"), F.lit(0.0)
     return t.select(
-        *R.TILE, "component_id", F.col("area").alias("component_area"), n.cast("long").alias("persistence_count"), (n / (views + 1)).alias("persistence_fraction"),
-        (F.col("_iou") / views).alias("mean_matching_iou"), F.when(F.col("_m") == views, F.col("_min")).otherwise(0.0).alias("minimum_matching_iou"),
-        F.col("_max").alias("maximum_matching_iou"), mean.alias("matching_area_mean"), std.alias("area_std"), (std / mean).alias("area_cv"),
-        F.col("_d").alias("centroid_mean_drift"), F.col("_dm").alias("centroid_max_drift"))
+        *R.TILE, "component_id", "component_area", n.alias("persistence_count"), (n / (views + 1)).alias("persistence_fraction"),
+        (F.col("_iou") / views).alias("mean_matching_iou"), F.when(n == views + 1, F.col("_min")).otherwise(0.0).alias("minimum_matching_iou"),
+        F.coalesce("_max", zero).alias("maximum_matching_iou"), F.col("mean").alias("matching_area_mean"), F.col("std").alias("area_std"), (F.col("std") / F.col("mean")).alias("area_cv"),
+        F.coalesce("_d", zero).alias("centroid_mean_drift"), F.coalesce("_dm", zero).alias("centroid_max_drift"),
+        (F.lit(None).cast("boolean") if appearance is None else F.col("_shown")).alias("appearance_matched"))
+
+
+def identity_confidence(identity: DataFrame, maps: DataFrame) -> DataFrame:
+    """Mean and largest probability of every identity component, and ``largest_confidence``: the mean of the largest component of its tile and class
+    (of the first one, if several are as large)."""
+    cells = R.to_pixels(identity.select(*R.TILE, "component_id", "y", "x0", "x1")).join(maps.select(*R.TILE, "y", "x", "p"), [*R.TILE, "y", "x"])
+    own = cells.groupBy(*R.TILE, "component_id").agg(F.avg("p").alias("original_mean_probability"), F.max("p").alias("original_max_probability"), F.count(F.lit(1)).alias("_n"))
+    largest = own.groupBy(*R.TILE).agg(F.max_by("original_mean_probability", F.struct("_n", -F.col("component_id"))).alias("largest_confidence"))
+    return own.drop("_n").join(largest, R.TILE)
 
 
 def view_probabilities(identity: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
@@ -120,12 +134,16 @@ def view_probabilities(identity: DataFrame, maps: DataFrame, threshold: float) -
         F.avg("m").alias("tta_prob_mean"), F.avg("s").alias("tta_prob_std"), F.avg((F.col("k") >= 3).cast("double")).alias("consensus_fraction"))
 
 
-def stability_verdicts(features: DataFrame, rules: dict[str, tuple[int, float]] = STABILITY_RULES) -> DataFrame:
-    """Every component under every rule: ``keep`` when persistent and overlapping enough."""
+def stability_verdicts(features: DataFrame, rules: dict[str, tuple[int, float]] = STABILITY_RULES, appearance_consistency: bool = False) -> DataFrame:
+    """Every component under every rule: ``keep`` when persistent and overlapping enough and, with ``appearance_consistency``, matched in the
+    appearance view, without which the job fails."""
     table = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(n).alias("n"), F.lit(float(t)).alias("t")) for k, (n, t) in rules.items()])
     out = features.withColumn("_r", F.explode(table))
-    return out.withColumn("rule", F.col("_r.rule")).withColumn(
-        "keep", (F.col("persistence_count") >= F.col("_r.n")) & (F.col("mean_matching_iou") >= F.col("_r.t"))).drop("_r")
+    keep = (F.col("persistence_count") >= F.col("_r.n")) & (F.col("mean_matching_iou") >= F.col("_r.t"))
+    if appearance_consistency:
+        missing = F.raise_error(F.lit("appearance consistency needs the appearance view")).cast("boolean")
+        keep = keep & F.coalesce(F.col("appearance_matched"), missing)
+    return out.withColumn("rule", F.col("_r.rule")).withColumn("keep", keep).drop("_r")
 
 
 def reverse_evidence(forward: DataFrame, backward: DataFrame, reverse_maps: DataFrame, threshold: float) -> DataFrame:

@@ -381,6 +381,32 @@ def view_stability(spark, sf):
                                        F.round("area_std", 5).alias("area_std"), F.round("area_cv", 5).alias("area_cv"), *r6("centroid_mean_drift", "centroid_max_drift"))
 
 
+# The appearance view is view 4 of the SQL: it shows less of the upper half.
+APPEARANCE_SQL = GREEDY_SQL.replace("CASE WHEN (y*8+x+w)%3=0", "CASE WHEN w=4 THEN p*(CASE WHEN y<4 THEN 0.6::DOUBLE ELSE 1 END) WHEN (y*8+x+w)%3=0").replace("range(1,4)", "range(1,5)") + f""",
+pm AS (SELECT {OWN}, avg(p) m, max(p) x, count(*) n FROM ck JOIN maps USING (pair_id, class_name, y, x) GROUP BY ALL),
+lg AS (SELECT {KEY}, m AS lm FROM pm QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY n DESC, component_id)=1),
+apm AS (SELECT {KEY}, i AS component_id, max(CASE WHEN vw=4 THEN 1 ELSE 0 END)=1 AS shown, count(*) FILTER (WHERE vw<4) AS k, coalesce(sum(iou) FILTER (WHERE vw<4),0)/3 AS mi FROM mt GROUP BY ALL),
+apf AS (SELECT pm.*, lm, coalesce(shown,false) AS shown, coalesce(k,0)+1 AS c, coalesce(mi,0) AS mi FROM pm JOIN lg USING (pair_id, class_name) LEFT JOIN apm USING ({OWN}))"""
+
+
+def appearance_stability(spark, sf):
+    dim = V.image_maps(spark, sf).withColumn("p", F.when(F.col("y") < N // 2, F.col("p") * 0.6).otherwise(F.col("p")))
+    return K.view_stability(components(spark, sf), view_components(spark, sf), 3, components(spark, sf, dim))
+
+
+@query("a20_appearance_view", APPEARANCE_SQL + f" SELECT {OWN}, c AS persistence_count, round(mi,6) AS mean_matching_iou, shown AS appearance_matched, round(m,6) AS original_mean_probability, round(x,6) AS original_max_probability, round(lm,6) AS largest_confidence FROM apf")
+def appearance_view(spark, sf):
+    own = K.identity_confidence(components(spark, sf), V.image_maps(spark, sf))
+    return appearance_stability(spark, sf).join(own, E.OWNER).select(
+        *E.OWNER, "persistence_count", *r6("mean_matching_iou"), "appearance_matched", *r6("original_mean_probability", "original_max_probability", "largest_confidence"))
+
+
+@query("r28_appearance_rules", APPEARANCE_SQL + f" SELECT rule, {KEY}, count(*) AS candidates, count(*) FILTER (WHERE c>=n2 AND mi>=t AND shown) AS kept FROM apf, (VALUES ('A',3,0.0),('B',4,0.0),('C',3,0.2),('D',3,0.3),('E',3,0.4)) r(rule,n2,t) GROUP BY ALL")
+def appearance_rules(spark, sf):
+    v = K.stability_verdicts(appearance_stability(spark, sf), appearance_consistency=True)
+    return v.groupBy("rule", *R.TILE).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("keep").alias("kept"))
+
+
 @query("a20_view_probabilities", VIEW_SQL + f""",
 av AS (SELECT pair_id, class_name, y, x, p FROM vm UNION ALL SELECT pair_id, class_name, y, x, p FROM maps),
 pp AS (SELECT {OWN}, y, x, avg(p) m, stddev_pop(p) s, count(*) FILTER (WHERE p>=0.5) k FROM ck JOIN av USING (pair_id, class_name, y, x) GROUP BY ALL)

@@ -3,13 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cache as C
 from ..operators import folds
 from ..operators import maps as M
 from ..operators import ordering as O
 from ..operators import runs as R
 from ..operators import scoring as S
 from ..operators import sweep as W
-from ..session import cut
+from ..session import cut, scratch_path
+from . import evidence_queries as EQ
 from . import scoring_queries as Q
 from . import views as V
 from .registry import query
@@ -288,18 +290,44 @@ def blend(spark, sf):
     return M.blend(m, m.withColumn("pair_id", F.col("pair_id") - 1), 0.3, [*R.TILE, "y", "x"]).withColumn("p", F.round("p", 6))
 
 
-@query("j16_cache_reuse", "WITH " + V.CANDIDATES_SQL + " SELECT class_name, CASE WHEN pair_id%3=0 THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM cand GROUP BY ALL")
+ALTERED = "CASE WHEN pair_id%6=0 AND y>=4 THEN p*0.9::DOUBLE ELSE p END"
+CACHE_SQL = EQ.COMP_SQL + f""",
+m2 AS (SELECT * FROM (SELECT pair_id, class_name, y, x, {ALTERED} AS p FROM maps) WHERE p >= 0.5::DOUBLE),""" + V.components_sql("m2", "l2", V.SMALL) + f""",
+c2 AS (SELECT * FROM l2 QUALIFY count(*) OVER (PARTITION BY pair_id, class_name, component_id)>=3),
+n1 AS (SELECT pair_id, class_name, component_id, count(*) AS a FROM ck WHERE pair_id%3=0 GROUP BY ALL), n2 AS (SELECT pair_id, class_name, component_id, count(*) AS b, avg(p) AS mp FROM c2 JOIN maps USING (pair_id, class_name, y, x) GROUP BY ALL),
+bo AS (SELECT pair_id, class_name, component_id, count(*) AS k FROM ck JOIN c2 USING (pair_id, class_name, component_id, y, x) GROUP BY ALL)"""
+
+
+@query("j16_cache_reuse", CACHE_SQL + """
+SELECT pair_id, class_name, component_id, CASE WHEN a IS NULL THEN 'miss' WHEN a=b AND coalesce(k,0)=a THEN 'hit' ELSE 'stale' END AS state, b::DOUBLE AS area, round(mp,6) AS mean_probability
+FROM n2 LEFT JOIN n1 USING (pair_id, class_name, component_id) LEFT JOIN bo USING (pair_id, class_name, component_id)""")
 def cache_reuse(spark, sf):
-    """Rows whose composite key is cached are read back, the others are computed."""
-    from ..session import scratch_path
-    key = F.sha2(F.concat_ws("|", "pair_id", "class_name", "component_id", F.lit("model-1"), F.lit("config-1")), 256)
-    c = V.candidates(spark, sf).withColumn("key", key)
+    """Features of a third of the pairs are cached; then all pairs are asked for, some with other masks: those are computed anew, what
+    is the same is read back."""
+    maps = V.image_maps(spark, sf)
+    image = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pair_id"), C.content_fingerprint(F.concat_ws(",", F.col("embedding").cast("array<string>")), 8, 8, "float32").alias("pair_fingerprint"))
     path = scratch_path(spark, "cache")
-    c.filter("pair_id % 3 = 0").select("key", "score").write.parquet(path)
-    cache = spark.read.parquet(path)
-    hits = c.join(cache.select("key"), "key", "left_semi").withColumn("state", F.lit("hit"))
-    todo = c.join(cache.select("key"), "key", "left_anti").withColumn("state", F.lit("miss"))
-    return hits.unionByName(todo).groupBy("class_name", "state").agg(F.count(F.lit(1)).alias("n"))
+
+    def asked(labelled):
+        keyed = C.cache_keys(C.mask_fingerprints(labelled, V.SMALL, V.SMALL).join(image, "pair_id"), "model-1", "config-1")
+
+        def compute(todo):
+            cells = R.to_pixels(labelled.join(todo.select(*C.IDENTITY, "cache_key"), C.IDENTITY)).join(maps, [*R.TILE, "y", "x"])
+            return cells.groupBy("cache_key").agg(F.count(F.lit(1)).alias("area"), F.avg("p").alias("mean_probability"))
+
+        return C.cached_features(keyed, compute, ["area", "mean_probability"], path)
+
+    asked(EQ.components(spark, sf).filter("pair_id % 3 = 0"))
+    altered = maps.withColumn("p", F.when((F.col("pair_id") % 6 == 0) & (F.col("y") >= 4), F.col("p") * 0.9).otherwise(F.col("p")))
+    found = asked(EQ.components(spark, sf, altered))
+    return found.select(*C.IDENTITY, "state", "area", F.round("mean_probability", 6).alias("mean_probability"))
+
+
+@query("a31_image_fingerprints", """SELECT vec_id AS id, sha256('8x8xfloat32|'||array_to_string(list_transform(embedding, lambda v: CAST(CAST(round(v*1000) AS INTEGER) AS VARCHAR)), ',')) AS fingerprint FROM embeddings""")
+def image_fingerprints(spark, sf):
+    """Shape, type and content of every image in one hash."""
+    text = F.concat_ws(",", F.transform("embedding", lambda v: F.round(v * F.lit(1000.0).cast("float")).cast("int").cast("string")))
+    return V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), C.content_fingerprint(text, 8, 8, "float32").alias("fingerprint"))
 
 
 @query("v10_probability_validity", "WITH " + V.IMAGE_SQL + """

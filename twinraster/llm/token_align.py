@@ -10,6 +10,8 @@ taken in blocks; each block knows the pairs it holds, fetches their counts by on
 """
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -30,41 +32,53 @@ _COLUMNS = [
 ]
 
 
-def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Numbers of the tokens of A whose ends are ends of B too, in order.
+def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tokens of A whose ends are ends of B too, in order, and the numbers of those tokens of B.
 
-    ``ends_a`` and ``ends_b`` are rising byte offsets; the intervals ``lo`` to ``hi`` (numbers of A's tokens, end excluded) lie between
-    shared cuts, so their last ends are shared.
+    ``ends_a`` and ``ends_b`` are rising byte offsets; the intervals ``lo`` to ``hi`` (numbers of A's tokens, end excluded), in order, lie
+    between shared cuts, so their last ends are shared.
     """
-    cuts = [hi - 1]
+    match = np.full(len(ends_a), -1, dtype=np.int64)
+    match[hi - 1] = np.searchsorted(ends_b, ends_a[hi - 1])
+    last_b = match[hi - 1]
+    first_b = np.concatenate([[-1], last_b[:-1]]) + 1
     while len(lo):
-        few = np.searchsorted(ends_b, ends_a[hi - 1]) - np.searchsorted(ends_b, ends_a[lo]) < 1  # no end of B inside
-        lo, hi = lo[~few & (hi - lo > 1)], hi[~few & (hi - lo > 1)]
-        cut = _nearest(ends_a, ends_b, lo, hi - 1)
-        lo, hi, cut = lo[cut >= 0], hi[cut >= 0], cut[cut >= 0]
-        cuts.append(cut)
-        lo, hi = np.concatenate([lo, cut + 1]), np.concatenate([cut + 1, hi])
-    return np.sort(np.concatenate(cuts))
-
-
-def _nearest(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """For each interval of tokens of A the one nearest to its middle whose end B shares, -1 where there is none. The part
-    around the middle that is looked at grows fourfold until it holds a cut or is the interval."""
-    out = np.full(len(lo), -1, dtype=np.int64)
-    todo, middle, width = np.arange(len(lo)), (lo + hi - 1) // 2, 0
+        some = (last_b > first_b) & (hi - lo > 1)  # both sides end inside
+        lo, hi, first_b, last_b = lo[some], hi[some], first_b[some], last_b[some]
+        cut, cut_b = _nearest(ends_a, ends_b, lo, hi - 1)
+        found = cut >= 0
+        lo, hi, first_b, last_b, cut, cut_b = (v[found] for v in (lo, hi, first_b, last_b, cut, cut_b))
+        match[cut] = cut_b
+        # halves stay in order, so that neighbouring searches touch neighbouring memory
+        lo, hi = np.stack([lo, cut + 1], 1).ravel(), np.stack([cut + 1, hi], 1).ravel()
+        first_b, last_b = np.stack([first_b, cut_b + 1], 1).ravel(), np.stack([cut_b, last_b], 1).ravel()
+    cuts = np.flatnonzero(match >= 0)
+    return cuts, match[cuts]
+
+
+def _nearest(ends_a: np.ndarray, ends_b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval of tokens of A the one nearest to its middle whose end B shares, and B's token there; -1 where there is none. The
+    part around the middle that is looked at grows fourfold until it holds a cut or is the interval."""
+    middle = (lo + hi - 1) // 2
+    at = np.searchsorted(ends_b, ends_a[middle])
+    hit = ends_b[at] == ends_a[middle]
+    out, out_b = np.where(hit, middle, -1), np.where(hit, at, -1)
+    todo, width = np.flatnonzero(~hit & (hi - lo > 1)), 1
     while len(todo):
         first, last = np.maximum(lo[todo], middle[todo] - width), np.minimum(hi[todo], middle[todo] + width + 1)
         size = last - first
         start = np.cumsum(size) - size
         token = np.repeat(first - start, size) + np.arange(int(size.sum()))
-        shared = ends_b[np.searchsorted(ends_b, ends_a[token])] == ends_a[token]
-        far = np.where(shared, np.abs(token - np.repeat(middle[todo], size)) * 2 + (token > np.repeat(middle[todo], size)), np.iinfo(np.int64).max)
-        best = np.minimum.reduceat(far, start) if len(far) else far
+        at = np.searchsorted(ends_b, ends_a[token])
+        far = token - np.repeat(middle[todo], size)
+        far = np.where(ends_b[at] == ends_a[token], np.abs(far) * 2 + (far > 0), np.iinfo(np.int64).max)
+        best = np.minimum.reduceat(far, start)
         hit = best < np.iinfo(np.int64).max
-        out[todo[hit]] = middle[todo[hit]] + np.where(best[hit] % 2 == 1, best[hit] // 2, -(best[hit] // 2))
+        chosen = middle[todo[hit]] + np.where(best[hit] % 2 == 1, best[hit] // 2, -(best[hit] // 2))
+        out[todo[hit]], out_b[todo[hit]] = chosen, at[start[hit] + chosen - first[hit]]
         todo = todo[~hit & ((first > lo[todo]) | (last < hi[todo]))]
-        width = max(1, 4 * width)
-    return out
+        width *= 4
+    return out, out_b
 
 
 class Sides:
@@ -78,29 +92,40 @@ class Sides:
         self.cut = not any("▁" in n.lstrip("▁") for n in names)
         self.bytes = [pa.array([t or b"" for t in merges.tokens], pa.binary()), pa.array(b, pa.binary())]
         self.length = [merges.length, np.array([len(t) for t in b], dtype=np.int64)]
-        self.memories = [UnitMemory(Encoder(merges)._learn), UnitMemory(self._pieces)]
+        self.encoder = Encoder(merges)
+        self.memory = UnitMemory(self._both)
         ids = [str(i) for n in map(len, self.bytes) for i in range(n)]
         #: every id of A, then of B, with each of the four signs that can follow it
         self.printed = pa.array([i + sign for i in ids for sign in (",", "|", ";", "")], pa.binary())
 
-    def _pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _both(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, then of B (counted on from those of A), of every unit."""
+        a, n_a = self.encoder._learn(keys)
         found = self.pieces.encode(keys, num_threads=1)
-        return np.array([i for one in found for i in one], dtype=np.int32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        b = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        n_b = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        out = np.empty(len(a) + len(b), dtype=np.int32)
+        of_b = np.repeat(np.tile([False, True], len(keys)), np.stack([n_a, n_b], 1).ravel())
+        out[~of_b], out[of_b] = a, b + len(self.bytes[0])
+        return out, n_a + n_b
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and B: ids of all texts in one array, and how many each text has. A text whose joined bytes differ from space+text, on
         either side, has no ids."""
         units = [unit_keys(t, spaced=True) if self.cut else [t] if t else [] for t in texts]
-        keys, stops = [k for one in units for k in one], np.cumsum([0, *map(len, units)])
+        found, sizes = self.memory.ids(list(chain.from_iterable(units)))
+        text_stops = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, units)])]
+        of_b = found >= len(self.bytes[0])
+        b_before = np.concatenate([[0], np.cumsum(of_b)])[text_stops]
         want = [b" " + t.encode("utf-8") if t else b"" for t in texts]
         sides, good = [], np.ones(len(texts), dtype=bool)
-        for memory, tokens, length in zip(self.memories, self.bytes, self.length):
-            ids, sizes = memory.ids(keys)
-            counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[stops])
+        for ids, stops, tokens, length in zip((found[~of_b], found[of_b] - len(self.bytes[0])), (text_stops - b_before, b_before), self.bytes, self.length):
             joined = tokens.take(pa.array(ids)).buffers()[2].to_pybytes() if len(ids) else b""
-            ends = np.concatenate([[0], np.cumsum(length[ids])])[np.cumsum([0, *counts])].tolist()
+            ends = np.concatenate([[0], np.cumsum(length[ids])])[stops].tolist()
             good &= [joined[a:b] == w for a, b, w in zip(ends, ends[1:], want)]
-            sides.append((ids, counts))
+            sides.append((ids, np.diff(stops)))
+        if good.all():
+            return sides
         return [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in sides]
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray | pa.Array]:
@@ -110,15 +135,18 @@ class Sides:
         ends_a, ends_b = np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])
         last = np.cumsum(n_a)
         has = n_a > 0
-        cuts = shared_cuts(ends_a, ends_b, (last - n_a)[has], last[has])  # a group is known by its last token
+        cuts, cuts_b = shared_cuts(ends_a, ends_b, (last - n_a)[has], last[has])  # a group is known by its last tokens
         text_of = np.repeat(np.arange(rows), n_a)
-        stop_b = np.searchsorted(ends_b, ends_a[cuts]) + 1  # A's groups end behind cuts, B's behind these
+        stop_b = cuts_b + 1
         group_a = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=-1))
         group_b = np.repeat(np.arange(len(cuts)), np.diff(stop_b, prepend=0))
         # links: the text falls into stretches between neighbouring ends of either side; each lies in one token of A and one of B
-        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
-        ends = ends[np.diff(ends, prepend=-1) > 0]
-        in_a, in_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = np.concatenate([ends_a, ends_b])
+        order = np.argsort(both, kind="stable")
+        of_a = order < len(ends_a)
+        first = np.flatnonzero(np.diff(both[order], prepend=-1))
+        in_a = np.cumsum(of_a)[first] - of_a[first]  # ends of A that lie before
+        in_b = first - in_a
         width = len(self.bytes[1])
         pairs, place = np.unique(a[in_a].astype(np.int64) * width + b[in_b], return_inverse=True)
         # the same pair twice in a text is one entry with a number

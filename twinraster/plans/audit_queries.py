@@ -14,6 +14,7 @@ from ..operators import polygons as G
 from ..operators import runs as R
 from ..operators import scoring as S
 from ..session import scratch_path
+from ..sources import masks as MK
 from ..sources import arrays as D
 from . import evidence_queries as EQ
 from . import geo_queries as GQ
@@ -61,6 +62,34 @@ def image_checks(spark, sf):
     return A.image_issues(px, ["pair_id"], N, N)
 
 
+MASK_FILES_SQL = """WITH k AS (SELECT vec_id AS pair_id, CAST(i//8 AS INTEGER) AS y, CAST(i%8 AS INTEGER) AS x, embedding[i+1]>0.05 AS m FROM embeddings, range(64) t(i))"""
+
+
+def mask_images(spark, sf):
+    """Mask images as the image source would give them: every tenth file can't be decoded, every thirteenth holds another value, every seventh is cut short."""
+    k = F.col("vec_id")
+    byte = F.transform("embedding", lambda v: F.when(v > F.lit(0.05), F.when(k % 2 == 0, "FF").otherwise("01")).otherwise("00"))
+    text = F.array_join(byte, "")
+    data = F.unhex(F.when(k % 10 == 0, "").when(k % 13 == 0, F.concat(F.lit("07"), F.substring(text, 3, 126))).when(k % 7 == 0, F.substring(text, 1, 112)).otherwise(text))
+    high = F.when(k % 10 == 0, -1).when(k % 7 == 0, 7).otherwise(N)
+    high = F.when((k % 13 == 0) & (k % 10 != 0), N).otherwise(high)
+    image = F.struct(high.alias("height"), F.lit(N).alias("width"), F.when(k % 10 == 0, -1).otherwise(1).alias("nChannels"), data.alias("data"))
+    return V.table(spark, sf, "embeddings").select(k.alias("pair_id"), image.alias("image"))
+
+
+@query("s06_mask_runs", MASK_FILES_SQL + """,
+g AS (SELECT pair_id, y, x, x-row_number() OVER (PARTITION BY pair_id, y ORDER BY x) AS b FROM k WHERE m AND pair_id%10<>0 AND pair_id%13<>0 AND pair_id%7<>0)
+SELECT pair_id, y, CAST(min(x) AS INTEGER) AS x0, CAST(max(x)+1 AS INTEGER) AS x1 FROM g GROUP BY pair_id, y, b""")
+def truth_runs(spark, sf):
+    return MK.mask_runs(mask_images(spark, sf), ["pair_id"], N, N)[0]
+
+
+@query("v07_unreadable_images", """SELECT vec_id AS pair_id, CASE WHEN vec_id%10=0 THEN 'unreadable image' WHEN vec_id%13=0 THEN 'mask must contain only 0/1/255' ELSE 'expected 8x8' END AS reason
+FROM embeddings WHERE vec_id%10=0 OR vec_id%13=0 OR vec_id%7=0""")
+def unreadable_images(spark, sf):
+    return MK.mask_runs(mask_images(spark, sf), ["pair_id"], N, N)[1]
+
+
 LABELS_SQL = "WITH " + V.TILE_SQL + """,
 lw AS (SELECT pair_id, y, x, bool_or(truth AND class_name='new_building') b, bool_or(truth AND class_name='tree_removal') t FROM px GROUP BY ALL),
 ll AS (SELECT pair_id, y, x, b, t, CASE WHEN pair_id%4=1 AND y>=16 THEN -100 WHEN b AND t THEN NULL WHEN b THEN 1 WHEN t THEN 2 ELSE 0 END AS label FROM lw)"""

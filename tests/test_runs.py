@@ -108,6 +108,17 @@ def test_pipeline_order(spark):
     same(back(R.clean_mask(R.to_runs(frame(spark)), tiles(spark), H, W, opening=1, closing=1, fill=True, min_area=5)), want)
 
 
+@pytest.mark.parametrize("band", [256, 5, 1])
+@pytest.mark.parametrize("steps", [[(False, 1), (True, 1)], [(True, 2), (False, 2)], [(False, 1), (True, 1), (True, 2), (False, 2), (True, 1)], [(True, 3)], []])
+def test_fused_morphology_equals_step_by_step(spark, band, steps):
+    """Bands of one row, some rows and the whole tile give what the steps give one after the other on the whole image."""
+    def want(m):
+        for grow, radius in steps:
+            m = morph(m, radius, grow)
+        return m
+    same(back(R.morph(R.to_runs(frame(spark)), H, W, steps, band_rows=band)), want)
+
+
 @pytest.mark.parametrize("way,height,band", [(4, H, 256), (8, H, 256), (4, None, 3), (8, None, 3)])
 def test_components_with_and_without_bands(spark, way, height, band):
     lab = R.label_components(R.to_runs(frame(spark)), W, height, way, band_rows=band)

@@ -361,21 +361,74 @@ def fill_holes(runs: DataFrame, tiles: DataFrame, height: int, width: int, keys:
     return combine({"m": cover}, F.col("m") > 0, keys)
 
 
+def _window_count(mask: np.ndarray, radius: int, axis: int) -> np.ndarray:
+    """How many cells of the mask lie within ``radius`` along an axis; there are none outside."""
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (radius + 1, radius)
+    total = np.cumsum(np.pad(mask, pad), axis=axis, dtype=np.int32)
+    size = mask.shape[axis]
+    upper, lower = [slice(None)] * 2, [slice(None)] * 2
+    upper[axis], lower[axis] = slice(2 * radius + 1, 2 * radius + 1 + size), slice(0, size)
+    return total[tuple(upper)] - total[tuple(lower)]
+
+
+def _grow(mask: np.ndarray, radius: int) -> np.ndarray:
+    return _window_count(_window_count(mask, radius, 1) > 0, radius, 0) > 0
+
+
+def _shrink(mask: np.ndarray, radius: int) -> np.ndarray:
+    full = 2 * radius + 1
+    return _window_count(_window_count(mask, radius, 1) == full, radius, 0) == full
+
+
+def _morph_band(steps: list[tuple[bool, int]], reach: int, height: int, width: int, band_rows: int, keys: list[str]):
+    """Arrow kernel: all steps on one band of a tile, with ``reach`` more rows on both sides."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        top = int(table.column("_band")[0].as_py()) * band_rows
+        first, last = max(0, top - reach), min(height, top + band_rows + reach)
+        edges = np.zeros((last - first, width + 1), dtype=np.int32)
+        np.add.at(edges, (y - first, x0), 1)
+        np.add.at(edges, (y - first, x1), -1)
+        mask = np.cumsum(edges, axis=1)[:, :width] > 0
+        for grow, radius in steps:
+            mask = (_grow if grow else _shrink)(mask, radius)
+        own = mask[top - first: min(height, top + band_rows) - first]
+        edge = np.diff(own.astype(np.int8), prepend=0, append=0, axis=1)
+        row, start = np.nonzero(edge == 1)
+        stop = np.nonzero(edge == -1)[1]
+        out = table.select(keys).take(pa.array(np.zeros(len(row), dtype=np.int64)))
+        for name, values in (("y", row + top), ("x0", start), ("x1", stop)):
+            out = out.append_column(name, pa.array(values.astype(np.int32)))
+        return out
+
+    return run
+
+
+def morph(runs: DataFrame, height: int, width: int, steps: list[tuple[bool, int]], keys: list[str] = TILE, band_rows: int = 256) -> DataFrame:
+    """Square dilations (True, radius) and erosions (False, radius) in order, in one pass; outside the tile is background.
+
+    What a row becomes depends on rows up to the sum of the radii away. So every run goes to its band of ``band_rows`` rows and to the bands
+    that are so near, and a band is finished on its own, however tall the tile is.
+    """
+    reach = sum(radius for _, radius in steps)
+    if not reach:
+        return runs.select(*keys, "y", "x0", "x1")
+    bands = F.sequence(F.floor(F.greatest(F.col("y") - reach, F.lit(0)) / band_rows), F.floor(F.least(F.col("y") + reach, F.lit(height - 1)) / band_rows))
+    placed = clip(runs.select(*keys, "y", "x0", "x1"), height, width).withColumn("_band", F.explode(bands))
+    shape = ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
+    return placed.groupBy(*keys, "_band").applyInArrow(_morph_band(steps, reach, height, width, band_rows, keys), f"{shape}, y int, x0 int, x1 int")
+
+
 def clean_mask(
     runs: DataFrame, tiles: DataFrame, height: int, width: int, *, opening: int = 0, closing: int = 0,
     dilation: int = 0, erosion: int = 0, fill: bool = False, min_area: int = 0, connectivity: int = 4,
     keys: list[str] = TILE,
 ) -> DataFrame:
-    """Opening, closing, dilation, erosion, hole fill and component filter, in that order."""
-    m = runs
-    if opening:
-        m = dilate(erode(m, opening, keys), opening, height, width, keys)
-    if closing:
-        m = erode(dilate(m, closing, height, width, keys), closing, keys)
-    if dilation:
-        m = dilate(m, dilation, height, width, keys)
-    if erosion:
-        m = erode(m, erosion, keys)
+    """Opening, closing, dilation, erosion, hole fill and component filter, in that order; all up to the fill are one pass."""
+    steps = [(False, opening), (True, opening), (True, closing), (False, closing), (True, dilation), (False, erosion)]
+    m = morph(runs, height, width, [(grow, radius) for grow, radius in steps if radius], keys)
     if fill:
         m = fill_holes(m, tiles, height, width, keys)
     if min_area:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import connected_components
-from .runs import TILE, _settle
+from .runs import TILE, _settle, tile_partition
 
 #: An edge: its row, its column and whether it is a left end (0) or a right end (1) of a run.
 EDGE = ["y", "x", "side"]
@@ -91,9 +91,11 @@ def label_rings(links: DataFrame, width: int, height: int | None = None, keys: l
 def exterior_edges(labelled: DataFrame, width: int, height: int | None = None, keys: list[str] = TILE, band_rows: int = 256) -> DataFrame:
     """Links of the outer ring of every component. ``component_id`` must be the smallest y*width+x of the component, as
     ``label_components`` gives it: its left end is the first edge of the outer ring."""
-    found = label_rings(boundary_links(labelled, keys), width, height, keys, band_rows)
+    # rows of a tile are placed together before and after the kernel, so that the windows around it need no exchange of their own
+    placed = tile_partition(labelled.select(*keys, "component_id", "y", "x0", "x1"), keys)
+    found = label_rings(boundary_links(placed, keys), width, height, keys, band_rows)
     first = (F.floor(F.col("component_id") / width) * (width + 1) + F.col("component_id") % width) * 2
-    return found.filter(F.col("ring") == first).drop("ring")
+    return tile_partition(found.filter(F.col("ring") == first).drop("ring"), keys)
 
 
 def exterior_runs(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:

@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,8 +25,10 @@ from .common import extended, with_arrays
 from .stream_bpe import Encoder, MergeList
 from .units import UnitMemory, unit_keys
 
-#: Documents and characters of a block; a longer text is a block of its own.
-BLOCK_ROWS, BLOCK_CHARS = 1024, 1 << 21
+#: Documents and bytes of text of a block; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 19
+#: Units whose tokens a worker remembers.
+REMEMBERED = 1 << 17
 _COLUMNS = [
     ("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"), ("groups", "string"), ("block", "bigint"),
     ("link_pair", "array<int>"), ("link_times", "array<int>"), ("block_a", "array<int>"), ("block_b", "array<int>"), ("block_links", "array<bigint>"),
@@ -93,7 +96,8 @@ class Sides:
         self.bytes = [pa.array([t or b"" for t in merges.tokens], pa.binary()), pa.array(b, pa.binary())]
         self.length = [merges.length, np.array([len(t) for t in b], dtype=np.int64)]
         self.encoder = Encoder(merges)
-        self.memory = UnitMemory(self._both)
+        self.encoder.words.entries = REMEMBERED
+        self.memory = UnitMemory(self._both, REMEMBERED)
         ids = [str(i) for n in map(len, self.bytes) for i in range(n)]
         #: every id of A, then of B, with each of the four signs that can follow it
         self.printed = pa.array([i + sign for i in ids for sign in (",", "|", ";", "")], pa.binary())
@@ -172,6 +176,24 @@ class Sides:
         }
 
 
+class _Shared:
+    """What is broadcast; a worker process makes its tokenizers from it once, for all its tasks."""
+
+    def __init__(self, merges: MergeList, model: bytes):
+        self.parts, self._sides = (merges, model), None
+
+    def __getstate__(self):
+        return self.parts
+
+    def __setstate__(self, parts):
+        self.parts, self._sides = parts, None
+
+    def sides(self) -> Sides:
+        if self._sides is None:
+            self._sides = Sides(*self.parts)
+        return self._sides
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
@@ -191,18 +213,18 @@ def align(docs: DataFrame, merges_path: str, model_path: str, text_col: str = "t
     """
     context = docs.sparkSession.sparkContext
     with open(model_path, "rb") as file:
-        shared = context.broadcast((MergeList(merges_path), file.read()))
+        shared = context.broadcast(_Shared(MergeList(merges_path), file.read()))
 
     def run(batches):
-        sides, part_id, number = Sides(*shared.value), TaskContext.get().partitionId(), 0
+        sides, part_id, number = shared.value.sides(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            reach = np.cumsum([len(t) if t else 0 for t in texts])
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            reach = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(texts):
-                stop = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + BLOCK_CHARS))
+                stop = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + BLOCK_BYTES))
                 stop = min(max(stop, at + 1), at + BLOCK_ROWS, len(texts))
-                found = sides.align([t or "" for t in texts[at:stop]])
+                found = sides.align([t or "" for t in texts.slice(at, stop - at).to_pylist()])
                 pairs, links = found.pop("pairs"), found.pop("pair_links")
                 rows = stop - at
                 found = {k: v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for k, v in found.items()}

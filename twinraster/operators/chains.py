@@ -16,9 +16,11 @@ from . import splits as P
 from . import sweep as W
 
 
-def build_dataset(rows: DataFrame, keys: list[tuple[str, str]], path: str, fraction: float = 0.2, seed: int = 0, dry_run: bool = False) -> DataFrame:
-    """Eligible rows, group-safe split, leakage assertion and CSV sinks; returns counts per outcome."""
-    labelled = G.label_groups(rows, G.shared_key_edges(rows, keys))
+def build_dataset(rows: DataFrame, keys: list[tuple[str, str]], path: str, fraction: float = 0.2, seed: int = 0, dry_run: bool = False,
+                  strategy: str = "region", buffer: float = 0.0) -> DataFrame:
+    """Eligible rows, group-safe split, leakage assertion and CSV sinks; returns counts per outcome. Groups also follow boxes and states, as
+    ``graph.geographic_groups`` says."""
+    labelled = G.geographic_groups(rows, keys, strategy, buffer)
     approved, excluded = M.split_by_eligibility(labelled)
     split = cut(P.fraction_split(approved, "group_id", fraction, seed))
     P.both_sides(split)
@@ -76,12 +78,12 @@ def compare_rules(kept: DataFrame, truth: DataFrame, population: DataFrame, rule
     return scored.join(Q.no_change_counts(out, ["population", "rule"]).select("population", "rule", "no_change_count", "no_change_fp_any"), ["population", "rule"])
 
 
-def audit_dataset(rows: DataFrame, keys: list[tuple[str, str]], labels: DataFrame, shifts: DataFrame, path: str, width: int, height: int) -> DataFrame:
+def audit_dataset(rows: DataFrame, keys: list[tuple[str, str]], labels: DataFrame, shifts: DataFrame, path: str, width: int, height: int, buffer: float = 0.0) -> DataFrame:
     """Provenance, groups, leakage, duplicates, distribution and shifts; 7 CSV and 5 JSON outputs; verdict row.
 
     ``rows`` carries id, pair_id, split and content_hash besides the manifest columns.
     """
-    audited = cut(G.label_groups(M.provenance(rows), G.shared_key_edges(rows, keys)))
+    audited = cut(G.label_groups(M.provenance(rows), G.location_edges(rows, keys, buffer=buffer)))
     samples = cut(I.sample_distribution(labels, width, height))
     leaks = cut(P.leakage_groups(audited, "group_id"))
     members = P.leakage_members(audited, "group_id", ["year_pre", "year_post"]).withColumn("reason", F.lit("shared spatial/source group"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ..sources.tables import ContractError, reject_any
 
 
 def shared_key_edges(rows: DataFrame, keys: list[tuple[str, str]], id_col: str = "id") -> DataFrame:
@@ -69,6 +70,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+# Columns that tie rows to one place, by the namespace in which their values are compared.
+LOCATION_KEYS = [
+    ("region_id", "region_id"), ("image", "pre"), ("image", "post"), ("parent_id", "parent_id"), ("pair_id", "pair_id"), ("spatial_group", "spatial_group"),
+    ("source_raster", "source_raster"), ("source_raster", "pre_source_raster"), ("source_raster", "post_source_raster"), ("source_raster", "pre_raster"),
+    ("source_raster", "post_raster"), ("aoi_id", "aoi_id"), ("location_id", "location_id"),
+]
+BOX = ["w", "s", "e", "n"]
+
+
+def location_edges(rows: DataFrame, keys: list[tuple[str, str]] | None = None, strategy: str = "region", buffer: float = 0.0, id_col: str = "id") -> DataFrame:
+    """(src, dst) between rows that may show one place: shared keys (those of ``LOCATION_KEYS`` that ``rows`` has, unless given), the state with
+    strategy ``state``, and boxes that touch or lie within ``buffer`` where ``rows`` have them (w, s, e, n, in metres of ``crs``).
+
+    Every row needs a region, with strategy ``state`` a state, and a box and its CRS as soon as one row has a box; a buffer needs boxes.
+    """
+    named = keys if keys is not None else [k for k in LOCATION_KEYS if k[1] in rows.columns]
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    needed = [("region_id", "a geographic split needs region_id on every row")] + ([("state", "a state split needs state on every row")] if strategy == "state" else [])
+    for column, message in needed:
+        if column not in rows.columns:
+            raise ContractError(message)
+        reject_any(rows.filter(blank(column)).select(id_col), message)
+    if strategy == "state":
+        named = [*named, ("state", "state")]
+    edges = shared_key_edges(rows, named, id_col).select("src", "dst")
+    if not set(BOX) <= set(rows.columns):
+        if buffer:
+            raise ContractError("a geographic buffer needs bounds and a CRS")
+        return edges
+    whole = F.col("crs").isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in BOX])
+    some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in BOX])
+    seen = rows.agg(F.bool_or(some).alias("some"), F.bool_and(whole).alias("all")).first()
+    if seen["some"] and not seen["all"]:
+        raise ContractError("all rows need bounds and a CRS when there are any")
+    if not seen["some"]:
+        return location_edges(rows.drop(*BOX), keys, strategy, buffer, id_col)
+    return edges.unionByName(box_adjacency(rows.select(F.col(id_col).alias("id"), *BOX, "crs"), buffer).select("src", "dst"))
+
+
+def geographic_groups(rows: DataFrame, keys: list[tuple[str, str]] | None = None, strategy: str = "region", buffer: float = 0.0, id_col: str = "id") -> DataFrame:
+    """``rows`` with ``group_id``: rows that may show one place, directly or through others, share a group."""
+    return label_groups(rows, location_edges(rows, keys, strategy, buffer, id_col), id_col)
+
+
 def label_groups(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     """Adds ``group_id`` = smallest id of the row's connected set (itself when alone)."""
     parts = connected_components(edges.select("src", "dst"))

@@ -275,10 +275,11 @@ def rule_comparison(spark, sf):
     return C.compare_rules(kept, truth, pop, list(K.STABILITY_RULES)).select("population", "rule", "class_name", "tp", "fp", "fn", "tn")
 
 
-@query("x06_dataset_audit", MQ.READY_SQL + """
+@query("x06_dataset_audit", MQ.READY_SQL.replace(MQ.GROUPS_SQL, MQ.SPATIAL_SQL) + """
 SELECT n AS total_samples, mk AS mock_samples, inel AS ineligible_samples, lk AS leaks, 'NOT READY' AS readiness, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS valid_samples FROM tot""")
 def dataset_audit(spark, sf):
     """The whole audit; tiles of the label table belong to the document of the same number."""
     rows = MQ.row_split(MQ.audit_input(spark, sf)).withColumn("pair_id", F.col("doc_id"))
-    out = C.audit_dataset(rows, MQ.GROUP_KEYS, clean_labels(spark, sf), shifts(spark, sf), scratch_path(spark, "audit"), V.SIDE, V.SIDE)
+    rows = rows.join(MQ.placed(spark, sf).select("id", "w", "s", "e", "n", "crs"), "id")
+    out = C.audit_dataset(rows, MQ.GROUP_KEYS, clean_labels(spark, sf), shifts(spark, sf), scratch_path(spark, "audit"), V.SIDE, V.SIDE, buffer=3.0)
     return out.select("total_samples", "mock_samples", "ineligible_samples", "leaks", "readiness", "valid_samples")

@@ -39,6 +39,30 @@ grp AS (SELECT id, min(seed) AS group_id FROM walk GROUP BY 1),
 mg AS (SELECT manifest.*, group_id, CASE WHEN doc_id%5=0 THEN 'val' ELSE 'train' END AS split FROM manifest JOIN grp USING (id))"""
 
 
+# The same groups with boxes: documents lie on the ground, some touch others or come within three metres of them.
+KEY_EDGES = "SELECT DISTINCT a.id AS a, b.id AS b FROM kv a JOIN kv b USING (namespace, value) WHERE a.id<>b.id"
+BOX_EDGES = """SELECT a.id AS a, b.id AS b FROM gb a JOIN gb b ON a.id<>b.id AND pow(greatest(0,b.w-a.e,a.w-b.e),2)+pow(greatest(0,b.s-a.n,a.s-b.n),2)<=9"""
+SPATIAL_SQL = GROUPS_SQL.replace("adj AS (" + KEY_EDGES + ")", "gb AS (SELECT id, (doc_id*37)%4001 AS w, (doc_id*53)%3001 AS s, (doc_id*37)%4001+doc_id%50 AS e, (doc_id*53)%3001+10 AS n FROM manifest),\nadj AS (" + KEY_EDGES + " UNION " + BOX_EDGES + ")")
+STATE_SQL = SPATIAL_SQL.replace(" UNION " + BOX_EDGES, "").replace("kv AS (", "kv AS (SELECT id, 'state' AS namespace, state AS value FROM manifest UNION ")
+
+
+def placed(spark, sf):
+    k = F.col("doc_id")
+    w, south = ((k * 37) % 4001).cast("double"), ((k * 53) % 3001).cast("double")
+    return V.manifest(spark, sf).withColumns({"w": w, "s": south, "e": w + k % 50, "n": south + 10, "crs": F.lit("EPSG:32618")})
+
+
+@query("j06_spatial_groups", SPATIAL_SQL + " SELECT id, group_id FROM grp")
+def spatial_groups(spark, sf):
+    """Groups by shared keys and by boxes within three metres of each other, across regions."""
+    return G.geographic_groups(placed(spark, sf), GROUP_KEYS, buffer=3.0).select("id", "group_id")
+
+
+@query("j06_state_groups", STATE_SQL + " SELECT id, group_id FROM grp")
+def state_groups(spark, sf):
+    return G.geographic_groups(V.manifest(spark, sf), GROUP_KEYS, strategy="state").select("id", "group_id")
+
+
 def grouped(spark, sf):
     rows = V.manifest(spark, sf)
     return G.label_groups(rows, G.shared_key_edges(rows, GROUP_KEYS))
@@ -513,7 +537,7 @@ def readiness(spark, sf):
                       F.array_join("blockers", " | ").alias("blockers"))
 
 
-@query("x05_dataset_build", GROUPS_SQL + f""",
+@query("x05_dataset_build", SPATIAL_SQL + f""",
 ok AS (SELECT * FROM (SELECT *, {REASON} AS reason FROM mg) WHERE reason='approved'),
 sz AS (SELECT group_id, count(*) AS n, md5('7|'||group_id) AS o FROM ok GROUP BY 1),
 r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY o, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before, row_number() OVER (ORDER BY o DESC, group_id DESC) AS back FROM sz)
@@ -522,7 +546,7 @@ def dataset_build(spark, sf):
     """Eligibility filter, group-safe split, leakage assertion, manifest sink, read back."""
     from ..operators.chains import build_dataset
     path = scratch_path(spark, "build")
-    build_dataset(V.manifest(spark, sf), GROUP_KEYS, path, fraction=0.2, seed=7)
+    build_dataset(placed(spark, sf), GROUP_KEYS, path, fraction=0.2, seed=7, buffer=3.0)
     return S.read_csv_table(spark, path + "/split").select("id", "split")
 
 

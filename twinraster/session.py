@@ -27,17 +27,21 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+#: Holds the folder that a local session without a configured one takes; only settings outside spark.* can be set on a running session.
+_LOCAL_FOLDER = "twinraster.checkpoint.dir"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate data; a fresh local one only in local mode."""
+    """The folder that the cluster names for intermediate data. Only a local session, as in tests, may go without: it takes one folder of its own."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not spark.conf.get(_LOCAL_FOLDER, None):
+        spark.conf.set(_LOCAL_FOLDER, tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get(_LOCAL_FOLDER)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,6 +1,8 @@
 """Feature contracts, weights, logistic fits, scoring and evidence-based filtering."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,15 +211,15 @@ def out_of_fold(rows: DataFrame, names: list[str], label: str, fold: str, k: int
     return rows.withColumn("oof", score), fits[k]
 
 
-def threshold_grid(scored: DataFrame, label: str, grid: list[float] = OOF_GRID) -> DataFrame:
-    """Confusion and rates per threshold, from one count per (bucket of passed thresholds, label)."""
+def threshold_grid(scored: DataFrame, label: str, grid: list[float] = OOF_GRID, by: list[str] = ()) -> DataFrame:
+    """Confusion and rates per threshold (and group of ``by``), from one count per (bucket of passed thresholds, label)."""
     levels = sorted(grid)
     passed = F.size(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda t: t <= F.col("oof")))
-    counts = scored.groupBy(passed.alias("bucket"), (F.col(label) == 1).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scored.groupBy(*by, passed.alias("bucket"), (F.col(label) == 1).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     t = counts.withColumn("l", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(levels)])))
     hit = F.col("bucket") > F.col("l.i")
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    g = t.groupBy(F.col("l.v").alias("threshold")).agg(
+    g = t.groupBy(*by, F.col("l.v").alias("threshold")).agg(
         total(hit & F.col("y")).alias("tp"), total(hit & ~F.col("y")).alias("fp"), total(~hit & F.col("y")).alias("fn"), total(~hit & ~F.col("y")).alias("tn"))
     one = lambda c: F.greatest(c, F.lit(1))
     p, r = F.col("tp") / one(F.col("tp") + F.col("fp")), F.col("tp") / one(F.col("tp") + F.col("fn"))
@@ -225,12 +227,17 @@ def threshold_grid(scored: DataFrame, label: str, grid: list[float] = OOF_GRID)
         "f1", F.round(2 * p * r / F.greatest(p + r, F.lit(1e-6)), 4)).withColumn("fp_reduction", F.round(F.col("tn") / one(F.col("tn") + F.col("fp")), 4))
 
 
-def choose_operating_point(grid: DataFrame, class_name: str) -> DataFrame:
-    """One row: strongest false-alarm reduction above the recall floor, with a fallback."""
-    floor, cap = RECALL_FLOOR[class_name]
-    ok = (F.col("recall") >= floor) & (F.col("threshold") <= cap)
-    fallback = F.max_by("threshold", F.struct("f1", -F.col("threshold"))) if class_name == "new_building" else F.min("threshold")
-    return grid.agg(F.coalesce(F.max_by("threshold", F.when(ok, F.struct("fp_reduction", "f1", (-F.col("threshold")).alias("t")))), fallback).alias("threshold"))
+def choose_operating_points(grid: DataFrame) -> DataFrame:
+    """(class_name, threshold) from a grid by class: strongest false-alarm reduction above the class's recall floor and up to its highest
+    threshold, then the best F1, then the lowest threshold. Where none qualifies, the best F1 for buildings and the highest threshold allowed for trees."""
+    of_class = lambda k: reduce(lambda rest, c: F.when(F.col("class_name") == c, RECALL_FLOOR[c][k]).otherwise(rest), RECALL_FLOOR, F.lit(None).cast("double"))
+    ok = (F.col("recall") >= of_class(0)) & (F.col("threshold") <= of_class(1))
+    low = (-F.col("threshold")).alias("low")
+    best = grid.groupBy("class_name").agg(
+        F.max_by("threshold", F.when(ok, F.struct("fp_reduction", "f1", low))).alias("chosen"), F.max_by("threshold", F.struct("f1", low)).alias("best_f1"),
+        F.max(F.when(F.col("threshold") <= of_class(1), F.col("threshold"))).alias("highest"))
+    fallback = F.when(F.col("class_name") == "tree_removal", F.col("highest")).otherwise(F.col("best_f1"))
+    return best.select("class_name", F.coalesce("chosen", fallback).alias("threshold"))
 
 
 # --- labels, filters, veto ---------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Threshold sweeps, trial summaries, plateau and preset choice, promotion gates."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,11 +213,50 @@ def staged_search(evaluate, grid: dict[str, dict[str, list]], maximize: bool = T
     return best, log
 
 
+# Step of the thresholds and range of the centres in the robustness stage, and the spread up to which a centre counts as stable.
+ROBUST_STEP, ROBUST_RANGE, ROBUST_SPREAD = 0.05, (0.30, 0.90), 0.05
+_FAMILY = [f"{c}_{p}" for c in "bt" for p in ("min_area", "min_pos_area")]
+
+
+def _distinct_trials(settings: list[dict]) -> list[dict]:
+    seen: dict[tuple, dict] = {}
+    for t in settings:
+        seen.setdefault(tuple(v for k, v in t.items() if k != "trial_id"), t)
+    return [{**t, "trial_id": i} for i, t in enumerate(seen.values())]
+
+
+def threshold_neighbourhood(bases: list[dict]) -> list[dict]:
+    """Trials two threshold steps around every base, both ways in both classes, within [0, 1]."""
+    near = lambda v, k: round(min(1.0, max(0.0, v + k * ROBUST_STEP)), 2)
+    out = []
+    for base in bases:
+        b, t = ({**DEFAULTS, **base[c]} for c in S.CLASSES)
+        out += [trial(0, {**b, "threshold": near(b["threshold"], i)}, {**t, "threshold": near(t["threshold"], j)}) for i, j in product(range(-2, 3), repeat=2)]
+    return _distinct_trials(out)
+
+
+def robust_centres(summary: DataFrame, bases: list[dict]) -> DataFrame:
+    """``grid_robustness`` of the trials that lie at most one threshold step from a base with the same other settings, within the range of centres."""
+    steps = lambda v: round(v / ROBUST_STEP)
+    near = F.lit(False)
+    for base in bases:
+        one = trial(0, *(base[c] for c in S.CLASSES))
+        same = F.lit(True)
+        for name in _FAMILY:
+            same = same & (F.col(name) == float(one[name]))
+        for c in "bt":
+            same = same & (F.abs(F.round(F.col(f"{c}_threshold") / ROBUST_STEP) - steps(one[f"{c}_threshold"])) <= 1)
+        near = near | same
+    inside = F.col("b_threshold").between(*ROBUST_RANGE) & F.col("t_threshold").between(*ROBUST_RANGE)
+    return grid_robustness(summary).filter(near & inside)
+
+
 def calibration_sweep(evaluate, thresholds: list[float], areas: list[int], pos_areas: list[int], keep: int = 3) -> DataFrame:
-    """Coarse thresholds, then areas, then total areas around ranked finalists, then 3x3 robustness.
+    """Coarse thresholds, then areas, then total areas around ranked finalists, then 3x3 robustness around the last ones.
 
-    ``evaluate`` maps trials to summary rows with settings. Each stage is one job and
-    its summary is checkpointed; the driver only sees the finalists.
+    ``evaluate`` maps trials to summary rows with settings. Each stage is one job and its summary is checkpointed; the driver only sees the
+    settings of the finalists: the presets' winners, after the first stage filled up to ``keep`` regions. Rows of stage ``robustness`` are the centres, with
+    the worst misses and alarms, mean and spread of the scores in their neighbourhood.
     """
     def finalists(summary: DataFrame, fill: bool) -> list[dict]:
         first = preset_winners(summary).first()
@@ -229,31 +269,37 @@ def calibration_sweep(evaluate, thresholds: list[float], areas: list[int], pos_a
         return [{c: {p: rows[i][f"{k}_{p}"] for p in PARAMETERS} for k, c in zip("bt", S.CLASSES)} for i in ids]
 
     def stage(bases: list[dict], parameter: str, values: list) -> list[dict]:
-        seen, out = set(), []
-        for base in bases:
-            for t in cartesian({c: {parameter: values} for c in S.CLASSES}, base):
-                key = tuple(v for k, v in t.items() if k != "trial_id")
-                if key not in seen:
-                    seen.add(key)
-                    out.append({**t, "trial_id": len(out)})
-        return out
+        return _distinct_trials([t for base in bases for t in cartesian({c: {parameter: values} for c in S.CLASSES}, base)])
 
     coarse = cut(evaluate(stage([{c: {} for c in S.CLASSES}], "threshold", thresholds)))
     by_area = cut(evaluate(stage(finalists(coarse, True), "min_area", areas)))
     by_total = cut(evaluate(stage(finalists(by_area, False), "min_pos_area", pos_areas)))
-    named = lambda df, name: df.withColumn("stage", F.lit(name))
-    return named(coarse, "coarse").unionByName(named(by_area, "area")).unionByName(named(by_total, "total"))
+    last = finalists(by_total, False)
+    robust = robust_centres(cut(evaluate(threshold_neighbourhood(last))), last)
+    stages = [df.withColumn("stage", F.lit(name)) for df, name in ((coarse, "coarse"), (by_area, "area"), (by_total, "total"), (robust, "robustness"))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stages)
 
 
 def grid_robustness(summary: DataFrame) -> DataFrame:
-    """3x3 neighbourhood of every threshold pair: worst misses, worst alarm rate, mean and spread."""
-    t = summary.withColumn("bi", F.round(F.col("b_threshold") * 20).cast("int")).withColumn("ti", F.round(F.col("t_threshold") * 20).cast("int"))
+    """3x3 neighbourhood of every threshold pair among trials of equal other settings: worst misses, worst alarm rate, mean and spread."""
+    family = [c for c in _FAMILY if c in summary.columns]
+    t = summary.withColumn("bi", F.round(F.col("b_threshold") / ROBUST_STEP).cast("int")).withColumn("ti", F.round(F.col("t_threshold") / ROBUST_STEP).cast("int"))
     misses = F.col("new_building_fn") + F.col("tree_removal_fn")
-    spread = t.select(F.explode(F.sequence(F.col("bi") - 1, F.col("bi") + 1)).alias("bi"), "ti", misses.alias("fn"), "no_change_fp_rate", "overall")
-    spread = spread.select("bi", F.explode(F.sequence(F.col("ti") - 1, F.col("ti") + 1)).alias("ti"), "fn", "no_change_fp_rate", "overall")
-    near = spread.groupBy("bi", "ti").agg(
+    spread = t.select(*family, F.explode(F.sequence(F.col("bi") - 1, F.col("bi") + 1)).alias("bi"), "ti", misses.alias("fn"), "no_change_fp_rate", "overall")
+    spread = spread.select(*family, "bi", F.explode(F.sequence(F.col("ti") - 1, F.col("ti") + 1)).alias("ti"), "fn", "no_change_fp_rate", "overall")
+    near = spread.groupBy(*family, "bi", "ti").agg(
         F.max("fn").alias("worst_fn"), F.max("no_change_fp_rate").alias("worst_fp"), F.avg("overall").alias("neighbor_mean"), (F.max("overall") - F.min("overall")).alias("spread"))
-    return t.join(near, ["bi", "ti"]).drop("bi", "ti")
+    return t.join(near, [*family, "bi", "ti"]).drop("bi", "ti")
+
+
+def calibration_presets(sweep: DataFrame, baseline: float) -> DataFrame:
+    """(preset, stage, trial_id): the winners of a sweep. Conservative and aggressive come from the last search stage; balanced is the centre with the fewest
+    misses in its neighbourhood, then a stable one that isn't below the ``baseline`` score, then fewest alarms, best score, fewest alarms around it and best mean."""
+    last, centres = sweep.filter("stage = 'total'"), sweep.filter("stage = 'robustness'")
+    priority = F.struct((-F.col("worst_fn")).alias("a"), (F.col("spread") <= ROBUST_SPREAD).alias("b"), (F.col("overall") >= baseline).alias("c"), (-F.col("no_change_fp_rate")).alias("d"),
+                        F.col("overall").alias("e"), (-F.col("worst_fp")).alias("f"), F.col("neighbor_mean").alias("g"), (-F.col("trial_id")).alias("h"))
+    chosen = [last.agg(F.max_by("trial_id", rank_key(k)).alias("trial_id")).select(F.lit(k).alias("preset"), F.lit("total").alias("stage"), "trial_id") for k in ("conservative", "aggressive")]
+    return reduce(DataFrame.unionByName, [*chosen, centres.agg(F.max_by("trial_id", priority).alias("trial_id")).select(F.lit("balanced").alias("preset"), F.lit("robustness").alias("stage"), "trial_id")])
 
 
 # --- gates and transitions ------------------------------------------------------------------

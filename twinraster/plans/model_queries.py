@@ -75,9 +75,29 @@ def logistic_fit(spark, sf):
 
 @query("a32_out_of_fold_grid")
 def out_of_fold(spark, sf):
-    rows = P.grouped_folds(training(spark, sf).filter("class_name = 'new_building'"), "pair_id", 5)
-    scored, _ = L.out_of_fold(cut(rows), NAMES, "label", "fold", 5, 2.0)
-    return L.threshold_grid(scored, "label").select("threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fp_reduction")
+    """Every fold's rows are scored by a fit on the others, for each class; the chosen threshold of a class is marked."""
+    scored = []
+    for c in ("new_building", "tree_removal"):
+        rows = P.grouped_folds(training(spark, sf).filter(F.col("class_name") == c), "pair_id", 5)
+        scored.append(L.out_of_fold(cut(rows), NAMES, "label", "fold", 5, 2.0)[0])
+    grid = L.threshold_grid(scored[0].unionByName(scored[1]), "label", by=["class_name"])
+    chosen = L.choose_operating_points(grid).withColumn("chosen", F.lit(True))
+    return grid.join(F.broadcast(chosen), ["class_name", "threshold"], "left").select(  # a row per class
+        "class_name", "threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fp_reduction", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query("a32_operating_points", "WITH " + V.CANDIDATES_SQL + """,
+g AS (SELECT class_name, t, count(*) FILTER (WHERE confidence>=t AND is_true) tp, count(*) FILTER (WHERE confidence>=t AND NOT is_true) fp, count(*) FILTER (WHERE confidence<t AND is_true) fn, count(*) FILTER (WHERE confidence<t AND NOT is_true) tn
+ FROM cand, (SELECT round(0.2::DOUBLE+0.05::DOUBLE*i,2) AS t FROM range(13) r(i)) GROUP BY ALL),
+m AS (SELECT *, tp/greatest(tp+fp,1) p, tp/greatest(tp+fn,1) r FROM g), k AS (SELECT *, round(r,4) AS rc, round(2*p*r/greatest(p+r,1e-6),4) AS f, round(tn/greatest(tn+fp,1),4) AS fr FROM m),
+o AS (SELECT *, rc>=CASE class_name WHEN 'new_building' THEN 0.88 ELSE 0.94 END AND t<=CASE class_name WHEN 'new_building' THEN 0.55 ELSE 0.2 END AS ok FROM k)
+SELECT class_name, t AS threshold, tp, fp, fn, tn, rc AS recall, f AS f1, fr AS fp_reduction FROM o
+QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY ok DESC, CASE WHEN ok THEN -fr WHEN class_name='new_building' THEN -f ELSE abs(t-0.2) END, CASE WHEN ok THEN -f ELSE t END, t)=1""")
+def operating_points(spark, sf):
+    """The rule on scores that need no fit: one threshold per class with its counts."""
+    scored = V.candidates(spark, sf).select("class_name", F.col("is_true").cast("int").alias("label"), F.col("confidence").cast("double").alias("oof"))
+    grid = L.threshold_grid(scored, "label", by=["class_name"])
+    return grid.join(L.choose_operating_points(grid), ["class_name", "threshold"]).select("class_name", "threshold", "tp", "fp", "fn", "tn", "recall", "f1", "fp_reduction")
 
 
 @query("a33_feature_separation", "WITH " + V.CANDIDATES_SQL + """

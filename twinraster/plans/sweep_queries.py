@@ -177,7 +177,7 @@ def staged_search(spark, sf):
 @query("u06_calibration_sweep")
 def calibration(spark, sf):
     sweep = W.calibration_sweep(evaluator(spark, sf), [0.5, 0.7], [2, 5], [5, 10])
-    return sweep.select("stage", "trial_id", "b_threshold", "t_threshold", "b_min_area", "t_min_area", "b_min_pos_area", "t_min_pos_area", *r6("overall", "no_change_fp_rate"))
+    return sweep.select("stage", "trial_id", "b_threshold", "t_threshold", "b_min_area", "t_min_area", "b_min_pos_area", "t_min_pos_area", *r6("overall", "no_change_fp_rate"), "worst_fn", *r6("worst_fp", "neighbor_mean", "spread"))
 
 
 @query("j18_transitions", exclusive_sql(values([TRIALS[0], TRIALS[8]])) + """,

@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import manifest as M
 from ..operators import ordering as O
 from ..operators import splits as P
+from ..operators.reviews import apply_reviews, review_issues
 from ..operators.settings import resolve_settings, setting_conflicts
 from ..session import scratch_path
 from ..sources import tables as S
@@ -326,6 +327,44 @@ def flags(spark, sf):
         X.is_true(F.col("toxic").cast("string")).alias("toxic_flag"))
 
 
+def review_case(spark, sf, broken):
+    """Decisions on two of three documents; with ``broken`` every seventh breaks a rule of its own."""
+    k = F.col("doc_id")
+    rows = V.manifest(spark, sf).select("id", "doc_id", "region_id", F.lit("NAIP").alias("source"), (k % 50 == 49).alias("synthetic"), "audit_status")
+    accept, quiet = k % 3 == 0, k % 2 == 0
+    bad = lambda n: F.lit(broken) & (k % 7 == 0) & (F.floor(k / 7) % 6 == n)
+    mask = lambda c: F.concat(F.when(bad(0), "proposed_").otherwise("final_"), "id", F.lit(f"_{c}.png"))
+    masks = F.when(quiet, F.create_map().cast("map<string,string>")).when(bad(1), F.create_map(F.lit("new_building"), mask("b"))).otherwise(
+        F.create_map(F.lit("new_building"), mask("b"), F.lit("tree_removal"), mask("t")))
+    said = rows.filter((k % 3 != 2) & ((k % 50 != 49) | F.lit(broken)))
+    said = said.select(
+        "id", F.when(accept, "accept").when(k % 6 == 1, "review").otherwise("reject").alias("status"), F.when(accept & ~bad(2), "HIGH").otherwise("LOW").alias("confidence"),
+        F.when(bad(3), "").otherwise("seen").alias("notes"), F.lit("board.png").alias("board"), F.lit(True).alias("full_tile_reviewed"), F.when(bad(4), " ").otherwise("aligned").alias("alignment_review"),
+        F.when(quiet, "no_change").otherwise("change").alias("class"), masks.alias("masks"), F.when(~quiet & ~bad(5), "own work").alias("label_license"), F.lit(None).cast("string").alias("negative_type"))
+    return rows, said.unionByName(said.filter(F.col("id").endswith("99") & F.lit(broken)))
+
+
+@query("v14_review_outcomes", WITH + """
+SELECT id, doc_id%3=0 AND doc_id%50<>49 AS accepted, CASE WHEN doc_id%3=2 OR doc_id%50=49 THEN 'pending' WHEN doc_id%3=0 THEN 'accept' WHEN doc_id%6=1 THEN 'review' ELSE 'reject' END AS review_status,
+ CASE WHEN doc_id%3=2 OR doc_id%50=49 THEN 'UNREVIEWED' WHEN doc_id%3=0 THEN 'HIGH' ELSE 'LOW' END AS confidence, CASE WHEN doc_id%3=0 AND doc_id%50<>49 THEN CASE WHEN doc_id%2=0 THEN 'absent' ELSE 'final_'||id||'_t.png' END END AS tree_removal FROM manifest""")
+def review_outcomes(spark, sf):
+    """Accepted rows and the queue of a sound set of decisions, in one table."""
+    rows, said = review_case(spark, sf, False)
+    accepted, queue = apply_reviews(rows, said, "reviewer-1", "side by side", "public record")
+    cols = ["id", "accepted", "review_status", "confidence", "tree_removal"]
+    return accepted.withColumn("accepted", F.lit(True)).select(cols).unionByName(queue.withColumns({"accepted": F.lit(False), "tree_removal": F.lit(None).cast("string")}).select(cols))
+
+
+@query("v14_review_issues", WITH + """,
+d AS (SELECT *, doc_id%3=0 AS ac, doc_id%2=0 AS q, CASE WHEN doc_id%7=0 THEN (doc_id//7)%6 ELSE 9 END AS b, CASE WHEN id LIKE '%99' THEN 2 ELSE 1 END AS n FROM manifest WHERE doc_id%3<>2),
+i AS (SELECT id, n, unnest(list_filter([CASE WHEN n>1 THEN 'duplicate id' END, CASE WHEN b=3 THEN 'notes' END, CASE WHEN ac AND b=2 THEN 'only explicit HIGH decisions are accepted' END, CASE WHEN ac AND doc_id%50=49 THEN 'real NAIP pairs only' END,
+ CASE WHEN ac AND b=4 THEN 'alignment decision' END, CASE WHEN ac AND NOT q AND b=1 THEN 'both reviewed masks and no others' END, CASE WHEN ac AND NOT q AND b=5 THEN 'label licence' END, CASE WHEN ac AND NOT q AND b=0 THEN 'candidate evidence is no final mask' END], lambda s: s IS NOT NULL)) AS reason FROM d)
+SELECT id, reason FROM i, range(2) r(k) WHERE k<n""")
+def review_problems(spark, sf):
+    rows, said = review_case(spark, sf, True)
+    return review_issues(rows, said, "public record")
+
+
 # --- joins, groups, splits ----------------------------------------------------------
 
 @query("j01_temporal_pairs", "WITH " + V.ACQUISITIONS_SQL + """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import f1, ratio, reasons
 from ..session import cut
+from ..sources.tables import reject_any
 from . import runs as R
 from . import scoring as S
 
@@ -325,6 +326,57 @@ def promotion_gate(candidate: DataFrame, baseline: DataFrame, by: list[str]) ->
     return j.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))).alias("reasons")).withColumn("passed", F.size("reasons") == 0)
 
 
+def _against(candidate: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
+    """Candidate rows per (by, class_name) beside the baseline's row of the class; a candidate on another population is an error."""
+    cols = ["num_samples", "no_change_count", "tp", "shape_score", "overall"]
+    j = candidate.join(F.broadcast(baseline.select("class_name", *[F.col(c).alias(f"old_{c}") for c in cols])), "class_name")  # a row per class
+    reject_any(j.filter((F.col("num_samples") != F.col("old_num_samples")) | (F.col("no_change_count") != F.col("old_no_change_count"))).select(*by, "class_name"), "validation populations differ")
+    return j
+
+
+def _verdicts(rows: DataFrame, by: list[str], *rules: tuple[Column, Column]) -> DataFrame:
+    each = F.filter(F.array(*[F.when(broken, text) for broken, text in rules]), lambda r: r.isNotNull())
+    return rows.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))).alias("reasons")).withColumn("passed", F.size("reasons") == 0)
+
+
+def local_gate(candidate: DataFrame, baseline: DataFrame, by: list[str], required: dict[str, int], max_false_alarms: int, min_score: float = 0.50) -> DataFrame:
+    """(by, reasons, passed) on the real population: every positive of a class found, shape kept to 95 percent, few enough false alarms and score enough.
+
+    Both tables hold one row per class (and candidate) with num_samples, no_change_count, no_change_fp_any, gt_positive_count, tp, shape_score and overall."""
+    j = _against(candidate, baseline, by)
+    need = reduce(lambda rest, c: F.when(F.col("class_name") == c, required[c]).otherwise(rest), required, F.lit(None).cast("int"))
+    who = lambda text: F.concat("class_name", F.lit(f": {text}"))
+    return _verdicts(
+        j, by, ((F.col("gt_positive_count") != need) | (F.col("tp") != need), F.concat("class_name", F.lit(": recall must be "), need.cast("string"), F.lit("/"), need.cast("string"))),
+        (F.col("shape_score") + 1e-10 < 0.95 * F.col("old_shape_score"), who("shape score dropped more than 5 percent")),
+        (F.col("no_change_fp_any") > max_false_alarms, F.lit(f"real no-change false positives above {max_false_alarms}")), (F.col("overall") < min_score, F.lit(f"real score below {min_score:.2f}")))
+
+
+def stress_gate(candidate: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
+    """(by, reasons, passed) on the stress population: no loss of more than 5 percent in found positives, shape or score."""
+    who = lambda text: F.concat("class_name", F.lit(f": {text}"))
+    return _verdicts(
+        _against(candidate, baseline, by), by, (F.col("tp") < 0.95 * F.col("old_tp"), who("stress TP dropped more than 5 percent")),
+        (F.col("shape_score") + 1e-10 < 0.95 * F.col("old_shape_score"), who("stress shape dropped more than 5 percent")),
+        (F.col("overall") + 1e-10 < 0.95 * F.col("old_overall"), F.lit("stress overall score dropped more than 5 percent")))
+
+
+def rank_finalists(candidate: DataFrame, baseline: DataFrame, gates: DataFrame, rule: str, preferred, min_score: float = 0.50, margin: float = 0.01) -> DataFrame:
+    """(rule, place from 1): rules that keep every class's found positives, 95 percent of its shape and the least score; those that pass the gate first, then fewest
+    false alarms, then best score. The ``preferred`` rule goes first where it equals the first one but for a score within ``margin``.
+
+    A row per rule: their number is that of the settings compared, so one task ranks them."""
+    old = baseline.select("class_name", F.col("tp").alias("old_tp"), F.col("shape_score").alias("old_shape"))
+    kept = (F.col("tp") == F.col("old_tp")) & (F.col("shape_score") >= 0.95 * F.col("old_shape")) & (F.col("overall") >= min_score)
+    rules = candidate.join(F.broadcast(old), "class_name").groupBy(rule).agg(  # a row per class
+        F.bool_and(kept).alias("ok"), F.max("no_change_fp_any").alias("fp"), F.max("overall").alias("score")).filter("ok").join(gates.select(rule, "passed"), rule)
+    order = Window.orderBy(F.desc("passed"), "fp", F.desc("score"), rule)
+    first = lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    alike = (F.col(rule) == preferred) & (F.col("passed") == first("passed")) & (F.col("fp") == first("fp")) & (F.col("score") >= first("score") - margin)
+    placed = rules.select(rule, F.when(alike, 0).otherwise(F.row_number().over(order)).alias("_p"))
+    return placed.select(rule, F.row_number().over(Window.orderBy("_p")).alias("place"))
+
+
 # The names of the transitions and the gate texts above are fixed values.
 def transition(truth: Column, old: Column, new: Column) -> Column:
     return (

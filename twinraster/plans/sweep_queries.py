@@ -221,6 +221,57 @@ def rule_choice(spark, sf):
     return W.select_rule(rules, [f"T{i}" for i in range(8, 0, -1)])
 
 
+def trial_metrics(spark, sf):
+    """(rule, class_name, metrics) of all trials; the first is the baseline."""
+    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
+    positives = quiet_truth(spark, sf).select(*R.TILE).distinct().groupBy("class_name").agg(F.count(F.lit(1)).alias("gt_positive_count"))
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("class_name"), F.col(f"{c}_tp").alias("tp"), F.col(f"{c}_shape_score").alias("shape_score")) for c in S.CLASSES]))
+    size = V.presence(spark, sf).agg(F.countDistinct("pair_id"))
+    m = s.select("trial_id", "no_change_fp_any", "no_change_count", "overall", rows).join(positives, "class_name")
+    return m.withColumns({"num_samples": size.scalar(), "rule": F.concat(F.lit("T"), "trial_id")})
+
+
+FINAL_SQL = GATE_SQL + """,
+need AS (SELECT class_name, tp AS tp0, ss AS ss0, overall AS ov0 FROM mt WHERE trial=0),
+lg AS (SELECT m.trial, list_filter([CASE WHEN gp<>tp0 OR tp<>tp0 THEN class_name||': recall must be '||tp0||'/'||tp0 END, CASE WHEN ss+1e-10<0.95*ss0 THEN class_name||': shape score dropped more than 5 percent' END,
+ CASE WHEN nf>30 THEN 'real no-change false positives above 30' END, CASE WHEN overall<0.40 THEN 'real score below 0.40' END], lambda s: s IS NOT NULL) AS r FROM mt m JOIN need USING (class_name) WHERE trial>0),
+sg AS (SELECT m.trial, list_filter([CASE WHEN tp<0.95*tp0 THEN class_name||': stress TP dropped more than 5 percent' END, CASE WHEN ss+1e-10<0.95*ss0 THEN class_name||': stress shape dropped more than 5 percent' END,
+ CASE WHEN overall+1e-10<0.95*ov0 THEN 'stress overall score dropped more than 5 percent' END], lambda s: s IS NOT NULL) AS r FROM mt m JOIN need USING (class_name) WHERE trial>0),
+gv AS (SELECT 'local' AS gate, trial, list_sort(list_distinct(flatten(list(r)))) AS r FROM lg GROUP BY trial UNION ALL SELECT 'stress', trial, list_sort(list_distinct(flatten(list(r)))) FROM sg GROUP BY trial)"""
+
+
+def final_gates(m, needed):
+    base, rest = m.filter("trial_id = 0"), m.filter("trial_id > 0")
+    return W.local_gate(rest, base, ["rule"], needed, 30, 0.40), W.stress_gate(rest, base, ["rule"])
+
+
+@query("j17_final_gates", FINAL_SQL + " SELECT gate, 'T'||trial AS rule, array_to_string(r, ' | ') AS reasons, len(r)=0 AS passed FROM gv")
+def local_and_stress_gates(spark, sf):
+    m = cut(trial_metrics(spark, sf))
+    needed = {r.class_name: int(r.tp) for r in m.filter("trial_id = 0").collect()}  # what the baseline finds, a number per class
+    named = [g.select(F.lit(n).alias("gate"), "rule", F.array_join("reasons", " | ").alias("reasons"), "passed") for n, g in zip(("local", "stress"), final_gates(m, needed))]
+    return named[0].unionByName(named[1])
+
+
+RULES_SQL = """WITH c AS (SELECT c_custkey//2%40 AS k, abs(c_acctbal) AS v, CASE WHEN c_custkey%2=0 THEN 'new_building' ELSE 'tree_removal' END AS class_name FROM customer),
+w AS (SELECT k, k%3 AS nf, round(avg(v)/8000,4) AS score, k%2<>0 AS p FROM c GROUP BY 1), m AS (SELECT k, class_name, 5+CAST(k%7=0 AS INTEGER) AS tp, round(avg(v)/10000,4) AS ss FROM c GROUP BY 1, 2),
+ok AS (SELECT m.k FROM m JOIN w USING (k) JOIN (SELECT class_name, tp AS t0, ss AS s0 FROM m WHERE k=4) b USING (class_name) GROUP BY 1 HAVING bool_and(tp=t0 AND ss>=0.95*s0 AND score>=0.5)),
+od AS (SELECT w.*, row_number() OVER (ORDER BY p DESC, nf, score DESC, k) AS n FROM w JOIN ok USING (k)),
+pf AS (SELECT od.*, od.k=(SELECT max(k) FROM od) AND od.p=b.p AND od.nf=b.nf AND od.score>=b.score-0.2 AS up FROM od, (SELECT * FROM od WHERE n=1) b)"""
+
+
+@query("w05_rank_finalists", RULES_SQL + " SELECT k AS rule, CAST(row_number() OVER (ORDER BY CASE WHEN up THEN 0 ELSE n END) AS INTEGER) AS place FROM pf")
+def finalists(spark, sf):
+    """Rules with metrics of their own, a rule per group of customers; the last eligible one is preferred."""
+    v = F.abs("c_acctbal").cast("double")
+    c = V.table(spark, sf, "customer").select((F.floor(F.col("c_custkey") / 2) % 40).alias("rule"), v.alias("v"), F.when(F.col("c_custkey") % 2 == 0, "new_building").otherwise("tree_removal").alias("class_name"))
+    whole = c.groupBy("rule").agg(F.max(F.col("rule") % 3).alias("no_change_fp_any"), F.round(F.avg("v") / 8000, 4).alias("overall"))
+    m = cut(c.groupBy("rule", "class_name").agg(F.max(5 + (F.col("rule") % 7 == 0).cast("int")).alias("tp"), F.round(F.avg("v") / 10000, 4).alias("shape_score")).join(whole, "rule"))
+    base, gates = m.filter("rule = 4"), whole.select("rule", (F.col("rule") % 2 != 0).alias("passed"))
+    last = W.rank_finalists(m, base, gates, "rule", -1).agg(F.max("rule")).first()[0]  # one number
+    return W.rank_finalists(m, base, gates, "rule", last, 0.5, 0.2)
+
+
 @query("w16_keep_threshold", "WITH " + V.CANDIDATES_SQL + """,
 k AS (SELECT class_name, CASE WHEN pair_id%4=0 THEN 'legacy' ELSE 'stress' END AS population, thr, count(*) FILTER (WHERE NOT is_true AND score>=thr) AS fp, count(*) FILTER (WHERE is_true AND score>=thr)/count(*) FILTER (WHERE is_true) AS rec, avg(((score>=thr)=is_true)::INT) AS sc
  FROM cand, (VALUES (0.0::DOUBLE),(0.03::DOUBLE),(0.05::DOUBLE),(0.1::DOUBLE),(0.2::DOUBLE)) t(thr) GROUP BY ALL),

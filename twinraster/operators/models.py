@@ -290,6 +290,14 @@ def pair_veto(rows: DataFrame, verdicts: DataFrame, cells: list[str]) -> DataFra
     return j.select(*[F.when(ok, F.col(c)).otherwise("").alias(c) if c in cells else F.col(c) for c in rows.columns])
 
 
+def veto_records(records: DataFrame, verdicts: DataFrame, min_pos_area: float = 0.0) -> DataFrame:
+    """Component records (pair_id, class_name, area, kept) with ``kept`` as it is after both gates: false for every component of a rejected pair, and for
+    those of a class of whose kept components too little area is left, as its cell is emptied."""
+    j = records.join(verdicts.select("pair_id", "keep_pair"), "pair_id", "left").withColumn("kept", F.coalesce(F.col("kept"), F.lit(False)) & F.coalesce("keep_pair", F.lit(True))).drop("keep_pair")
+    left = j.groupBy(*R.TILE).agg((F.sum(F.when(F.col("kept"), F.col("area")).otherwise(0.0)) >= min_pos_area).alias("_enough"))
+    return j.join(left, R.TILE).withColumn("kept", F.col("kept") & F.col("_enough")).drop("_enough")
+
+
 def separation(candidates: DataFrame, features: list[str], margins: list[float]) -> DataFrame:
     """Mean of each feature for true and other candidates per class, with a separation flag."""
     g = candidates.groupBy("class_name").agg(*[F.avg(F.when(F.col("has_truth") == b, F.col(f))).alias(f"{f}_{n}") for f in features for b, n in ((True, "true"), (False, "other"))])

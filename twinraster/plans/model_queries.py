@@ -170,3 +170,13 @@ def pair_veto(spark, sf):
     verdicts = EQ.pair_table(spark, sf).select("pair_id", (L.linear_probability(GATE_NAMES, GATE) >= 0.5).alias("keep_pair"))
     rows = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderstatus").alias("new_building"), F.col("o_orderpriority").alias("tree_removal"))
     return L.pair_veto(rows, verdicts, ["new_building", "tree_removal"])
+
+
+@query("r30_vetoed_records", EQ.PAIR_SQL + """,
+g AS (SELECT p.pair_id, 1/(1+exp(-(0.1+(p.c-4)/2*0.4+(p.mk-0.7)/0.2*0.9+(coalesce(b.m1,0)-coalesce(t.m1,0))/0.5*0.3)::DOUBLE))>=0.5 AS ok FROM ag p LEFT JOIN ag b ON b.pair_id=p.pair_id AND b.scope='building' LEFT JOIN ag t ON t.pair_id=p.pair_id AND t.scope='tree' WHERE p.scope='pair'),
+k AS (SELECT cand.pair_id, class_name, component_id, area, kept AND coalesce(ok,true) AS kept FROM cand LEFT JOIN g USING (pair_id))
+SELECT pair_id, class_name, component_id, kept AND coalesce(sum(area) FILTER (WHERE kept) OVER (PARTITION BY pair_id, class_name),0)>=60 AS kept FROM k""")
+def vetoed_records(spark, sf):
+    verdicts = EQ.pair_table(spark, sf).select("pair_id", (L.linear_probability(GATE_NAMES, GATE) >= 0.5).alias("keep_pair"))
+    records = V.candidates(spark, sf).withColumn("area", F.col("area").cast("double"))
+    return L.veto_records(records, verdicts, 60.0).select(*R.TILE, "component_id", "kept")

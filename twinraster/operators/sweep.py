@@ -174,15 +174,16 @@ def preset_winners(summary: DataFrame) -> DataFrame:
     return summary.agg(*[F.max_by("trial_id", rank_key(k)).alias(k) for k in PRESETS])
 
 
-def cartesian(grid: dict[str, dict[str, list]], base: dict[str, dict] | None = None) -> list[dict]:
-    """All settings of a {class: {parameter: values}} grid."""
+def cartesian(grid: dict[str, dict[str, list]], base: dict[str, dict] | None = None, shared: dict[str, list] | None = None) -> list[dict]:
+    """All settings of a {class: {parameter: values}} grid; a value of ``shared`` ({parameter: values}) holds for both classes at once."""
     base = base or {"new_building": {}, "tree_removal": {}}
-    axes = [(c, p, v) for c, params in grid.items() for p, v in params.items()]
+    axes = [((c,), p, v) for c, params in grid.items() for p, v in params.items()] + [(tuple(S.CLASSES), p, v) for p, v in (shared or {}).items()]
     out = []
     for i, values in enumerate(product(*[v for _, _, v in axes])):
         chosen = {c: dict(base[c]) for c in S.CLASSES}
-        for (c, p, _), value in zip(axes, values):
-            chosen[c][p] = value
+        for (classes, p, _), value in zip(axes, values):
+            for c in classes:
+                chosen[c][p] = value
         out.append(trial(i, chosen["new_building"], chosen["tree_removal"]))
     return out
 

@@ -142,3 +142,8 @@ def test_a_text_longer_than_a_block(spark, libraries, monkeypatch):
     want = brute_force(libraries, [text[:0], text])[1]
     assert (found["n_a"][0], found["n_b"][0], found["n_groups"][0], found["n_links"][0]) == want[:4]
     assert hashlib.sha256(found["groups"][0].as_py().encode()).hexdigest() == want[6]
+
+
+def test_a_block_without_tokens(spark):
+    found = aligned_counts(spark.createDataFrame([(1, None), (2, ""), (3, "▁")], "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in found) == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2, 3)]

@@ -95,12 +95,29 @@ def grid_neighbours(spark, sf):
 
 # --- exclusive trials ------------------------------------------------------------------
 
+def tile_rows(spark, sf, *names):
+    """Line items placed by tile, so that what follows per tile needs no further exchange."""
+    return R.tile_partition(V.table(spark, sf, "lineitem").select("l_suppkey", "l_linestatus", "l_partkey", "l_orderkey", *names).withColumnRenamed("l_suppkey", "pair_id"), ["pair_id"])
+
+
+def tile_cell():
+    return [(F.col("l_partkey") % V.SIDE).cast("int").alias("y"), (F.col("l_orderkey") % V.SIDE).cast("int").alias("x")]
+
+
 def wide_maps(spark, sf):
-    b, t = [F.max(F.when(F.col("class_name") == c, F.col("p")).otherwise(0.0)) for c in S.CLASSES]
-    w = V.tile_pixels(spark, sf).groupBy("pair_id", "y", "x").agg(b.alias("p1"), t.alias("p2"))
+    """The maps of ``V.tile_pixels`` with a column per class."""
+    p = [F.max(F.when(c, F.col("l_discount") + 0.0).otherwise(0.0)) * 10.0 for c in (F.col("l_linestatus").eqNullSafe("O"), ~F.col("l_linestatus").eqNullSafe("O"))]
+    w = tile_rows(spark, sf, "l_discount").groupBy("pair_id", *tile_cell()).agg(p[0].alias("p1"), p[1].alias("p2"))
     return w.withColumn("p0", 1 - F.greatest("p1", "p2"))
 
 
+def placed_truth(spark, sf):
+    """``quiet_truth`` placed by tile."""
+    rows = tile_rows(spark, sf, "l_returnflag").filter("pair_id % 3 <> 0")
+    name = F.when(F.col("l_linestatus") == "O", S.CLASSES[0]).otherwise(S.CLASSES[1]).alias("class_name")
+    return R.to_runs(rows.groupBy("pair_id", name, *tile_cell()).agg((F.max("l_returnflag") == "R").alias("truth")).filter("truth"))
+
+
 WIDE_SQL = V.TILE_SQL + """,
 wd AS (SELECT pair_id, y, x, max(CASE WHEN class_name='new_building' THEN p ELSE 0 END) p1, max(CASE WHEN class_name='tree_removal' THEN p ELSE 0 END) p2 FROM px GROUP BY ALL),
 wp AS (SELECT *, 1-greatest(p1,p2) AS p0 FROM wd)"""
@@ -131,7 +148,7 @@ def values(trials):
 
 def evaluator(spark, sf):
     def run(trials):
-        out = W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), trials, V.SIDE, V.SIDE)
+        out = W.trial_outcomes(wide_maps(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), trials, V.SIDE, V.SIDE)
         return W.with_settings(W.trial_summary(out), trials)
     return run
 
@@ -184,7 +201,7 @@ def calibration(spark, sf):
 jn AS (SELECT a.tile, class_name, a.t, a.q AS o, b.q AS n FROM oc a JOIN oc b USING (tile, class_name) WHERE a.trial=0 AND b.trial=8)
 SELECT class_name, CASE WHEN t AND o AND n THEN 'TP_preserved' WHEN t AND o THEN 'TP_lost' WHEN o AND n THEN 'FP_still' WHEN o THEN 'FP_fixed' WHEN t AND NOT n THEN 'new_FN' WHEN NOT t AND n THEN 'new_FP' ELSE 'unchanged' END AS transition, count(*) AS n FROM jn GROUP BY ALL""")
 def transitions(spark, sf):
-    out = W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), [TRIALS[0], TRIALS[8]], V.SIDE, V.SIDE)
+    out = W.trial_outcomes(wide_maps(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), [TRIALS[0], TRIALS[8]], V.SIDE, V.SIDE)
     t = W.transitions(out.filter("trial_id = 0").drop("trial_id"), out.filter("trial_id = 8").drop("trial_id"))
     return t.groupBy("class_name", "transition").agg(F.count(F.lit(1)).alias("n"))
 
@@ -199,7 +216,7 @@ rs AS (SELECT trial, unnest(list_filter([CASE WHEN r3 THEN 'legacy: overall scor
  CASE WHEN r2 THEN 'legacy/'||class_name||': shape score dropped more than 5 percent' END, CASE WHEN r4 THEN 'legacy: real no-change false positives did not decrease' END], lambda s: s IS NOT NULL)) AS r FROM gt2)
 SELECT t.trial AS trial_id, coalesce(string_agg(DISTINCT r, ' | ' ORDER BY r),'') AS reasons, count(r)=0 AS passed FROM (SELECT DISTINCT trial FROM gt2) t LEFT JOIN rs USING (trial) GROUP BY 1""")
 def promotion(spark, sf):
-    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
+    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
     rows = F.inline(F.array(*[F.struct(F.lit("legacy").alias("population"), F.lit(c).alias("class_name"), F.col(f"{c}_tp").alias("tp"), F.col(f"{c}_shape_score").alias("shape_score"),
                                        (F.col(f"{c}_tp") + F.col(f"{c}_fn")).alias("gt_positive_count"), (F.col(f"{c}_tp") + F.col(f"{c}_fn") + F.col(f"{c}_fp") + F.col(f"{c}_tn")).alias("num_samples")) for c in S.CLASSES]))
     m = s.select("trial_id", "overall", "no_change_fp_any", "no_change_count", rows)
@@ -212,7 +229,7 @@ el AS (SELECT g.class_name, g.trial, (mf+ss)/2 AS score, nf FROM gt2 g JOIN sc U
 f1 AS (SELECT *, min(nf) OVER (PARTITION BY class_name) mf FROM el), f2 AS (SELECT *, max(score) OVER (PARTITION BY class_name) ms FROM f1 WHERE nf=mf)
 SELECT class_name, min_by('T'||trial, list_position([8,7,6,5,4,3,2,1], trial)) AS rule FROM f2 WHERE score>=ms-0.01 GROUP BY 1""")
 def rule_choice(spark, sf):
-    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
+    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
     rows = F.inline(F.array(*[F.struct(F.lit(c).alias("class_name"), F.col(f"{c}_tp").alias("tp"), F.col(f"{c}_shape_score").alias("shape"), F.col(f"{c}_score").alias("score")) for c in S.CLASSES]))
     m = s.select("trial_id", F.col("no_change_fp_any").alias("fp_count"), rows)
     base = m.filter("trial_id = 0").select("class_name", F.col("tp").alias("tp0"), F.col("shape").alias("shape0"))
@@ -223,7 +240,7 @@ def rule_choice(spark, sf):
 
 def trial_metrics(spark, sf):
     """(rule, class_name, metrics) of all trials; the first is the baseline."""
-    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
+    s = cut(W.trial_summary(W.trial_outcomes(wide_maps(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), TRIALS, V.SIDE, V.SIDE)))
     positives = quiet_truth(spark, sf).select(*R.TILE).distinct().groupBy("class_name").agg(F.count(F.lit(1)).alias("gt_positive_count"))
     rows = F.inline(F.array(*[F.struct(F.lit(c).alias("class_name"), F.col(f"{c}_tp").alias("tp"), F.col(f"{c}_shape_score").alias("shape_score")) for c in S.CLASSES]))
     size = V.presence(spark, sf).agg(F.countDistinct("pair_id"))

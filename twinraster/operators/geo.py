@@ -150,7 +150,8 @@ def valid_tiles(tiles: DataFrame, valid: list[DataFrame], size: int, min_valid:
     shared = R.sweep(layers, [key]).filter(everywhere)
     counts = split_by_tile(shared, [key], size).groupBy(key, (F.col("tile_y") * size).alias("row"), (F.col("tile_x") * size).alias("col")).agg(F.sum(F.col("x1") - F.col("x0")).alias("_n"))
     share = F.coalesce(F.col("_n"), F.lit(0)) / F.lit(size * size)
-    return tiles.join(counts, [key, "row", "col"], "left").withColumn("valid_fraction", share).filter(F.col("valid_fraction") >= min_valid).drop("_n")
+    # both sides are exploded from far smaller tables, by whose size Spark would broadcast one of them
+    return tiles.join(counts.hint("merge"), [key, "row", "col"], "left").withColumn("valid_fraction", share).filter(F.col("valid_fraction") >= min_valid).drop("_n")
 
 
 def to_pixel(x: Column, y: Column, a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> tuple[Column, Column]:

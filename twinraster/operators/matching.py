@@ -1,7 +1,6 @@
 """Component matching across views and stability evidence."""
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,21 +64,23 @@ def match_candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _walk(table: pa.Table) -> pa.Table:
-    """Arrow kernel: the greedy walk over the edges of one tile, class and view."""
-    iou, drift, i, j = (table.column(c).to_numpy() for c in ("iou", "drift", "i", "j"))
+    """Arrow kernel: the greedy walk over the ordered edges of tiles, classes and views."""
     used_i, used_j, taken = set(), set(), []
-    for k in np.lexsort((j, i, drift, -iou)).tolist():
-        if i[k] not in used_i and j[k] not in used_j:
-            used_i.add(i[k])
-            used_j.add(j[k])
+    for k, (at, i, j) in enumerate(zip(*(table.column(c).to_pylist() for c in ("_at", "i", "j")))):
+        if at == 1:
+            used_i, used_j = set(), set()
+        if i not in used_i and j not in used_j:
+            used_i.add(i)
+            used_j.add(j)
             taken.append(k)
-    return table.take(pa.array(taken))
+    return table.drop_columns("_at").take(pa.array(taken, pa.int64()))
 
 
 def greedy_match(edges: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one matching in the total order (-iou, drift, i, j), in one pass over the edges of each group of ``keys``. A group holds
     the neighbouring components of one tile and class, which the image bounds."""
-    return edges.groupBy(*keys).applyInArrow(_walk, edges.schema)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields)
+    return R.whole_groups(edges, keys, [F.desc("iou"), "drift", "i", "j"], _walk, shape)
 
 
 def match_components(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

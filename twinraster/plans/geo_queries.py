@@ -293,9 +293,7 @@ def planes(spark, sf):
 
 
 def residuals(spark, sf):
-    shifts = E.shift_table(spark, 2, N, N, N)
-    support, chosen = E.usable_support(region(spark, sf), shifts, N)
-    return E.shift_residuals(support, chosen, planes(spark, sf), shifts)
+    return E.shift_search(region(spark, sf), planes(spark, sf), E.shift_table(spark, 2, N, N, N), N)
 
 
 @query("a26_shift_residuals", RESIDUAL_SQL + f" SELECT {OWN}, dy, dx, round(res,6) AS residual, round(cs,6) AS cosine, round(n1,6) AS norm_l1, round(n2,6) AS norm_l2, round(rin,6) AS interior, round(rout,6) AS ring FROM rs")

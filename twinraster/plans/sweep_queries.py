@@ -30,7 +30,7 @@ def quiet_truth(spark, sf):
 
 
 def grid_outcomes(spark, sf):
-    return W.pixel_grid_outcomes(V.tile_pixels(spark, sf), quiet_truth(spark, sf), V.presence(spark, sf), PIXELS, V.SIDE, V.SIDE, 3, 5)
+    return W.pixel_grid_outcomes(placed_pixels(spark, sf), placed_truth(spark, sf), V.presence(spark, sf), PIXELS, V.SIDE, V.SIDE, 3, 5)
 
 
 # Outcomes for several masks at once: tiles of different masks get different pair ids.
@@ -111,11 +111,19 @@ def wide_maps(spark, sf):
     return w.withColumn("p0", 1 - F.greatest("p1", "p2"))
 
 
+def tile_class():
+    return F.when(F.col("l_linestatus") == "O", S.CLASSES[0]).otherwise(S.CLASSES[1]).alias("class_name")
+
+
+def placed_pixels(spark, sf):
+    """The maps of ``V.tile_pixels`` placed by tile."""
+    return tile_rows(spark, sf, "l_discount").groupBy("pair_id", tile_class(), *tile_cell()).agg((F.max(F.col("l_discount") + 0.0) * 10.0).alias("p"))
+
+
 def placed_truth(spark, sf):
     """``quiet_truth`` placed by tile."""
     rows = tile_rows(spark, sf, "l_returnflag").filter("pair_id % 3 <> 0")
-    name = F.when(F.col("l_linestatus") == "O", S.CLASSES[0]).otherwise(S.CLASSES[1]).alias("class_name")
-    return R.to_runs(rows.groupBy("pair_id", name, *tile_cell()).agg((F.max("l_returnflag") == "R").alias("truth")).filter("truth"))
+    return R.to_runs(rows.groupBy("pair_id", tile_class(), *tile_cell()).agg((F.max("l_returnflag") == "R").alias("truth")).filter("truth"))
 
 
 WIDE_SQL = V.TILE_SQL + """,

@@ -57,23 +57,25 @@ def parameter_violations(parameters: DataFrame, schema: list[str] | None = None)
 # --- weights and moments -----------------------------------------------------------------
 
 def stratum_weights(rows: DataFrame, cls: str = "class_name", label: str = "label", real: str = "real") -> DataFrame:
-    """Adds ``weight``: both labels carry half the mass; origins share it in fixed proportion."""
+    """Adds ``weight``: both labels carry half the mass; origins share it in fixed proportion. The table of strata, a row per class, label and origin, is
+    broadcast: rows exchanged by stratum would meet in a handful of tasks."""
     mass = F.when((F.col(label) == 0) & F.col(real), STRATUM_MASS[(0, True)]).when((F.col(label) == 0), STRATUM_MASS[(0, False)]).otherwise(0.5)
     sizes = rows.groupBy(cls, label, real).agg(F.count(F.lit(1)).alias("_n")).withColumn("_m", mass)
     share = F.col("_m") / F.sum("_m").over(Window.partitionBy(cls, label))
     total = F.sum("_n").over(Window.partitionBy(cls))
     table = sizes.withColumn("weight", 0.5 * share / F.col("_n") * total).select(cls, label, real, "weight")
-    return rows.join(table, [cls, label, real])
+    return rows.join(F.broadcast(table), [cls, label, real])
 
 
 def weighted_moments(rows: DataFrame, by: list[str], names: list[str], weight: str = "weight", floor: float = 1e-3) -> DataFrame:
-    """(by, feature, mean, scale, lower, upper); spreads are taken around the mean in a second pass, so large values keep their digits."""
+    """(by, feature, mean, scale, lower, upper); spreads are taken around the mean in a second pass, so large values keep their digits. The means, a row per
+    group and feature, are broadcast to that pass."""
     long = rows.select(*by, F.col(weight).alias("w"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])))
     g = long.groupBy(*by, "feature").agg(
         F.sum("w").alias("_w"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), F.min("v").alias("lower"), F.max("v").alias("upper"))
     g = cut(g)
     off = F.col("v") - F.col("mean")
-    spread = long.join(g.select(*by, "feature", "mean"), [*by, "feature"]).groupBy(*by, "feature").agg(F.sum(F.col("w") * off * off).alias("_q"))
+    spread = long.join(F.broadcast(g.select(*by, "feature", "mean")), [*by, "feature"]).groupBy(*by, "feature").agg(F.sum(F.col("w") * off * off).alias("_q"))
     return g.join(spread, [*by, "feature"]).select(*by, "feature", "mean", F.greatest(F.sqrt(F.col("_q") / F.col("_w")), F.lit(floor)).alias("scale"), "lower", "upper")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +85,13 @@ def _sums(table: DataFrame, work, width: int) -> np.ndarray:
     """Adds up a vector of partial sums computed per Arrow batch; ``width`` numbers reach the driver."""
     def partial(batches):
         total = np.zeros(width)
-        for pdf in batches:
-            if len(pdf):
-                total += work(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy(), pdf["held"].to_numpy())
-        yield pd.DataFrame({"pos": np.arange(width), "v": total})
+        for batch in batches:
+            if batch.num_rows:
+                y, w, held, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held", "n"))
+                total += work(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), y, w, held, n)
+        yield pa.RecordBatch.from_pydict({"pos": pa.array(np.arange(width, dtype=np.int32)), "v": pa.array(total)})
 
-    rows = table.mapInPandas(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    rows = table.mapInArrow(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(width)
     for r in rows:
         out[r.pos] = r.v
@@ -98,26 +99,29 @@ def _sums(table: DataFrame, work, width: int) -> np.ndarray:
 
 
 def design(rows: DataFrame, names: list[str], label: str, weight: Column | None = None, held: Column | None = None) -> DataFrame:
-    """Checkpointed (x, y, w, held) table; the last entry of ``x`` is the intercept."""
-    x = F.array(*[F.col(n).cast("double") for n in names], F.lit(1.0))
-    return cut(rows.select(x.alias("x"), F.col(label).cast("double").alias("y"), (F.lit(1.0) if weight is None else weight).alias("w"),
-                           (F.lit(-1) if held is None else held).cast("int").alias("held")))
+    """Checkpointed (x, y, w, held, n) table; the last entry of ``x`` is the intercept. Equal rows are one row that counts ``n`` times, as every pass of a
+    fit goes over the table."""
+    features = [f"_x{i}" for i in range(len(names))]
+    given = rows.select(*[F.col(c).cast("double").alias(x) for c, x in zip(names, features)], F.col(label).cast("double").alias("y"),
+                        (F.lit(1.0) if weight is None else weight).alias("w"), (F.lit(-1) if held is None else held).cast("int").alias("held"))
+    equal = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("n"))
+    return cut(equal.select(F.array(*features, F.lit(1.0)).alias("x"), "y", "w", "held", "n"))
 
 
 def fold_moments(table: DataFrame, d: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Mean and spread of every model's training rows, and its label counts; the spread is summed around the mean."""
-    def first(x, y, w, held):
-        return np.concatenate([np.concatenate([x[held != k, :d].sum(0), [(held != k).sum(), y[held != k].sum()]]) for k in range(models)])
+    def first(x, y, w, held, n):
+        return np.concatenate([np.concatenate([m @ x[:, :d], [m.sum(), m @ y]]) for m in (np.where(held != k, n, 0) for k in range(models))])
 
     t = _sums(table, first, models * (d + 2)).reshape(models, d + 2)
-    n = t[:, d]
-    mean = t[:, :d] / n[:, None]
+    count = t[:, d]
+    mean = t[:, :d] / count[:, None]
 
-    def second(x, y, w, held):
-        return np.concatenate([((x[held != k, :d] - mean[k]) ** 2).sum(0) for k in range(models)])
+    def second(x, y, w, held, n):
+        return np.concatenate([np.where(held != k, n, 0) @ (x[:, :d] - mean[k]) ** 2 for k in range(models)])
 
-    spread = np.sqrt(_sums(table, second, models * d).reshape(models, d) / n[:, None])
-    return mean, np.where(spread > 1e-6, spread, 1.0), n, t[:, d + 1]
+    spread = np.sqrt(_sums(table, second, models * d).reshape(models, d) / count[:, None])
+    return mean, np.where(spread > 1e-6, spread, 1.0), count, t[:, d + 1]
 
 
 #: Fixed values of the verifier fit: largest logit, smallest curvature, ridge and tolerance.
@@ -127,8 +131,8 @@ LOGIT_CLIP, CURVATURE_FLOOR, RIDGE, TOLERANCE = 40.0, 1e-8, 1e-8, 1e-8
 def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max_iter: int = 100, tol: float = TOLERANCE, standardise: bool = True, balanced: bool = True):
     """Newton steps for ``models`` logistic fits at once; model k leaves out rows with ``held == k``.
 
-    One job per step returns gradients and Hessians, another the penalised losses along the step, halved up to 27 times;
-    the longest part of it that doesn't raise the loss is taken. What a job returns depends on the number of features only,
+    One job per step returns gradients and Hessians, another the penalised losses before and after the step; where the whole step raises the loss, a third
+    one tries its parts, halved up to 26 times. The longest part that doesn't raise the loss is taken. What a job returns depends on the number of features only,
     and the d x d solves run on the driver. ``converged`` tells a fit that stopped moving from one that ran out of steps.
     """
     mean, scale, n, pos = fold_moments(table, d, models)
@@ -137,22 +141,22 @@ def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max
     beta = np.zeros((models, d + 1))
     size = (d + 1) * (d + 2)
     penalty = np.diag([l2] * d + [0.0])
-    parts = np.concatenate([[0.0], 0.5 ** np.arange(27)])
+    parts = 0.5 ** np.arange(1, 27)
     live = set(range(models))
 
-    def rows_of(k, x, y, w, held):
+    def rows_of(k, x, y, w, held, n_equal):
         m = held != k
         z = np.column_stack([(x[m, :d] - mean[k]) / scale[k], np.ones(m.sum())])
         # Balanced weights give both labels the same total.
-        return z, y[m], w[m] * (np.where(y[m] == 1, n[k] / (2 * max(pos[k], 1)), n[k] / (2 * max(n[k] - pos[k], 1))) if balanced else 1.0)
+        return z, y[m], w[m] * n_equal[m] * (np.where(y[m] == 1, n[k] / (2 * max(pos[k], 1)), n[k] / (2 * max(n[k] - pos[k], 1))) if balanced else 1.0)
 
     for _ in range(max_iter):
         current, active = beta.copy(), sorted(live)
 
-        def slopes(x, y, w, held):
+        def slopes(*rows):
             out = []
             for k in active:
-                z, label, wk = rows_of(k, x, y, w, held)
+                z, label, wk = rows_of(k, *rows)
                 p = 1 / (1 + np.exp(-np.clip(z @ current[k], -LOGIT_CLIP, LOGIT_CLIP)))
                 h = wk * np.maximum(p * (1 - p), CURVATURE_FLOOR)
                 out += [z.T @ (wk * (p - label)), (z.T @ (h[:, None] * z)).ravel()]
@@ -163,20 +167,26 @@ def fit_logistic(table: DataFrame, d: int, models: int = 1, l2: float = 1.0, max
             k: np.linalg.solve(row[d + 1:].reshape(d + 1, d + 1) + penalty + np.eye(d + 1) * RIDGE, row[:d + 1] + penalty @ beta[k])
             for row, k in zip(sums, active)}
 
-        def losses(x, y, w, held):
-            out = []
-            for k in active:
-                z, label, wk = rows_of(k, x, y, w, held)
-                logits = (z @ current[k])[:, None] - (z @ steps[k])[:, None] * parts
-                out.append((wk[:, None] * (np.logaddexp(0, logits) - label[:, None] * logits)).sum(axis=0))
-            return np.concatenate(out)
-
-        along = _sums(table, losses, len(parts) * len(active)).reshape(len(active), len(parts))
-        for loss, k in zip(along, active):
-            tried = beta[k] - parts[:, None] * steps[k]
-            loss = loss + 0.5 * ((tried @ penalty) * tried).sum(axis=1)
-            good = np.flatnonzero(loss[1:] <= loss[0])
-            taken = parts[1 + good[0]] if len(good) else 0.0
+        def losses(chosen, lengths):
+            """Penalised losses of some models at ``lengths`` of their steps."""
+            def work(*rows):
+                out = []
+                for k in chosen:
+                    z, label, wk = rows_of(k, *rows)
+                    logits = (z @ current[k])[:, None] - (z @ steps[k])[:, None] * lengths
+                    out.append((wk[:, None] * (np.logaddexp(0, logits) - label[:, None] * logits)).sum(axis=0))
+                return np.concatenate(out)
+
+            along = _sums(table, work, len(lengths) * len(chosen)).reshape(len(chosen), len(lengths))
+            tried = [current[k] - lengths[:, None] * steps[k] for k in chosen]
+            return {k: loss + 0.5 * ((t @ penalty) * t).sum(axis=1) for k, loss, t in zip(chosen, along, tried)}
+
+        ends = losses(active, np.array([0.0, 1.0]))
+        worse = [k for k in active if not ends[k][1] <= ends[k][0]]
+        shorter = losses(worse, parts) if worse else {}
+        for k in active:
+            good = np.flatnonzero(shorter[k] <= ends[k][0]) if k in shorter else None
+            taken = 1.0 if good is None else parts[good[0]] if len(good) else 0.0
             beta[k] -= taken * steps[k]
             if taken * np.abs(steps[k]).max() < tol:
                 live.discard(k)

@@ -76,9 +76,9 @@ def logistic_fit(spark, sf):
 @query("a32_out_of_fold_grid")
 def out_of_fold(spark, sf):
     """Every fold's rows are scored by a fit on the others, for each class; the chosen threshold of a class is marked."""
-    scored = []
+    scored, whole = [], cut(training(spark, sf).select("pair_id", "class_name", "label", *NAMES))
     for c in ("new_building", "tree_removal"):
-        rows = P.grouped_folds(training(spark, sf).filter(F.col("class_name") == c), "pair_id", 5)
+        rows = P.grouped_folds(whole.filter(F.col("class_name") == c), "pair_id", 5)
         scored.append(L.out_of_fold(cut(rows), NAMES, "label", "fold", 5, 2.0)[0])
     grid = L.threshold_grid(scored[0].unionByName(scored[1]), "label", by=["class_name"])
     chosen = L.choose_operating_points(grid).withColumn("chosen", F.lit(True))

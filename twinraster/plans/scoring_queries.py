@@ -286,8 +286,8 @@ ff AS (SELECT *, CASE WHEN p+r=0 THEN 0 ELSE 2*p*r/(p+r) END AS f FROM rr)"""
 def multiclass_boundary(spark, sf):
     """Four labels, of which one is never used: it counts in the macro score all the same."""
     tiles = V.presence(spark, sf).select("pair_id").distinct()
-    pred, true = (S.exclusive_layers(m, S.CLASSES, tiles, V.SIDE, V.SIDE) for m in (predicted(spark, sf), truth(spark, sf)))
-    return S.multiclass_boundary(pred, true, LABEL_NAMES).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "macro_f1")])
+    found = S.mask_boundary(predicted(spark, sf), truth(spark, sf), S.CLASSES, tiles, V.SIDE, V.SIDE, LABEL_NAMES)
+    return found.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "macro_f1")])
 
 
 @query("a37_sample_errors", PRED_SQL + f""",

@@ -115,8 +115,11 @@ ff AS (SELECT fa.*, coalesce(total_truth,0) AS total_truth, pair_id%4=1 AS parti
 lbd AS (SELECT *, CASE WHEN neg THEN 0 WHEN partial THEN CASE WHEN sh>=0.4 THEN 1 WHEN reviewed/n>=0.95 AND sh<0.05 THEN 0 ELSE -1 END WHEN total_truth=0 THEN 0 WHEN sh>=0.4 OR overlap/(n+total_truth-overlap)>=0.25 THEN 1 WHEN sh<0.05 THEN 0 ELSE -1 END AS label FROM ff)"""
 
 
-def labelled_candidates(spark, sf):
-    lab = R.keep_large(Q.labelled(spark, sf), Q.MIN_AREA).select(*R.TILE, "component_id", "y", "x0", "x1")
+def large_components(spark, sf):
+    return R.keep_large(Q.labelled(spark, sf), Q.MIN_AREA).select(*R.TILE, "component_id", "y", "x0", "x1")
+
+
+def labelled_candidates(spark, sf, lab):
     half = V.presence(spark, sf).select(*R.TILE, F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"), F.lit(0).alias("x0"), F.lit(V.SIDE).alias("x1"))
     facts = L.candidate_facts(lab, Q.truth(spark, sf), half)
     facts = facts.withColumn("partial", F.col("pair_id") % 4 == 1).withColumn("category", F.when(F.col("pair_id") % 5 == 0, "negative").otherwise("new_building"))
@@ -125,7 +128,7 @@ def labelled_candidates(spark, sf):
 
 @query("r26_candidate_labels", FACT_SQL + f" SELECT {OWN}, n, overlap, reviewed, total_truth, label FROM lbd")
 def candidate_labels(spark, sf):
-    return labelled_candidates(spark, sf).select(*R.TILE, "component_id", "n", "overlap", "reviewed", "total_truth", "label")
+    return labelled_candidates(spark, sf, large_components(spark, sf)).select(*R.TILE, "component_id", "n", "overlap", "reviewed", "total_truth", "label")
 
 
 @query("x07_labelled_table", FACT_SQL + """,
@@ -135,10 +138,10 @@ def labelled_table(spark, sf):
     """Labelled feature table, written partitioned by class and read back."""
     from ..operators import evidence as E
     from ..session import scratch_path
-    lab = R.keep_large(Q.labelled(spark, sf), Q.MIN_AREA).select(*R.TILE, "component_id", "y", "x0", "x1")
+    lab = cut(large_components(spark, sf))  # read by three branches
     feats = E.geometry(lab, V.SIDE, V.SIDE).join(E.confidence(lab, V.tile_pixels(spark, sf)), E.OWNER)
     path = scratch_path(spark, "candidates")
-    feats.join(labelled_candidates(spark, sf).select(*E.OWNER, "label"), E.OWNER).write.partitionBy("class_name").parquet(path)
+    feats.join(labelled_candidates(spark, sf, lab).select(*E.OWNER, "label"), E.OWNER).write.partitionBy("class_name").parquet(path)
     return spark.read.parquet(path).groupBy("class_name", "label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg("mean_probability"), 6).alias("mean_probability")], F.sum("area").cast("long").alias("pixels"))
 
 

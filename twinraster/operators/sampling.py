@@ -1,13 +1,17 @@
 """Seeded draws, negative mining and synthetic no-change rows."""
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, hash_unit
+from ..functions.scalars import hash_unit
 from .ordering import global_index
+from .runs import tile_partition, whole_groups
 
 # Kinds of synthetic no-change rows, colour gains, category shares.
 COLOUR_GAINS = {"seasonal_color": (1.15, 0.9, 0.8), "vegetation_appearance": (1.1, 0.8, 0.9), "roof_color": (0.8, 1.0, 1.3), "agricultural": (1.25, 0.8, 0.9), "road": (0.85, 1.0, 1.15)}
@@ -66,67 +70,101 @@ def rank_attempts(attempts: DataFrame, targets: dict[str, int]) -> DataFrame:
     return ranked.withColumn("within_target", F.coalesce(F.col("rank") <= want, F.lit(False))).drop("_g", "_first")
 
 
-def _byte(v: Column) -> Column:
-    return clamp(F.rint(v), 0, 255)
+def _unit(*parts: object) -> float:
+    """``hash_unit`` of one image."""
+    text = "|".join(str(p) for p in parts if p is not None)
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:8], 16) / 4294967296.0
 
 
-def negative_rows(images: DataFrame, kinds: list[str], seed: int, height: int, width: int, roi: Column | None = None) -> DataFrame:
-    """(id, kind, y, x, r, g, b, valid): changed copies of byte images that show no real change.
+def _byte(v: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(v), 0, 255)
 
-    Pointwise kinds are one projection over the pixel table; blur and shift read
-    neighbours by a coordinate join. Parameters come from a hash of (seed, id, kind).
-    """
-    roi = F.lit(True) if roi is None else roi
-    t = images.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("_roi", roi)
-    u = lambda tag: hash_unit(F.lit(seed), F.col("id"), F.col("kind"), F.lit(tag))
-    green = (F.col("g") > F.col("r") * GREEN_LEAD) & (F.col("g") > F.col("b") * GREEN_LEAD)
-    strength = STRENGTH[0] + STRENGTH[1] * u("strength")
-    cy, cx = u("cy") * height, u("cx") * width
+
+def _negatives(kinds: list[str], seed: int, height: int, width: int):
+    """Arrow kernel: the changed pixels of whole images, ordered by row and column, one kind after another. Shift and blur mirror the borders; pixels that
+    an image doesn't hold can't be moved and add nothing to a blur."""
+    steps = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if dy or dx]
     ry, rx = max(height * SHADOW_RADII[0], 1.0), max(width * SHADOW_RADII[1], 1.0)
-    distance = ((F.col("y") - cy) / ry) ** 2 + ((F.col("x") - cx) / rx) ** 2
-    shade = 1 - F.exp(-distance / 2) * (SHADOW_DARKNESS[0] + SHADOW_DARKNESS[1] * u("dark"))
     th, tw = max(1, height // PATCH_PARTS[0]), max(1, width // PATCH_PARTS[1])
-    py, px = F.floor(u("py") * (height - th + 1)), F.floor(u("px") * (width - tw + 1))
-    patch = (F.col("y") >= py) & (F.col("y") < py + th) & (F.col("x") >= px) & (F.col("x") < px + tw)
-
-    def channel(i: int, c: str) -> Column:
-        v = F.col(c).cast("double")
-        out = F.when(F.col("kind") == "brightness", _byte(v * (GAIN[0] + GAIN[1] * u("gain"))))
-        for kind, gains in COLOUR_GAINS.items():
-            inside = green if kind == "vegetation_appearance" else F.lit(True)
-            out = out.when((F.col("kind") == kind) & inside, _byte(v * (1 + (gains[i] - 1) * strength)))
-        out = out.when(F.col("kind") == "shadows", _byte(v * shade))
-        out = out.when((F.col("kind") == "temporary_objects") & patch, F.floor(PATCH_COLOURS[0] + PATCH_COLOURS[1] * u(f"colour{c}")).cast("double"))
-        return F.when(F.col("_roi"), out.otherwise(v)).otherwise(v)
-
-    point = t.filter(~F.col("kind").isin("blur", "slight_shift")).select("id", "kind", "y", "x", *[channel(i, c).alias(c) for i, c in enumerate("rgb")], F.lit(True).alias("valid"))
-    parts = [point]
-    mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)
-    plain = images.select("id", F.col("y").alias("sy"), F.col("x").alias("sx"), *[F.col(c).alias(f"s_{c}") for c in "rgb"])
-    if "slight_shift" in kinds:
-        steps = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if dy or dx]
-        chosen = F.element_at(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps]), (F.floor(u("step") * len(steps)) + 1).cast("int"))
-        s = t.filter("kind = 'slight_shift'").withColumn("_s", chosen)
-        s = s.withColumn("sy", mirror(F.col("y") - F.col("_s.dy"), height)).withColumn("sx", mirror(F.col("x") - F.col("_s.dx"), width))
-        kept = (F.col("y") - F.col("_s.dy")).between(0, height - 1) & (F.col("x") - F.col("_s.dx")).between(0, width - 1)
-        parts.append(s.join(plain, ["id", "sy", "sx"]).select("id", "kind", "y", "x", *[F.col(f"s_{c}").cast("double").alias(c) for c in "rgb"], kept.alias("valid")))
-    if "blur" in kinds:
-        sigma = BLUR_SIGMA[0] + BLUR_SIGMA[1] * u("sigma")
-        side = F.exp(-1.0 / (2 * sigma * sigma))
-        tap = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        b = t.filter("kind = 'blur'").withColumn("_t", tap).withColumn("_w", F.pow(side / (1 + 2 * side), F.abs("_t.a") + F.abs("_t.b")) * F.pow(1 / (1 + 2 * side), 2 - F.abs("_t.a") - F.abs("_t.b")))
-        b = b.withColumn("sy", mirror(F.col("y") + F.col("_t.a"), height)).withColumn("sx", mirror(F.col("x") + F.col("_t.b"), width))
-        g = b.join(plain, ["id", "sy", "sx"]).groupBy("id", "kind", "y", "x").agg(
-            *[F.when(F.first("_roi"), _byte(F.sum(F.col("_w") * F.col(f"s_{c}")))).otherwise(F.first(c).cast("double")).alias(c) for c in "rgb"], F.lit(True).alias("valid"))
-        parts.append(g)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def changed_pixels(images: DataFrame, changed: DataFrame) -> DataFrame:
-    """(id, kind, changed_pixels) against the source image."""
-    j = changed.join(images.select("id", "y", "x", *[F.col(c).alias(f"o_{c}") for c in "rgb"]), ["id", "y", "x"])
+    mirror = lambda c, n: np.where(c < 0, -c, np.where(c >= n, 2 * n - 2 - c, c))
+
+    def run(table: pa.Table):
+        y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        before = [table.column(c).to_numpy().astype(np.float64) for c in "rgb"]
+        roi = table.column("_roi").to_numpy(zero_copy_only=False).astype(bool)
+        fresh = table.column("_at").to_numpy() == 1
+        image = np.cumsum(fresh) - 1
+        names = table.column("_key").take(pa.array(np.flatnonzero(fresh))).to_pylist()
+        code = (image * height + y) * width + x
+
+        def find(sy: np.ndarray, sx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sy, sx = mirror(sy, height), mirror(sx, width)
+            wanted = (image * height + sy) * width + sx
+            place = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            return place, (code[place] == wanted) & (sy >= 0) & (sy < height) & (sx >= 0) & (sx < width)
+
+        for kind in kinds:
+            draw = lambda tag: np.array([_unit(seed, n, kind, tag) for n in names])[image]  # noqa: B023, E731
+            changed, valid, rows = before, np.ones(len(y), dtype=bool), None
+            if kind == "brightness":
+                gain = GAIN[0] + GAIN[1] * draw("gain")
+                changed = [_byte(v * gain) for v in before]
+            elif kind in COLOUR_GAINS:
+                strength = STRENGTH[0] + STRENGTH[1] * draw("strength")
+                changed = [_byte(v * (1 + (g - 1) * strength)) for v, g in zip(before, COLOUR_GAINS[kind])]
+                if kind == "vegetation_appearance":
+                    green = (before[1] > before[0] * GREEN_LEAD) & (before[1] > before[2] * GREEN_LEAD)
+                    changed = [np.where(green, n, v) for n, v in zip(changed, before)]
+            elif kind == "shadows":
+                distance = ((y - draw("cy") * height) / ry) ** 2 + ((x - draw("cx") * width) / rx) ** 2
+                shade = 1 - np.exp(-distance / 2) * (SHADOW_DARKNESS[0] + SHADOW_DARKNESS[1] * draw("dark"))
+                changed = [_byte(v * shade) for v in before]
+            elif kind == "temporary_objects":
+                py, px = np.floor(draw("py") * (height - th + 1)), np.floor(draw("px") * (width - tw + 1))
+                patch = (y >= py) & (y < py + th) & (x >= px) & (x < px + tw)
+                changed = [np.where(patch, np.floor(PATCH_COLOURS[0] + PATCH_COLOURS[1] * draw(f"colour{c}")), v) for c, v in zip("rgb", before)]
+            elif kind == "blur":
+                sigma = BLUR_SIGMA[0] + BLUR_SIGMA[1] * draw("sigma")
+                side = np.exp(-1.0 / (2 * sigma * sigma))
+                near, own = side / (1 + 2 * side), 1 / (1 + 2 * side)
+                weights, sums = (own * own, near * own, near * near), [np.zeros(len(y)) for _ in before]
+                for a in (-1, 0, 1):
+                    for b in (-1, 0, 1):
+                        tap, there = find(y + a, x + b)
+                        w = np.where(there, weights[abs(a) + abs(b)], 0.0)
+                        sums = [t + w * v[tap] for t, v in zip(sums, before)]
+                changed = [_byte(t) for t in sums]
+            if kind == "slight_shift":  # the whole image moves, whatever the region
+                step = np.array(steps)[np.floor(draw("step") * len(steps)).astype(int)]
+                sy, sx = y - step[:, 0], x - step[:, 1]
+                place, rows = find(sy, sx)
+                changed, valid = [v[place] for v in before], (sy >= 0) & (sy < height) & (sx >= 0) & (sx < width)
+            else:
+                changed = [np.where(roi, n, v) for n, v in zip(changed, before)]
+            out = table.select(["id"]).append_column("kind", pa.array([kind]).take(pa.array(np.zeros(len(y), dtype=np.int64))))
+            for name, column in zip(["y", "x", *"rgb", "valid", "o_r", "o_g", "o_b"], [table.column("y"), table.column("x"), *map(pa.array, [*changed, valid, *before])]):
+                out = out.append_column(name, column)
+            yield out if rows is None else out.filter(pa.array(rows))
+
+    return run
+
+
+def negative_rows(images: DataFrame, kinds: list[str], seed: int, height: int, width: int, roi: Column | None = None) -> DataFrame:
+    """(id, kind, y, x, r, g, b, valid, o_r, o_g, o_b): changed copies of byte images that show no real change, with the pixel before the change.
+
+    Rows of an image meet once, in a kernel over many whole images. Parameters come from a hash of (seed, id, kind).
+    """
+    roi = F.lit(True) if roi is None else F.coalesce(roi, F.lit(False))
+    t = tile_partition(images.select("id", "y", "x", *"rgb", roi.alias("_roi"), F.col("id").cast("string").alias("_key")), ["id"])
+    kind = {c: images.schema[c].dataType.simpleString() for c in ("id", "y", "x")}
+    shape = f"id {kind['id']}, kind string, y {kind['y']}, x {kind['x']}, r double, g double, b double, valid boolean, o_r double, o_g double, o_b double"
+    return whole_groups(t, ["id"], ["y", "x"], _negatives(kinds, seed, height, width), shape)
+
+
+def changed_pixels(changed: DataFrame) -> DataFrame:
+    """(id, kind, changed_pixels, invalid_pixels) of ``negative_rows``."""
     differs = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"o_{c}") for c in "rgb"])
-    return j.groupBy("id", "kind").agg(F.count_if(differs).alias("changed_pixels"), F.count_if(~F.col("valid")).alias("invalid_pixels"))
+    return changed.groupBy("id", "kind").agg(F.count_if(differs).alias("changed_pixels"), F.count_if(~F.col("valid")).alias("invalid_pixels"))
 
 
 def paired_negatives(pairs: DataFrame) -> DataFrame:

@@ -366,13 +366,12 @@ k AS (SELECT * FROM (VALUES ('exact_no_change',1.0,1.0,1.0),('seasonal_color',1.
 s AS (SELECT pair_id AS id, kind, y, x, pre_r, pre_g, pre_b, CASE WHEN kind='brightness' THEN 0.7+0.6*{UNIT.format("'3|'||pair_id||'|'||kind||'|gain'")} END AS bg, 0.6+0.4*{UNIT.format("'3|'||pair_id||'|'||kind||'|strength'")} AS st, gr, gg, gb FROM bt, k)
 SELECT id, kind, y, x, """ + ", ".join(f"least(255,greatest(0,round_even(pre_{c}*coalesce(bg,1+(g{c}-1)::DOUBLE*st),0))) AS {c}" for c in "rgb") + " FROM s")
 def colour_negatives(spark, sf):
-    return A.negative_rows(byte_images(spark, sf), ["exact_no_change", "seasonal_color", "roof_color", "brightness"], 3, N, N).drop("valid")
+    return A.negative_rows(byte_images(spark, sf), ["exact_no_change", "seasonal_color", "roof_color", "brightness"], 3, N, N).drop("valid", "o_r", "o_g", "o_b")
 
 
 @query("r31_changed_pixels")
 def changed_pixels(spark, sf):
-    img = byte_images(spark, sf)
-    return A.changed_pixels(img, A.negative_rows(img, KINDS, 3, N, N))
+    return A.changed_pixels(A.negative_rows(byte_images(spark, sf), KINDS, 3, N, N))
 
 
 @query("r31_paired_negatives", """SELECT o_orderkey AS id, CASE WHEN o_orderkey%3=0 OR o_orderpriority='5-LOW' THEN 'region and season must match' WHEN o_orderstatus<>'O' THEN 'explicit confirmation required' END AS reason FROM orders""")

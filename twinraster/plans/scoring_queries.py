@@ -5,7 +5,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import rings as N
 from ..operators import runs as R
 from ..operators import scoring as S
 from ..operators.order_stats import order_stats, sort_groups
@@ -98,8 +97,8 @@ def outcomes(spark, sf):
 
 def exterior_outcomes(spark, sf):
     """Outcomes of exported exteriors: both masks as components with their holes filled."""
-    pred, true = predicted_components(spark, sf), R.label_components(truth(spark, sf), V.SIDE, V.SIDE)
-    return S.tile_outcomes(*[N.fill_exteriors(c, V.SIDE, V.SIDE).select(*R.TILE, "y", "x0", "x1") for c in (pred, true)], V.presence(spark, sf))
+    areas = S.exterior_areas(predicted_components(spark, sf), truth(spark, sf), V.SIDE, V.SIDE)
+    return S.outcomes_of_areas(V.presence(spark, sf).join(areas, R.TILE, "left").fillna(0, S.AREAS))
 
 
 @query("r01_presence_gated_mask", "WITH RECURSIVE " + V.TILE_SQL + f"""

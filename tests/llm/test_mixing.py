@@ -88,3 +88,24 @@ def test_a_scarce_value_does_not_thin_the_corpus(spark, scarce):
     found = M.mix_sources(plain_docs(spark, rows)).collect()
     assert sum(r.sampled for r in found) > 0.7 * len(rows)
     assert all(r.keep_probability > 0.7 for r in found)
+
+
+def test_values_that_go_together_take_no_cell_away(spark):
+    """src0 holds books only, so raising src0 by more than books asks for books of src0 alone: other books stay all the same."""
+    rows = [(i, "w " * 2500, "src0", "en") for i in range(40)]
+    rows += [(100 + i, "w " * 2500, "src1", "en") for i in range(40)]
+    rows += [(200 + i, "w " * 500, "src1", "en") for i in range(400)]
+    found = M.mix_sources(plain_docs(spark, rows)).collect()
+    assert min(r.keep_probability for r in found) > 0.7
+    rare = [r for r in found if 100 <= r.doc_id < 200]
+    assert sum(r.sampled for r in rare) > 0.5 * len(rare)
+
+
+def test_raised_cells_repeat_and_the_mix_is_as_large_as_the_corpus(spark):
+    rows = [(i, "w " * 150, "src0" if i % 20 == 0 else "src1", "en") for i in range(4000)]
+    found = M.mix_sources(plain_docs(spark, rows)).collect()
+    assert all(r.sampled == (r.copies > 0) for r in found)
+    mixed, raised = sum(r.copies for r in found), sum(r.copies for r in found if r.source == "src0")
+    assert mixed == pytest.approx(4000, rel=0.02) and sum(r.sampled for r in found) > 0.97 * len(rows)
+    assert raised / mixed == pytest.approx(1.25 * 200 / (1.25 * 200 + 3800), rel=0.05)
+    assert all(r.copies >= 1 for r in found if r.source == "src0")

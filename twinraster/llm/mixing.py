@@ -26,9 +26,6 @@ RELATIVE: dict[str, dict[str, float]] = {
     "lang": {},
     "topic": {"note": 1.1, "book": 1.1},
 }
-#: Relative targets raise no cell against the whole corpus by more than this. A cell that would need more is kept whole, so a scarce
-#: value can't thin everything else.
-MAX_RAISE = 1.25
 #: Cells that the targets may span, and raking sweeps.
 MAX_CELLS, SWEEPS = 65_536, 40
 REST = "*"
@@ -66,14 +63,16 @@ def rake(counts: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) ->
     return weights
 
 
-def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, relative: bool = False) -> list[tuple]:
-    """(margin values..., probability) per cell from the token counts of ``cells``.
+def cell_rates(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, relative: bool = False) -> list[tuple]:
+    """(margin values..., rate) per cell from the token counts of ``cells``: how many times a document of the cell is expected in the mix.
 
-    With ``relative``, ``targets`` are factors on the shares that ``cells`` have (1 where none is given), and the divisor below is
-    ``MAX_RAISE`` at most, with probabilities cut at 1.
-
-    A cell's probability is its raked share over its share now, divided by the largest such ratio: the largest mix that
+    A cell's rate is its raked share over its share now, divided by the largest such ratio: the largest mix that
     has the target margins and repeats no document. Cells without tokens keep all their documents.
+
+    With ``relative``, ``targets`` are factors on the shares that ``cells`` have (1 where none is given), and nothing is divided: the mix has as
+    many tokens as the corpus, and what a cell needs beyond its documents are repeats, not less of all others. Where values go
+    together, the margins can ask for a cell of nothing, or for one over and over; so no rate leaves the reach of the factors: the product, over the
+    margins, of the largest raise or fall that one of them names.
     """
     names = list(targets)
     values = [[*(v for v in targets[n] if v != REST), REST] for n in names]
@@ -90,10 +89,12 @@ def cell_probabilities(cells: DataFrame, targets: dict[str, dict[str, float]], s
             shares[axis] = wanted / max(wanted.sum(), 1e-300)
     weights = rake(counts, shares, sweeps)
     ratio = np.divide(weights, counts, out=np.zeros_like(counts), where=counts > 0)
-    top = ratio.max() if ratio.size else 0.0
     if relative:
-        top = min(top, MAX_RAISE / max(counts.sum(), 1e-300))
-    keep = np.where(counts > 0, np.minimum(ratio / top, 1.0) if top > 0 else 0.0, 1.0)
+        reach = np.prod([max([1.0, *(max(f, 1 / f) for f in targets[n].values())]) for n in names])
+        keep = np.where(counts > 0, np.clip(ratio * counts.sum(), 1 / reach, reach), 1.0)
+    else:
+        top = ratio.max() if ratio.size else 0.0
+        keep = np.where(counts > 0, np.minimum(ratio / top, 1.0) if top > 0 else 0.0, 1.0)
     return [(*vs, round(float(keep[at]), 9)) for vs, at in zip(product(*values), np.ndindex(counts.shape))]
 
 
@@ -105,18 +106,20 @@ def draw(id_col: Column, seed: int) -> Column:
 
 def mix_sources(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    seed: int = 11, out: tuple[str, str, str] = ("tokens", "keep_probability", "sampled"),
+    seed: int = 11, out: tuple[str, str, str, str] = ("tokens", "keep_probability", "sampled", "copies"),
 ) -> DataFrame:
-    """``docs`` with its tokens, the probability of its cell and whether the draw keeps it, in columns named ``out``.
+    """``docs`` with its tokens, the probability that its cell keeps it, whether the draw does, and how many times it stands in the mix, in columns
+    named ``out``.
 
-    ``targets`` maps a column to shares of tokens; without it the mix follows ``RELATIVE``, which takes no value to 0: values that it
+    ``targets`` maps a column to shares of tokens, and a document stands in the mix once at most; without it the mix follows ``RELATIVE``, which takes no
+    cell to 0, and documents of a cell that is raised come once, some of them more often: values that it
     doesn't name, null included, keep the share they have. The margin ``topic`` is derived from the text where ``docs`` has no such
     column. Defined cases: values that no target names, null included, count under ``*``; where given targets leave ``*`` no share (or
     a share of 0), such documents are not sampled; a document without tokens has no weight and is kept if its cell is;
     rows with equal ids are drawn alike (null ids as the empty string); an empty table gives an empty table; columns of
     ``docs`` with one of the ``out`` names are replaced.
     """
-    n_tokens, keep_p, sampled = out
+    n_tokens, keep_p, sampled, copies = out
     relative = targets is None
     targets = RELATIVE if relative else targets
     named = {m: f"__margin_{m}" for m in targets}
@@ -125,9 +128,11 @@ def mix_sources(
         source = F.col(m) if m in docs.columns else topic(F.col("__tokens"))
         counted = counted.withColumn(named[m], _margin(source.cast("string"), values))
     cells = counted.groupBy(*[F.col(c).alias(m) for m, c in named.items()]).agg(F.sum("__tokens").alias("tokens"))
-    rows = cell_probabilities(cells, targets, relative=relative)
-    schema = ", ".join([f"{c} string" for c in named.values()] + ["__p double"])
+    rows = cell_rates(cells, targets, relative=relative)
+    schema = ", ".join([f"{c} string" for c in named.values()] + ["__rate double"])
     factors = docs.sparkSession.createDataFrame(rows, schema)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in out]
+    rate, u = F.col("__rate"), draw(F.col(id_col), seed)
     return counted.join(F.broadcast(factors), list(named.values()), "left").select(
-        *kept, F.col("__tokens").alias(n_tokens), F.col("__p").alias(keep_p), (draw(F.col(id_col), seed) < F.col("__p")).alias(sampled))
+        *kept, F.col("__tokens").alias(n_tokens), F.least(rate, F.lit(1.0)).alias(keep_p), (u < rate).alias(sampled),
+        (F.floor(rate) + (u < rate - F.floor(rate)).cast("bigint")).alias(copies))

@@ -200,14 +200,7 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(load_ranks(path)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` (array of int): the token ids of the whole text, each match of ``pattern`` separately.
-
-    ``pattern`` must match every character (as the usual pre-tokenisers do). Defined cases: a null or empty text has no
-    ids; text that looks like a special token is ordinary text; an existing ``ids_col`` is replaced; other columns pass.
-    """
-    shared = _shared(docs.sparkSession, path)
-
+def _encoding(shared, pattern: str, text_col: str, ids_col: str, drop: bool = False):
     def run(batches):
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
@@ -216,16 +209,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
                 part = batch.slice(at, 256)
                 each = [encoder.ids(t) if t else np.zeros(0, dtype=np.int32) for t in column.slice(at, 256).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                yield with_arrays(part, {ids_col: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each), pa.int32()))})
+                yield with_arrays(part.drop_columns([text_col]) if drop else part, {ids_col: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each), pa.int32()))})
 
-    return docs.mapInArrow(run, extended(docs, (ids_col, "array<int>")))
+    return run
 
 
-def decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``rows`` with ``bytes_col`` (binary): the token bytes of ``ids_col`` joined. Null or empty ids give empty bytes;
-    an id outside the vocabulary is an error, as nothing can stand for it; an existing ``bytes_col`` is replaced."""
-    shared = _shared(rows.sparkSession, path)
-
+def _decoding(shared, ids_col: str, bytes_col: str):
     def run(batches):
         tokens = pa.array(shared.value.tokens, pa.binary())
         for batch in batches:
@@ -239,4 +228,27 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "d
                 data = found.buffers()[2] if len(found) else pa.py_buffer(b"")
                 yield with_arrays(part, {bytes_col: pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), data])})
 
-    return rows.mapInArrow(run, extended(rows, (bytes_col, "binary")))
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with ``ids_col`` (array of int): the token ids of the whole text, each match of ``pattern`` separately.
+
+    ``pattern`` must match every character (as the usual pre-tokenisers do). Defined cases: a null or empty text has no
+    ids; text that looks like a special token is ordinary text; an existing ``ids_col`` is replaced; other columns pass.
+    """
+    return docs.mapInArrow(_encoding(_shared(docs.sparkSession, path), pattern, text_col, ids_col), extended(docs, (ids_col, "array<int>")))
+
+
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``rows`` with ``bytes_col`` (binary): the token bytes of ``ids_col`` joined. Null or empty ids give empty bytes;
+    an id outside the vocabulary is an error, as nothing can stand for it; an existing ``bytes_col`` is replaced."""
+    return rows.mapInArrow(_decoding(_shared(rows.sparkSession, path), ids_col, bytes_col), extended(rows, (bytes_col, "binary")))
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` without the texts, in one Python worker a task: the vocabulary is held once and ids don't go through the JVM in between."""
+    shared = _shared(docs.sparkSession, path)
+    there, back = _encoding(shared, pattern, text_col, ids_col, drop=True), _decoding(shared, ids_col, bytes_col)
+    shape = extended(docs.drop(text_col), (ids_col, "array<int>"), (bytes_col, "binary"))
+    return docs.mapInArrow(lambda batches: back(there(batches)), shape)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import register
-from .byte_bpe import decode, encode
+from .byte_bpe import encode_decode
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -20,8 +20,7 @@ def round_trip(docs):
     import public_tokenizers  # its files are needed to run this query, not to list it
 
     path = public_tokenizers.path(VOCABULARY)
-    encoded = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(encoded, path).select(
+    return encode_decode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
